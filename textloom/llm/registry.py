@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, quality
+from textloom.llm import bpe, chat, media, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,10 +86,25 @@ FROM judged LEFT JOIN verdicts USING (source)
 """
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.write_media(_documents(spark, sf_dir)))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.unigram_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_chat_formatting": op2_chat_formatting,
         "op3_quality_rules": op3_quality_rules,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op6_media_columns": op6_media_columns,
+        "op10_token_counts": op10_token_counts,
     }
 
 
