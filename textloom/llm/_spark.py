@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -21,3 +23,22 @@ def durable(df: DataFrame) -> DataFrame:
 def partitions(df: DataFrame) -> int:
     """The number of shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows up to which a table of a few short columns is broadcast; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, which is durable, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to Parquet in the shared folder and read again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-checkpoints-"))
+    path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, chat, media, quality, token_counts
+from textloom.llm import bpe, chat, media, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,10 @@ FROM judged LEFT JOIN verdicts USING (source)
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -102,6 +106,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_chat_formatting": op2_chat_formatting,
         "op3_quality_rules": op3_quality_rules,
+        "op4_warc": op4_warc,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_media_columns": op6_media_columns,
         "op10_token_counts": op10_token_counts,
