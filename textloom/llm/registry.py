@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, chat, media, quality, token_counts, warc
+from textloom.llm import bpe, chat, media, packing, quality, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +98,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.write_media(_documents(spark, sf_dir)))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.unigram_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -109,6 +113,7 @@ def queries() -> dict[str, Query]:
         "op4_warc": op4_warc,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_media_columns": op6_media_columns,
+        "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
     }
 
