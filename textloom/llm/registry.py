@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, chat, media, near_dedup, packing, quality, token_counts, warc
+from textloom.llm import bpe, chat, media, near_dedup, packing, quality, substrings, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +102,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.write_media(_documents(spark, sf_dir)))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -118,6 +122,7 @@ def queries() -> dict[str, Query]:
         "op4_warc": op4_warc,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_media_columns": op6_media_columns,
+        "op7_substring_dedup": op7_substring_dedup,
         "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
     }
