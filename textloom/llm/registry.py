@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, chat, media, near_dedup, packing, quality, substrings, token_counts, warc
+from textloom.llm import bpe, chat, lm, media, near_dedup, packing, quality, substrings, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +106,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.interpolation_scores(_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -123,6 +127,7 @@ def queries() -> dict[str, Query]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_media_columns": op6_media_columns,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
     }
