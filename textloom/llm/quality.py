@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from textloom.llm import _text
-from textloom.llm._spark import durable
+from textloom.llm._spark import durable, if_small
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -118,3 +119,21 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
         .join(verdicts, "host", "left")
         .select("doc_id", *COUNTS, "base_failed", "host_rate", kept.alias("kept"))
     )
+
+
+def _fails(texts: pa.Array) -> pa.Array:
+    data, offsets = _text.text_bytes(texts)
+    parts = [_measure(data, offsets[lo : hi + 1]) for lo, hi in _text.chunks(offsets)]
+    counts = np.concatenate(parts, 1) if parts else np.zeros((5, 0), np.int64)
+    return pa.array((counts[0] < MIN_WORDS) | (100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]))
+
+
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    Rows are judged one by one, not by id, so repeated or null ids don't matter.
+    """
+    counted = durable(rule_counts(docs.withColumn("_row", F.lit(None).cast("long")), "_row", text, host))
+    bad = if_small(durable(host_verdicts(counted, max_rate).filter("NOT host_kept").select(F.col("host").alias("_bad_host"))))
+    fails = F.arrow_udf(_fails, BooleanType())
+    return docs.filter(~fails(F.col(text))).join(bad, docs[host].cast("string") == bad["_bad_host"], "left_anti")
