@@ -18,6 +18,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ from textloom.llm._spark import durable, if_small, partitions
 SEQ_LEN = 2048
 END_ID = 0
 #: Words that a worker remembers; when full it starts anew, which costs time but changes nothing.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 
 class WordTokenizer(dict):
@@ -54,21 +55,30 @@ class WordTokenizer(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._learn([".", ","])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if len(self) > REMEMBERED:
             self.clear()
+            self._learn([".", ","])
         cut = []
         for text in texts:
             # the tokenizer lower-cases character by character, so without a special final sigma
             plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
             cut.append([w for w in self.split_odd.split(plain) if w] if self.odd.search(plain) else plain.split())
-        new = list({w for words in cut for w in words if w not in self})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+        new = {w for words in cut for w in words if w not in self}
+        # a full stop or comma after a letter or digit is a pre-token of its own
+        ended = [w for w in new if w[-1] in ".," and w[-2:-1].isalnum()]
+        self._learn(list(({w[:-1] for w in ended} | new.difference(ended)) - self.keys()))
+        for word in ended:
+            self[word] = self[word[:-1]] + self[word[-1]]
         return [b"".join(map(self.__getitem__, words)) for words in cut]
 
+    def _learn(self, words: list[str]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self[word] = array("I", found.ids).tobytes()
+
 
 @lru_cache(2)
 def word_tokenizer(path: str) -> WordTokenizer:
