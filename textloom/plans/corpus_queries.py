@@ -16,7 +16,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     accented = _documents(spark, d).filter(F.col("lang").isin("fr", "es", "de"))
-    return accented.select("doc_id", T.strip_diacritics("text").alias("no_diacritics"), F.col("text").alias("with_diacritics"))
+    return accented.select("doc_id", "lang", T.strip_diacritics("text").alias("no_diacritics"), F.col("text").alias("with_diacritics"))
 
 
 #: DuckDB macros in place: cleaned tokens of a text, and accents off.
@@ -32,7 +32,7 @@ def _words(text: str) -> str:
     return f"regexp_extract_all(lower({text}), '[a-zA-ZÀ-ỹ]+')"
 
 
-_PAIRS = "SELECT doc_id, strip_accents(text) AS nd, text AS wd FROM documents WHERE lang IN ('fr', 'es', 'de')"
+_PAIRS = "SELECT doc_id, lang, strip_accents(text) AS nd, text AS wd FROM documents WHERE lang IN ('fr', 'es', 'de')"
 
 
 def bigram_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ SELECT nd_key, wd_key, cnt AS top_count, total FROM r WHERE r = 1 AND total >= 5
 
 def ngram_pmi(spark: SparkSession, d: str) -> DataFrame:
     found = mining.mined_phrases(_documents(spark, d), min_freq=5, max_ngram=3, top_n=0)
-    return found.withColumn("pmi", F.round("pmi", 4)).withColumn("freq", F.col("freq").cast("long"))
+    return found.withColumn("freq", F.col("freq").cast("long"))
 
 
 NGRAM_PMI = f"""
@@ -105,7 +105,7 @@ g AS (
 f AS (SELECT g, count(*)::BIGINT AS freq FROM g GROUP BY 1 HAVING count(*) >= 5),
 s AS (SELECT g, freq, sum(log2(c / t)) AS parts FROM (SELECT g, freq, unnest(g) AS w1 FROM f) JOIN u USING (w1), n GROUP BY 1, 2),
 p AS (SELECT g, freq, log2(freq / t) - parts AS pmi FROM s, n)
-SELECT array_to_string(g, ' ') AS phrase, len(g)::INT AS ngram, freq, round(round(pmi, 6), 4) AS pmi, round(1 / (1 + exp(-0.5 * pmi)), 4) AS confidence FROM p
+SELECT array_to_string(g, ' ') AS phrase, len(g)::INT AS ngram, freq, round(pmi, 6) AS pmi, round(1 / (1 + exp(-0.5 * pmi)), 4) AS confidence FROM p
 """
 
 
@@ -141,7 +141,7 @@ SELECT doc_id, i // 120 AS "window", array_to_string(w[i + 1:i + 120], ' ') AS c
 
 def merge_word_maps(spark: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(spark, d)
-    old = mining.word_map(mining.word_forms(pairs.filter("doc_id % 2 = 0"))).select("nd", "rank", "form")
+    old = mining.word_map(mining.word_forms(pairs.filter("lang <> 'de'"))).select("nd", "rank", "form")
     new = mining.word_map(mining.word_forms(pairs)).select("nd", "rank", "form")
     return mining.merge_assets(old, new, ["nd"])
 
@@ -152,7 +152,7 @@ def _map_sql(where: str) -> str:
 
 
 MERGE_WORD_MAPS = f"""
-WITH old AS {_map_sql('doc_id % 2 = 0')}, new AS {_map_sql('true')}
+WITH old AS {_map_sql("lang <> 'de'")}, new AS {_map_sql('true')}
 SELECT * FROM old UNION ALL SELECT * FROM new WHERE nd NOT IN (SELECT nd FROM old)
 """
 

@@ -1,4 +1,56 @@
-"""Queries of the streaming jobs."""
+"""Streaming jobs run over the event files to their end."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.session import table
+from textloom.streaming import admission, jobs
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    stream = jobs.file_stream(spark, f"{d}/event*.parquet", table(spark, d, "events"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k"))
+
+
+def streaming_usage_daily(spark: SparkSession, d: str) -> DataFrame:
+    picks = _events(spark, d).select("ts", F.col("event_type").alias("abbr"), F.col("k").alias("expanded_chosen"))
+    return jobs.snapshots(jobs.daily_usage(picks, "40 days"), ["usage_date", "abbr", "expanded_chosen"], jobs.shared_folder(spark, "usage"))
+
+
+USAGE = """
+SELECT ts::DATE AS usage_date, event_type AS abbr, json_extract_string(props, '$.k') AS expanded_chosen, count(*)::BIGINT AS usage_count FROM events GROUP BY 1, 2, 3
+"""
+
+
+def streaming_rate_limits(spark: SparkSession, d: str) -> DataFrame:
+    limits = jobs.rate_limits(_events(spark, d).select("ts", "user_id"), 1, per="1 hour")
+    rows = jobs.snapshots(limits, ["user_id", "minute"], jobs.shared_folder(spark, "limits"))
+    return rows.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+LIMITS = "SELECT user_id, date_trunc('hour', ts) AS minute, count(*)::BIGINT AS n, count(*) > 1 AS over_limit FROM events GROUP BY 1, 2"
+
+
+def streaming_replays(spark: SparkSession, d: str) -> DataFrame:
+    submissions = _events(spark, d).select("ts", F.col("k").alias("abbr"), F.col("event_type").alias("domain"))
+    return jobs.appended(jobs.without_replays(submissions, "40 days"), jobs.shared_folder(spark, "replays")).select("abbr", "domain")
+
+
+REPLAYS = "SELECT DISTINCT json_extract_string(props, '$.k') AS abbr, event_type AS domain FROM events"
+
+
+def streaming_admission(spark: SparkSession, d: str) -> DataFrame:
+    requests = _events(spark, d).select("ts", F.col("event_type").alias("account"), F.col("user_id").cast("string").alias("owner"), F.col("event_id").alias("request_id"), F.lit(None).cast("double").alias("took"))
+    return jobs.appended(admission.admitted(requests), jobs.shared_folder(spark, "admission"))
+
+
+QUERIES = {
+    "streaming_usage_daily": streaming_usage_daily,
+    "streaming_rate_limits": streaming_rate_limits,
+    "streaming_replays": streaming_replays,
+    "streaming_admission": streaming_admission,
+}
+
+SQL = {"streaming_usage_daily": USAGE, "streaming_rate_limits": LIMITS, "streaming_replays": REPLAYS}

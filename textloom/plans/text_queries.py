@@ -1,4 +1,217 @@
-"""Queries of the text operators."""
+"""Text functions, dictionary joins, restoration and normalization over the driver's texts."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.functions import spans
+from textloom.functions import text as T
+from textloom.operators import dictionary, evaluate, mining, normalize, restore, review, segments
+from textloom.plans.corpus_queries import _pairs, _words
+from textloom.session import table
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+_ACCENTED = T.ACCENTED_VOWELS
+
+
+def accent_ratio(spark: SparkSession, d: str) -> DataFrame:
+    counted = _documents(spark, d).select("doc_id", T.accented_vowels("text").alias("accented"), T.all_vowels("text").alias("vowels"))
+    return counted.select("doc_id", F.col("accented").cast("long").alias("accented"), F.col("vowels").cast("long").alias("vowels"), F.round(F.when(F.col("vowels") > 0, F.col("accented") / F.col("vowels")), 4).alias("ratio"))
+
+
+ACCENT_RATIO = f"""
+WITH c AS (SELECT doc_id, length(regexp_replace(lower(text), '[^{_ACCENTED}]', '', 'g'))::BIGINT AS accented, length(regexp_replace(lower(text), '[^{_ACCENTED}aeiouy]', '', 'g'))::BIGINT AS vowels FROM documents)
+SELECT doc_id, accented, vowels, CASE WHEN vowels > 0 THEN round(accented / vowels, 4) END AS ratio FROM c
+"""
+
+
+def missing_accents(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", T.lacks_diacritics("text").alias("lacks"), T.cache_key("text").alias("cache_key"), F.size(T.punctuation("text")).cast("long").alias("n_marks"))
+
+
+MISSING_ACCENTS = f"""
+WITH t AS (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM documents),
+c AS (SELECT *, length(regexp_replace(lower(b), '[^{_ACCENTED}]', '', 'g')) AS a, length(regexp_replace(lower(b), '[^{_ACCENTED}aeiouy]', '', 'g')) AS v, length(regexp_replace(b, '\\P{{L}}', '', 'g')) AS l FROM t)
+SELECT doc_id, length(b) >= 8 AND CASE WHEN length(b) > 0 THEN l / length(b) ELSE 0 END >= 0.3 AND coalesce(CASE WHEN v > 0 THEN a / v END < 0.6, false) AS lacks,
+  sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS cache_key, len(regexp_extract_all(text, '\\p{{P}}'))::BIGINT AS n_marks FROM c
+"""
+
+
+def scan_tokens(spark: SparkSession, d: str) -> DataFrame:
+    tokens = table(spark, d, "conversations").select("conv_id", "turn", T.scan_tokens("text").alias("t"))
+    return tokens.select("conv_id", "turn", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", "|").alias("tokens"))
+
+
+SCAN_TOKENS = r"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '(?:https?://|www\.)\S+|[\pL\pN_.+-]+@[\pL\pN_-]+(?:\.[\pL\pN_-]+)+|[a-zA-ZÀ-ỹ\d_]+|\r?\n[\r\n]*|[^\s\pL\pN_]|[^\s]') AS t FROM conversations)
+SELECT conv_id, turn, len(t)::BIGINT AS n_tokens, array_to_string(t, '|') AS tokens FROM t
+"""
+
+
+def unknown_words(spark: SparkSession, d: str) -> DataFrame:
+    said = _documents(spark, d).select(F.explode(T.words("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = table(spark, d, "benchmark").select(F.explode(T.words("text")).alias("word")).distinct()
+    return said.join(known, "word", "left_anti")
+
+
+UNKNOWN_WORDS = f"""
+SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest({_words('text')}) AS word FROM documents)
+WHERE word NOT IN (SELECT unnest({_words('text')}) FROM benchmark) GROUP BY 1
+"""
+
+
+def unknown_runs(spark: SparkSession, d: str) -> DataFrame:
+    tokens = _documents(spark, d).select("doc_id", F.posexplode(T.space_tokens("text")).alias("pos", "token")).withColumn("alpha", F.col("token").rlike(r"^\p{L}+$"))
+    known = table(spark, d, "benchmark").select(F.explode(T.words("text")).alias("_w")).distinct()
+    marked = tokens.join(known, F.lower("token") == F.col("_w"), "left").withColumn("unknown", F.col("_w").isNull()).withColumn("consumed", F.lit(False))
+    return normalize.unknown_runs(marked).select("doc_id", F.col("first_pos").cast("long").alias("first_pos"), "phrase_key")
+
+
+UNKNOWN_RUNS = f"""
+WITH k AS (SELECT DISTINCT unnest({_words('text')}) AS w FROM benchmark),
+s AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS w FROM documents),
+t AS (SELECT doc_id, i - 1 AS pos, w[i] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM s)),
+a AS (SELECT t.*, k.w IS NULL AS unknown, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM t LEFT JOIN k ON lower(token) = k.w WHERE regexp_full_match(token, '\\p{{L}}+')),
+r AS (SELECT doc_id, run, min(pos) AS first_pos, bool_and(unknown) AS u, count(*) AS n, list(lower(token) ORDER BY pos) AS l FROM a GROUP BY 1, 2)
+SELECT doc_id, first_pos, array_to_string(l[1:5], '_') AS phrase_key FROM r WHERE u AND n >= 2
+"""
+
+
+def abbr_expand(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty most frequent words stand for abbreviations; their expansion is the word in capitals."""
+    tokens = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.space_tokens("text")).alias("pos", "token"))
+    top = tokens.groupBy(F.lower("token").alias("abbr")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "abbr").limit(50).select("abbr", F.upper("abbr").alias("expanded"))
+    joined = tokens.join(top, F.lower("token") == top["abbr"], "left").withColumn("value", F.coalesce("expanded", "token"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), " ")
+    return joined.groupBy("conv_id", "turn").agg(text.alias("expanded_text"), F.count("expanded").alias("n_expanded"))
+
+
+ABBR_EXPAND = """
+WITH s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS w FROM conversations),
+t AS (SELECT conv_id, turn, i AS pos, w[i] AS token FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM s)),
+k AS (SELECT lower(token) AS abbr, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, abbr LIMIT 50)
+SELECT conv_id, turn, string_agg(coalesce(upper(abbr), token), ' ' ORDER BY pos) AS expanded_text, count(abbr)::BIGINT AS n_expanded FROM t LEFT JOIN k ON lower(token) = abbr GROUP BY 1, 2
+"""
+
+
+def context_window5(spark: SparkSession, d: str) -> DataFrame:
+    tokens = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.space_tokens("text")).alias("pos", "token"))
+    order = Window.partitionBy("conv_id", "turn").orderBy("pos")
+    left = F.array_join(F.collect_list("token").over(order.rowsBetween(-5, -1)), " ")
+    right = F.array_join(F.collect_list("token").over(order.rowsBetween(1, 5)), " ")
+    return tokens.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), left.alias("left_context"), right.alias("right_context"))
+
+
+CONTEXT_WINDOW = """
+WITH s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS w FROM conversations)
+SELECT conv_id, turn, i - 1 AS pos, array_to_string(w[greatest(i - 5, 1):i - 1], ' ') AS left_context, array_to_string(w[i + 1:i + 5], ' ') AS right_context
+FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM s)
+"""
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    accented = _documents(spark, d).filter(F.col("lang").isin("fr", "es", "de"))
+    rows = accented.select("doc_id", F.posexplode(T.clean_tokens("text")).alias("pos", "wd"))
+    return rows.select("doc_id", "pos", T.strip_diacritics("wd").alias("bare"), F.lit(False).alias("mixed"))
+
+
+def bigram_scored_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of each bare word of the accented texts, decided by bigram counts."""
+    pairs = _pairs(spark, d)
+    forms = mining.word_map(mining.word_forms(pairs), 5)
+    listed = forms.groupBy("nd").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "form"))), lambda x: x["form"]).alias("cands"))
+    tokens = _tokens(spark, d).join(listed, F.col("bare") == F.col("nd"), "left").drop("nd").withColumn("override", F.lit(None).cast("string"))
+    counted = mining.bigrams(pairs)
+    return restore.score_candidates(tokens, counted).select("doc_id", F.col("pos").cast("long").alias("pos"), "best")
+
+
+def restore_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Word map, bigrams and phrases mined from the accented texts restore their bare side."""
+    pairs = _pairs(spark, d)
+    forms = mining.word_map(mining.word_forms(pairs))
+    counted = mining.bigrams(pairs)
+    phrases = mining.dominant_phrases(mining.phrase_variants(pairs, (2, 3)), min_freq=5)
+    phrases = phrases.select(F.split("nd_key", " ").alias("key"), F.split("wd_key", " ").alias("val"))
+    out = restore.restore(pairs, forms, counted, phrases, text="no_diacritics")
+    judged = out.join(pairs.select("doc_id", "with_diacritics"), "doc_id")
+    accuracy = evaluate.token_accuracy(T.space_tokens("with_diacritics"), T.space_tokens("restored"))
+    return judged.select("doc_id", "restored", F.size("changed").alias("n_changed"), F.round("coverage", 4).alias("coverage"), F.round(accuracy, 4).alias("accuracy"))
+
+
+def _snapshot(spark: SparkSession, d: str) -> dictionary.Snapshot:
+    words = table(spark, d, "benchmark").select(F.explode(T.words("text")).alias("word")).distinct()
+    pairs = mining.bigrams(table(spark, d, "conversations"), "text")
+    frequent = pairs.orderBy(F.desc("cnt"), "w1", "w2").limit(100)
+    phrases = dictionary.phrase_table([frequent.select(F.concat_ws(" ", "w1", "w2").alias("phrase"), F.upper(F.concat_ws(" ", "w1", "w2")).alias("expanded"), F.lit("mined").alias("source"), F.lit("1.0").alias("confidence"))])
+    abbreviations = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 3)).alias("abbr"), "p_name").groupBy("abbr").agg(F.min("p_name").alias("expanded"))
+    details = abbreviations.select("abbr", F.array("expanded").alias("options")).limit(0)
+    return dictionary.Snapshot(1, abbreviations, details, words, phrases)
+
+
+def normalize_conversations(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    out = normalize.normalize(turns, _snapshot(spark, d), live=True)
+    return out.select("doc_id", "normalized_text", F.array_join("error_types", ",").alias("error_types"), F.size("expanded_abbreviations").alias("n_expanded"), F.size("changes").alias("n_changes"), F.size("pending_keys").alias("n_pending"))
+
+
+def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return segments.explode_chunks(_documents(spark, d)).select("doc_id", "chunk", "start_word", "end_word", F.length("text").alias("n_chars"))
+
+
+def segmented_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    joined = segments.join_chunks(segments.explode_chunks(_documents(spark, d)))
+    return joined.select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+ROUNDTRIP = "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE regexp_matches(text, '\\S')"
+
+
+def protected_literals(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d).select("doc_id", "text", spans.protected_spans("text").alias("s"))
+    return docs.select("doc_id", F.size("s").alias("n_spans"), F.array_join(F.transform("s", lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"])), "|").alias("literals"))
+
+
+def review_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's bare side is reviewed against its accented side as the recorded proposal.
+
+    German documents stand for those without a reply.
+    """
+    pairs = _pairs(spark, d)
+    chunks = segments.explode_chunks(pairs, text="no_diacritics", words=400)
+    langs = _documents(spark, d).select("doc_id", "lang")
+    replies = segments.explode_chunks(pairs, text="with_diacritics", words=400).join(langs, "doc_id").select("doc_id", "lang", "chunk", F.col("text").alias("proposed"), F.lit(0.9).alias("confidence"), F.lit("ok").alias("status"))
+    return review.document_status(review.review(chunks, replies.filter("lang <> 'de'").drop("lang")))
+
+
+QUERIES = {
+    "accent_ratio": accent_ratio,
+    "missing_accents": missing_accents,
+    "scan_tokens": scan_tokens,
+    "unknown_words": unknown_words,
+    "unknown_runs": unknown_runs,
+    "abbr_expand": abbr_expand,
+    "context_window5": context_window5,
+    "bigram_scored_choice": bigram_scored_choice,
+    "restore_documents": restore_documents,
+    "normalize_conversations": normalize_conversations,
+    "sentence_chunks": sentence_chunks,
+    "segmented_roundtrip": segmented_roundtrip,
+    "protected_literals": protected_literals,
+    "review_documents": review_documents,
+}
+
+SQL = {
+    "accent_ratio": ACCENT_RATIO,
+    "missing_accents": MISSING_ACCENTS,
+    "scan_tokens": SCAN_TOKENS,
+    "unknown_words": UNKNOWN_WORDS,
+    "unknown_runs": UNKNOWN_RUNS,
+    "abbr_expand": ABBR_EXPAND,
+    "context_window5": CONTEXT_WINDOW,
+    "segmented_roundtrip": ROUNDTRIP,
+}
