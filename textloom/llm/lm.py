@@ -257,8 +257,15 @@ def _scores(key, docs: pa.Table, answers: pa.Table, starts: int, total: int, typ
     return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _blocked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _blocked(batches: Iterator[pa.RecordBatch], most: int, weighing: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows with their block; only those of the weight fold with ``weighing``.
+
+    The choice is made here and not by a filter, which Spark would push down to where it may change
+    the tasks' rows and so the blocks.
+    """
     for block, rows in _by_block(batches, most):
+        if weighing and block >> 24 & 1:
+            continue
         yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, block)), *rows.columns], names=["block", "doc_id", "fold", "text"])
 
 
@@ -283,7 +290,7 @@ def interpolation_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     totals = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_learned", "n_kept", "distinct"))).first()
     replies = answers.filter("block IS NOT NULL").select("block", "order", "range", "learned", "kept")
 
-    weighing = rows.filter(F.col("fold") == WEIGHT_FOLD).mapInArrow(partial(_blocked, most=block_bytes), "block long, doc_id long, fold int, text string")
+    weighing = rows.mapInArrow(partial(_blocked, most=block_bytes, weighing=True), "block long, doc_id long, fold int, text string")
 
     def events(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return _events(key, left, right, size["kept"], totals["n_kept"])
