@@ -234,13 +234,13 @@ def string_list(text: Column) -> Column:
     bare = F.trim(F.coalesce(text, F.lit("")))
     parsed = F.when(bare.startswith("["), F.from_json(bare, "array<string>")).when(bare.startswith('"'), F.array(F.from_json(F.concat(F.lit('{"v":'), bare, F.lit("}")), "v string")["v"]))
     items = F.coalesce(parsed, F.when(bare == "", F.array().cast("array<string>")).otherwise(F.array(bare)))
-    return F.filter(F.transform(items, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def ordered_union(*arrays: Column) -> Column:
     """Distinct trimmed values in first-seen order, without blanks."""
     joined = F.concat(*(F.coalesce(a, F.array().cast("array<string>")) for a in arrays))
-    return F.array_distinct(F.filter(F.transform(joined, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(joined, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def confidence(value: Column, missing: float = 1.0) -> Column:

@@ -42,3 +42,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def sized(df: DataFrame, rows_each: int = 100_000, least: int = 6) -> tuple[DataFrame, int]:
+    """``df``, durable, in a partition for each ``rows_each`` rows (``least`` at least), and its row count.
+
+    Rounds over what is left of a large table would else spread a few rows over all partitions.
+    """
+    kept = durable(df)
+    n = kept.count()
+    return kept.coalesce(max(least, n // rows_each)), n

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import _text
-from textloom.llm._spark import durable
+from textloom.llm._spark import durable, if_small, sized, stored
 from textloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -32,6 +32,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 #: Buckets in which more pairs than this could stand are cut by a second band as well.
 SPLIT_PAIRS = 4096
+#: Turns of comparing with leaders at most; what they leave is compared pair by pair.
+MAX_TURNS = 8
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _AIM, _WEIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -109,14 +111,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORD
     return grams[first], np.diff(np.r_[first, len(grams)]), doc[first]
 
 
-def _fingerprints(grams: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
-    """16 bytes that stand for each text's set of shingles."""
-    halves = np.zeros((n, 2), np.uint64)
+def _fingerprints(grams: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """64 bits that stand for each text's set of shingles (two sets share them with a chance of 2^-64)."""
+    sums = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for j, salt in enumerate((_AIM, _WEIGHT)):
-            np.add.at(halves[:, j], doc, _text.mix(grams ^ salt))
-    raw = halves.byteswap().tobytes()
-    return [raw[i : i + 16] for i in range(0, 16 * n, 16)]
+        np.add.at(sums, doc, _text.mix(grams ^ _AIM))
+    return _text.mix(sums).view(np.int64)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int, counted: bool) -> Iterator[pa.RecordBatch]:
@@ -130,11 +130,11 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int, c
             weights = times.astype(np.float64) if counted else np.ones(len(times))
             signature = dart_signatures(grams, weights, doc, n, bands * rows).reshape(n, bands, rows)
             with np.errstate(over="ignore"):
-                keys = _text.mix((signature * powers).sum(2, dtype=np.uint64)).view(np.int64)
+                keys = _text.mix((signature * powers).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
             sizes = np.bincount(doc, minlength=n)
             keys = [k if s else [] for k, s in zip(keys, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, n), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column(0).slice(lo, n), pa.array(prints), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "node", "n_shingles", "bands"],
             )
 
@@ -142,12 +142,14 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int, c
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
     """doc_id, node (fingerprint of the shingle set), n_shingles and the band keys of each row.
 
+    A band key is a hash of the band's number and coordinates.
+
     ``weights``: "set" gives every distinct shingle weight 1, for which the similarity is plain
     Jaccard; "count" weighs it by its number of occurrences.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     run = partial(_sign, size=size, bands=bands, rows=rows, counted=weights == "count")
-    return source.mapInArrow(run, "doc_id long, node binary, n_shingles long, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, node long, n_shingles long, bands array<long>")
 
 
 def _pack_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -158,7 +160,7 @@ def _pack_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             ends = np.searchsorted(doc, np.arange(hi - lo + 1))
             packed = [(grams[a:b].tobytes(), times[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             prints = _fingerprints(grams, doc, hi - lo)
-            columns = [pa.array(prints, pa.binary()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())]
+            columns = [pa.array(prints), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=["node", "found", "grams", "times"])
 
 
@@ -180,28 +182,53 @@ def _compare(batches: Iterator[pa.RecordBatch], counted: bool) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, threshold: float, weights: str) -> DataFrame:
-    """a, b: the ``pairs`` of nodes whose similarity reaches the threshold."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+def shingle_tables(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node, grams, times: the packed shingle sets of ``nodes`` (node, doc_id), one row each."""
+    texts = docs.join(nodes, docs["doc_id"].eqNullSafe(nodes["doc_id"])).select("node", "text")
     # a doc_id may stand on rows of several texts: the fingerprint tells which is meant
-    sets = texts.mapInArrow(partial(_pack_sets, size=size), "node binary, found binary, grams binary, times binary").filter("node = found").drop("found")
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"), F.col("times").alias("times_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"), F.col("times").alias("times_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b", "times_a", "times_b")
-    compared = both.mapInArrow(partial(_compare, counted=weights == "count"), "a binary, b binary, similarity double")
-    return compared.filter(F.col("similarity") >= threshold).select("a", "b").distinct()
+    sets = texts.mapInArrow(partial(_pack_sets, size=size), "node long, found long, grams binary, times binary").filter("node = found")
+    return sets.groupBy("node").agg(F.first("grams").alias("grams"), F.first("times").alias("times"))
+
+
+def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, threshold: float, weights: str) -> DataFrame:
+    """a, b: the ``pairs`` of nodes whose similarity reaches the threshold."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    some = sets.join(if_small(durable(wanted)), "node", "left_semi")
+    left = some.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"), F.col("times").alias("times_a"))
+    right = some.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"), F.col("times").alias("times_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b", "times_a", "times_b").coalesce(max(6, n_pairs // 10_000))
+    compared = both.mapInArrow(partial(_compare, counted=weights == "count"), "a long, b long, similarity double")
+    return compared.filter(F.col("similarity") >= threshold).select("a", "b")
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _apart(rows: DataFrame, keys: list[str]) -> DataFrame:
     """a, b: the pairs that share ``keys`` but aren't connected yet."""
     left = rows.select(*keys, F.col("node").alias("a"), F.col("root").alias("root_a"))
     right = rows.select(*keys, F.col("node").alias("b"), F.col("root").alias("root_b"))
-    return left.join(right, keys).filter("root_a < root_b").select("a", "b").distinct()
+    return _ordered(left.join(right, keys).filter("root_a < root_b"))
+
+
+def _to_leaders(rows: DataFrame, turn: int) -> DataFrame:
+    """a, b: each member with its bucket's leader of this turn, where they aren't connected yet."""
+    lot = F.xxhash64("key", "node", F.lit(turn))
+    leaders = rows.groupBy("key").agg(F.min_by(F.struct("node", "root"), lot).alias("leader"))
+    joined = rows.join(leaders, "key").filter(F.col("root") != F.col("leader.root"))
+    return _ordered(joined.select(F.col("node").alias("a"), F.col("leader.node").alias("b")))
+
+
+def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """key, node, root, n, roots of the members of buckets where several classes meet."""
+    rows = members.withColumn("root", F.col("node")) if roots is None else _labelled(members, roots)
+    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.approx_count_distinct("root").alias("roots")).filter("low < high")
+    return rows.join(met.select("key", "n", "roots"), "key")
 
 
 def near_duplicates(
@@ -217,12 +244,12 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, class_id, class_size: one row per row of ``docs``; class_id is the least doc_id of the class.
 
-    Texts with equal shingle sets count once, so copies cost nothing. In each bucket every text is
-    first compared with the bucket's least member only; then, with the classes these links give,
-    members of different classes are compared with each other. Pairs already connected are never
-    emitted, so a bucket of thousands of near copies gives thousands of pairs, not millions. A
-    bucket where many classes still meet is cut by a second shared band before that, which a pair
-    at the threshold lacks with a probability of 1e-5.
+    Texts with equal shingle sets count once, so copies cost nothing. In each bucket the texts are
+    compared with a leader only, drawn anew each turn, and links join classes; connected pairs are
+    never looked at again. So a bucket of thousands of near copies costs thousands of pairs a turn,
+    not millions. When few pairs of different classes are left in the buckets, or turns no longer
+    help, all of those are compared. A bucket where many are left is cut by a second shared band
+    before that, which a pair at the threshold lacks with a probability of 1e-5.
 
     Null and empty texts have no shingles and form one class, as copies of each other; texts of one
     to four words match equal texts only; repeated rows are copies; a class of null ids alone has a
@@ -231,23 +258,38 @@ def near_duplicates(
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = durable(signatures(source, size=size, bands=bands, rows=rows, weights=weights))
     nodes = durable(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = durable(banded.join(buckets, ["band", "key"]).select("band", "key", "node", "least"))
-    first = durable(members.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    links = durable(_verified(first, nodes, source, size, threshold, weights))
-    roots = durable(components(links))
-
-    rest = _labelled(members.select("band", "key", "node"), roots)
-    mixed = rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.approx_count_distinct("root").alias("roots")).filter("low < high")
-    rest = durable(rest.join(mixed.select("band", "key", (F.col("n") * F.col("roots") > split_pairs).alias("large")), ["band", "key"]))
-    pairs = _apart(rest.filter("not large"), ["band", "key"])
-    large = rest.filter("large").join(nodes.select("node", "bands"), "node").select("band", "key", "node", "root", F.posexplode("bands").alias("band2", "key2")).filter("band2 <> band")
-    pairs = pairs.unionByName(_apart(large, ["band", "key", "band2", "key2"])).distinct()
-    pairs = durable(pairs.join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        more = _verified(pairs, nodes, source, size, threshold, weights)
-        roots = durable(components(durable(links.unionByName(more))))
+    banded = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    members, n_members = sized(banded.join(buckets, "key").select("key", "node"))
+    sets = stored(shingle_tables(nodes.select("node", "doc_id").join(members.select("node").distinct(), "node"), source, size))
+
+    roots, tested, links = None, None, []
+    for turn in range(MAX_TURNS):
+        apart, n_rows = sized(_mixed(members, roots).select("key", "node", "root", "n", "roots"))
+        cross = apart.groupBy("key").agg(F.first("n").alias("n"), F.first("roots").alias("r")).agg(F.sum(F.col("n") * (F.col("r") - 1))).first()[0] or 0
+        if turn and cross <= 2 * n_members:
+            break
+        fresh = _to_leaders(apart, turn)
+        pairs, n_pairs = sized(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found, n_found = sized(_verified(pairs, n_pairs, sets, threshold, weights))
+        links.append(found)
+        if n_found:
+            roots = durable(components(reduce(DataFrame.unionByName, links)))
+        members = apart.select("key", "node") if turn else members
+    else:
+        apart, n_rows = sized(_mixed(members, roots).select("key", "node", "root", "n", "roots"))
+    if n_rows:
+        large = F.col("n") * F.col("roots") > split_pairs
+        few = _apart(apart.filter(~large), ["key"])
+        many = apart.filter(large).join(nodes.select("node", "bands"), "node").select("key", "node", "root", F.explode("bands").alias("key2")).filter("key2 <> key")
+        rest = few.unionByName(_apart(many, ["key", "key2"])).distinct()
+        pairs, n_pairs = sized(rest.join(tested, ["a", "b"], "left_anti"))
+        found, n_found = sized(_verified(pairs, n_pairs, sets, threshold, weights))
+        if n_found:
+            roots = durable(components(reduce(DataFrame.unionByName, [*links, found])))
+    if roots is None:
+        roots = members.select("node", F.col("node").alias("root")).limit(0)
 
     classed = _labelled(signed.select("doc_id", "node"), roots)
     classes = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
