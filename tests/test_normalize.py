@@ -55,7 +55,7 @@ def assets(spark):
 
 
 def test_restore(spark, assets):
-    cases = {1: ("Toi nghe noi, su kien lon.", "Tôi nghe nói, sự kiện lớn."), 2: ("su kiên nhẫn day", "sự kiên nhẫn day"), 3: ("ngan", "ngan"), 4: ("NVIDIA  nghe\txyz abc", "NVIDIA  nghệ\txyz abc"), 5: ("nghe thuật đó", "nghệ thuật đó")}
+    cases = {1: ("Toi nghe noi, su kien lon.", "Tôi nghe nói, sự kiện lớn."), 2: ("su kiên nhẫn day", "sự kiên nhẫn day"), 3: ("ngan", "ngan"), 4: ("NASA  nghe\txyz abc", "NASA  nghệ\txyz abc"), 5: ("nghe thuật đó", "nghệ thuật đó")}
     frame = spark.createDataFrame([(i, c[0]) for i, c in cases.items()], "doc_id long, text string")
     out = {r.doc_id: r for r in restore.restore(frame, *assets).collect()}
     assert {i: r.restored for i, r in out.items()} == {i: c[1] for i, c in cases.items()}
