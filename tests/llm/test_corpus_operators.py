@@ -47,13 +47,32 @@ def brute_classes(rows):
 def test_near_duplicates(docs, texts):
     out = near_dedup.near_duplicates(docs)
     assert sorted((str(r.doc_id), r.class_id, r.class_size) for r in out.collect()) == brute_classes([(i, t) for i, t, _ in texts])
-    small = near_dedup.near_duplicates(docs, split_pairs=0)  # every mixed bucket is cut by a second band
+    small = near_dedup.near_duplicates(docs, split_pairs=0)  # rare shingles choose among all that turns leave
     assert sorted(map(str, small.collect())) == sorted(map(str, out.collect()))
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.class_id for r in out.collect()}
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rare_shingles_lose_no_pair(spark):
+    """All pairs at the threshold share a rare shingle, though all texts share a passage."""
+    pick = random.Random(5)
+    word = lambda: f"w{pick.randrange(10**9)}"
+    passage, rows = [word() for _ in range(60)], []
+    for i in range(0, 80, 4):
+        own = [word() for _ in range(40)]
+        whole = own + passage
+        rows += [(i, " ".join(whole)), (i + 1, " ".join([*own[:-1], word(), *passage])), (i + 2, " ".join([word() for _ in range(40)] + passage)), (i + 3, " ".join(whole[:81]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = near_dedup.signatures(frame).select("node", "doc_id")
+    sets = near_dedup.shingle_tables(nodes, frame, 5)
+    ids = {r.node: r.doc_id for r in nodes.collect()}
+    for weights in ("set", "count"):
+        rare = near_dedup._rare(sets, nodes.select("node", nodes["node"].alias("root")), 0.8, weights).collect()
+        pairs = {tuple(sorted((ids[r.a], ids[r.b]))) for r in rare}
+        assert {(i, i + k) for i in range(0, 80, 4) for k in (1, 3)} <= pairs and len(pairs) < 100
+
+
 def test_near_duplicates_by_chain(spark):
     """Links that only later copies make join classes; a hub of many copies costs a pair each."""
     pick = random.Random(3)

@@ -19,7 +19,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import _text
@@ -30,10 +30,12 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: At similarity 0.8 two texts share no band with a probability of (1 - 0.8 ** 5) ** 30 = 7e-6.
 BANDS, ROWS = 30, 5
-#: Buckets in which more pairs than this could stand are cut by a second band as well.
+#: In buckets in which more pairs than this could stand, rare shingles tell which texts to compare.
 SPLIT_PAIRS = 4096
 #: Turns of comparing with leaders at most; what they leave is compared pair by pair.
 MAX_TURNS = 8
+#: Turns end when fewer than one in so many of a turn's pairs were links: what is left is mostly unlike.
+USEFUL_SHARE = 8
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _AIM, _WEIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -231,6 +233,50 @@ def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(met.select("key", "n", "roots"), "key")
 
 
+def _elements(batches: Iterator[pa.RecordBatch], counted: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set; with ``counted`` one for each of its occurrences."""
+    for batch in batches:
+        for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+            sets = []
+            for raw, times in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                grams = np.frombuffer(raw, np.uint64)
+                if counted:
+                    often = np.frombuffer(times, "<u4").astype(np.int64)
+                    nth = np.arange(int(often.sum())) - np.repeat(np.cumsum(often) - often, often)
+                    with np.errstate(over="ignore"):
+                        grams = _text.mix(np.repeat(grams, often) + nth.astype(np.uint64) * _GOLD)
+                sets.append(grams)
+            sizes = [len(x) for x in sets]
+            columns = [np.repeat(np.asarray(part.column(i)), sizes) for i in (0, 1)]
+            key = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(key)], names=["node", "root", "size", "key"])
+
+
+def _rare(sets: DataFrame, wanted: DataFrame, threshold: float, weights: str) -> DataFrame:
+    """a, b: the pairs of the ``wanted`` (node, root) that may be alike, of different classes.
+
+    Put the shingles of all in one order, from rare to frequent. If the first that two sets share has
+    ``rest_a`` and ``rest_b`` of them at or after it, they have at most the lesser in common, which
+    must reach threshold / (1 + threshold) of both sizes together. So only the first shingles of a
+    set matter, fewer still where it is the smaller one, and a passage that stands in thousands of
+    texts makes no pairs of them. No pair at the threshold is lost.
+    """
+    given = sets.join(wanted, "node").select("node", "root", "grams", "times")
+    rows = durable(given.mapInArrow(partial(_elements, counted=weights == "count"), "node long, root long, size int, key long"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = Window.partitionBy("node")
+    rest = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("n", "key")) + 1  # shingles of one text come first
+    share = threshold / (1 + threshold)
+    rare = rows.join(shared, "key").withColumn("rest", rest).filter(F.col("rest") >= threshold * F.col("size") - 1e-6)
+    rare = durable(rare.select("key", "node", "root", "size", "rest"))
+    left = rare.filter(F.col("rest") >= 2 * share * F.col("size") - 1e-6)
+    left = left.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "rest")))
+    right = rare.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "rest")))
+    enough = F.least("rest_a", "rest_b") >= share * (F.col("size_a") + F.col("size_b")) - 1e-6
+    both = left.join(right, "key").filter((F.col("root_a") != F.col("root_b")) & (F.col("size_a") <= F.col("size_b")) & enough)
+    return _ordered(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -248,8 +294,8 @@ def near_duplicates(
     compared with a leader only, drawn anew each turn, and links join classes; connected pairs are
     never looked at again. So a bucket of thousands of near copies costs thousands of pairs a turn,
     not millions. When few pairs of different classes are left in the buckets, or turns no longer
-    help, all of those are compared. A bucket where many are left is cut by a second shared band
-    before that, which a pair at the threshold lacks with a probability of 1e-5.
+    help, all of those are compared. Where a bucket has many left, their rarest shingles tell which
+    may reach the threshold, and no pair that does is lost.
 
     Null and empty texts have no shingles and form one class, as copies of each other; texts of one
     to four words match equal texts only; repeated rows are copies; a class of null ids alone has a
@@ -263,11 +309,11 @@ def near_duplicates(
     members, n_members = sized(banded.join(buckets, "key").select("key", "node"))
     sets = stored(shingle_tables(nodes.select("node", "doc_id").join(members.select("node").distinct(), "node"), source, size))
 
-    roots, tested, links = None, None, []
+    roots, tested, links, useful = None, None, [], True
     for turn in range(MAX_TURNS):
         apart, n_rows = sized(_mixed(members, roots).select("key", "node", "root", "n", "roots"))
         cross = apart.groupBy("key").agg(F.first("n").alias("n"), F.first("roots").alias("r")).agg(F.sum(F.col("n") * (F.col("r") - 1))).first()[0] or 0
-        if turn and cross <= 2 * n_members:
+        if cross <= 2 * n_members and turn or not useful:
             break
         fresh = _to_leaders(apart, turn)
         pairs, n_pairs = sized(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"))
@@ -276,14 +322,15 @@ def near_duplicates(
         links.append(found)
         if n_found:
             roots = durable(components(reduce(DataFrame.unionByName, links)))
-        members = apart.select("key", "node") if turn else members
+        useful = not turn or n_found * USEFUL_SHARE >= n_pairs
+        members = apart.select("key", "node")
     else:
         apart, n_rows = sized(_mixed(members, roots).select("key", "node", "root", "n", "roots"))
     if n_rows:
         large = F.col("n") * F.col("roots") > split_pairs
         few = _apart(apart.filter(~large), ["key"])
-        many = apart.filter(large).join(nodes.select("node", "bands"), "node").select("key", "node", "root", F.explode("bands").alias("key2")).filter("key2 <> key")
-        rest = few.unionByName(_apart(many, ["key", "key2"])).distinct()
+        many = durable(apart.filter(large).select("node", "root").distinct())
+        rest = few.unionByName(_rare(sets, many, threshold, weights)).distinct()
         pairs, n_pairs = sized(rest.join(tested, ["a", "b"], "left_anti"))
         found, n_found = sized(_verified(pairs, n_pairs, sets, threshold, weights))
         if n_found:
