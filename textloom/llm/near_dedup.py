@@ -31,7 +31,7 @@ THRESHOLD = 0.8
 #: At similarity 0.8 two texts share no band with a probability of (1 - 0.8 ** 5) ** 30 = 7e-6.
 BANDS, ROWS = 30, 5
 #: In buckets in which more pairs than this could stand, rare shingles tell which texts to compare.
-SPLIT_PAIRS = 4096
+SPLIT_PAIRS = 16
 #: Turns of comparing with leaders at most; what they leave is compared pair by pair.
 MAX_TURNS = 8
 #: Turns end when fewer than one in so many of a turn's pairs were links: what is left is mostly unlike.
