@@ -34,7 +34,7 @@ from textloom.llm._spark import durable, if_small, partitions
 SEQ_LEN = 2048
 END_ID = 0
 #: Words that a worker remembers; when full it starts anew, which costs time but changes nothing.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 
 
 class WordTokenizer(dict):
@@ -55,6 +55,9 @@ class WordTokenizer(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self._learn([".", ","])
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -76,6 +79,15 @@ class WordTokenizer(dict):
         return [b"".join(map(self.__getitem__, words)) for words in cut]
 
     def _learn(self, words: list[str]) -> None:
+        """Adds words. Those of letters alone are one pre-token each, so many are encoded as one text and cut at word ends."""
+        letters = [w for w in words if w.isalpha()]
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(stops) == len(letters):
+                raw, stops = ids.tobytes(), stops.tolist()
+                self.update(zip(letters, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+                words = [w for w in words if not w.isalpha()]
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self[word] = array("I", found.ids).tobytes()
 
