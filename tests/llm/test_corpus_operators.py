@@ -153,6 +153,21 @@ def test_fuzzy_passage_is_found(spark):
     assert (r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end, r.matched) == (2, 1, 0, 88, 40, 130, 87)
 
 
+def test_passage_whose_parts_stood_earlier(spark):
+    """Two overlapping or adjacent stock sentences, first seen in A1 and A2; B and C have both."""
+    pick, rows, whole = random.Random(6), [], {}
+    word = lambda: f"w{pick.randrange(10**9)}"
+    own = lambda n: [word() for _ in range(n)]
+    for size, low, high in ((50, 30, 20), (60, 30, 30), (60, 40, 20), (60, 45, 12), (80, 48, 33), (96, 48, 48)):
+        i, passage = len(rows), own(size)
+        a, b, c = own(20), own(30), own(40)
+        rows += [(i, " ".join(a + passage[:low] + own(9))), (i + 1, " ".join(b + passage[high:] + own(9))), (i + 2, " ".join(c + passage + own(9))), (i + 3, " ".join(b + passage + own(9)))]
+        whole[i + 3, i + 2] = (30, 30 + size, 40, 40 + size)
+    out = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.other_id): (r.start, r.end, r.other_start, r.other_end) for r in out if r.other_id == r.doc_id - 1}
+    assert found == whole
+
+
 def test_without_repeats(docs, texts):
     out = substrings.without_repeats(docs, length="n_chars")
     assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType

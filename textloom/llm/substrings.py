@@ -4,8 +4,14 @@ Seeds are the minimizers of each text's word k-mers: of every ``window`` success
 with the least hash. Texts that share a run of k + window - 1 words share a seed in it. Each seed is
 matched with its first occurrence in the corpus only (least doc_id, then position), so the matches
 grow with the corpus and not with the square of a passage's frequency. The matches between two
-documents are chained in order with gap costs, by a Fenwick tree of prefix maxima; chains are
-aligned word by word, also beyond their ends, and kept if they are long and similar enough.
+documents are chained in order with gap costs, by a Fenwick tree of prefix maxima; chains, also
+those of a single seed, are aligned word by word, also beyond their ends, and kept if they are long
+and similar enough.
+
+Where parts of a passage stood in several earlier documents, its seeds' first occurrences are not
+in one of them. So each window of ``min_words`` words whose seeds are all repeated, and which is in
+no exact run of seeds with one document, is a key of its own, with its own first occurrence: every
+exact run of ``min_words`` words is matched with a document that holds the whole of it.
 """
 
 from __future__ import annotations
@@ -23,7 +29,12 @@ from pyspark.sql.types import StringType
 from textloom.llm import _text
 from textloom.llm._spark import durable
 
-K, WINDOW = 8, 16
+#: WINDOW is at most K, so that the seeds of a shared run leave no word between them out.
+K, WINDOW = 8, 8
+#: In an exact run, words between the anchors that are chained.
+STRIDE = 16
+#: Bytes of text for each range of keys; a task holds one range.
+RANGE_BYTES = 16_000_000
 MIN_WORDS = 50
 MIN_IDENTITY = 0.8
 #: A chain is cut where neighbouring seeds are further apart than this, in words.
@@ -55,7 +66,32 @@ def minimizers(hashes: np.ndarray, doc: np.ndarray, k: int = K, window: int = WI
     return grams[chosen], at[chosen]
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[pa.RecordBatch]:
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on, which compress better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _values(planes: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values of all rows of a column of planes."""
+    size = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(size, -1).T).view(kind).ravel() for p in planes.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _dealt(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """One row for each range of keys."""
+    part = (keys % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    bounds = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(part) else np.zeros(1, np.int64)
+    cuts = [order[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    kept = [[_planes(v[c]) for c in cuts] for v in (keys, ids.astype(np.int64), at.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array([int(part[c[0]]) for c in cuts], pa.int32()), *(pa.array(v, pa.binary()) for v in kept)], names=["part", "keys", "ids", "at"])
+
+
+DEALT = "part int, keys binary, ids binary, at binary"
+
+
+def _seed_rows(batches: Iterator[pa.RecordBatch], k: int, window: int, ranges: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = _text.text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy()
@@ -74,21 +110,36 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterat
             with np.errstate(over="ignore"):
                 seeds = np.r_[seeds, _text.mix(seeds[later] + turn[later].astype(np.uint64))]
             at, doc = np.r_[at, at[later]], np.r_[doc, doc[later]]
-            yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array((at - heads[doc]).astype(np.int32))], names=["seed", "doc_id", "at"])
+            yield _dealt(seeds, ids[lo:hi][doc], at - heads[doc], ranges)
+
+
+def _first_rows(table: pa.Table) -> pa.Table:
+    """doc_id, at, other_id, other_at of the keys that two documents have."""
+    keys, ids, at = _values(table.column("keys"), np.uint64), _values(table.column("ids"), np.int64), _values(table.column("at"), np.int32)
+    order = np.lexsort((at, ids, keys))
+    keys, ids, at = keys[order], ids[order], at[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[heads, len(keys)])
+    first = np.repeat(heads, sizes)
+    kept = np.repeat(ids[heads] != ids[heads + sizes - 1], sizes)
+    return pa.table({"doc_id": ids[kept], "at": at[kept], "other_id": ids[first][kept], "other_at": at[first][kept]})
 
 
-def seed_matches(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """doc_id, at, other_id, other_at: each seed of a document and its first occurrence, in another document.
+def first_occurrences(dealt: DataFrame) -> DataFrame:
+    """doc_id, at, other_id, other_at: each key that two documents have, and its first occurrence.
 
-    The first occurrence comes from partial minima, and only seeds of two documents or more are
-    joined back; so a seed that is everywhere is neither gathered nor bound to one task (Spark
-    splits a skewed side of the join).
+    The first document's own rows are among them. Keys travel once, as packed arrays by range.
     """
-    seeds = docs.mapInArrow(partial(_seed_rows, k=k, window=window), "seed long, doc_id long, at int")
-    first = F.min(F.struct("doc_id", "at"))
-    firsts = seeds.groupBy("seed").agg(first.alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id <> last")
-    firsts = firsts.select("seed", F.col("first.doc_id").alias("other_id"), F.col("first.at").alias("other_at"))
-    return seeds.join(firsts, "seed").filter("doc_id <> other_id").select("doc_id", "at", "other_id", "other_at")
+    return dealt.groupBy("part").applyInArrow(_first_rows, "doc_id long, at int, other_id long, other_at int")
+
+
+def _diagonals(at: np.ndarray, other: np.ndarray, other_at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the anchors of a document, and where in it each unbroken exact run begins (and the end)."""
+    shift = at.astype(np.int64) - other_at
+    order = np.lexsort((at, shift, other))
+    o, s, x = other[order], shift[order], at[order]
+    new = (o[1:] != o[:-1]) | (s[1:] != s[:-1]) | (x[1:] - x[:-1] > length)
+    return order, np.flatnonzero(np.r_[True, new, True]) if len(at) else np.zeros(1, np.int64)
 
 
 def chain(anchors: list[tuple[int, int]], k: int = K, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[list[tuple[int, int]]]:
@@ -137,29 +188,112 @@ def chain(anchors: list[tuple[int, int]], k: int = K, gap_cost: float = GAP_COST
     return out
 
 
-def _chain_rows(batches: Iterator[pa.RecordBatch], k: int, window: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    least = min_words - 2 * window  # between the ends of a passage and its outer seeds there are fewer than ``window`` k-mers
+def _lists(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_id, at, other_id and other_at of each row."""
+    found = batch.column("found")
+    at, other, other_at = (c.to_numpy(zero_copy_only=False) for c in found.flatten().flatten())
+    bounds = np.r_[0, np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+    for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+        cut = slice(bounds[i], bounds[i + 1])
+        yield doc, at[cut], other[cut], other_at[cut]
+
+
+def _unsettled(at: np.ndarray, runs: list[tuple[int, int]], k: int, window: int, min_words: int) -> tuple[list[int], list[int]]:
+    """First and last start of the windows of ``min_words`` words that may stand elsewhere but are in no exact run.
+
+    All seeds in such a window are repeated, so it is in a stretch of them; ``runs`` are the exact
+    runs (start, end) with single documents.
+    """
+    at = np.unique(at).astype(np.int64)
+    cut = np.flatnonzero(np.diff(at) > window)
+    low, high = np.maximum(0, at[np.r_[0, cut + 1]] - window + 1), at[np.r_[cut, len(at) - 1]] + k + window - 1
+    long = high - low >= min_words
+    count = np.zeros(int(high.max()) + 2, np.int64)
+    np.add.at(count, low[long], 1)
+    np.add.at(count, high[long] - min_words + 1, -1)
+    settled = np.zeros(len(count), np.int64)
+    for start, end in runs:
+        settled[start] += 1
+        settled[end - min_words + 1] -= 1
+    left = np.r_[False, (np.cumsum(count) > 0) & (np.cumsum(settled) == 0), False]
+    edges = np.flatnonzero(left[1:] != left[:-1])
+    return edges[::2].tolist(), (edges[1::2] - 1).tolist()
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     kind = pa.list_(pa.int32())
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), kind, kind), strict=True)], names=["doc_id", "other_id", "at", "other_at"])
+
+
+CHAINS = "doc_id long, other_id long, at array<int>, other_at array<int>"
+
+
+def _chain_rows(batches: Iterator[pa.RecordBatch], k: int, window: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """The chains of each document; a row without other_id has the starts of its unsettled windows."""
+    for batch in batches:
+        rows = []
+        for doc, at, other, other_at in _lists(batch):
+            mine = other != doc
+            x, o, y = at[mine], other[mine], other_at[mine]
+            order, bounds = _diagonals(x, o, y, k)
+            x, o, y = x[order], o[order], y[order]
+            heads, tails = bounds[:-1], bounds[1:] - 1
+            runs = [(s, e) for s, e in zip(x[heads].tolist(), (x[tails] + k).tolist(), strict=True) if e - s >= min_words]
+            first, last = _unsettled(at, runs, k, window, min_words)
+            if first:
+                rows.append((doc, None, first, last))
+            # within a run the words between two anchors are the same, so one in STRIDE words will do
+            kept = np.r_[True, x[1:] // STRIDE != x[:-1] // STRIDE] if len(x) else np.zeros(0, bool)
+            kept[heads] = kept[tails] = True
+            x, o, y = x[kept], o[kept], y[kept]
+            ends = np.flatnonzero(np.r_[True, o[1:] != o[:-1], True]) if len(o) else np.zeros(1, np.int64)
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                for links in chain(list(zip(x[lo:hi].tolist(), y[lo:hi].tolist(), strict=True)), k):
+                    rows.append((doc, int(o[lo]), [p[0] for p in links], [p[1] for p in links]))
+        yield _batch_of(rows)
+
+
+def _whole_rows(batches: Iterator[pa.RecordBatch], min_words: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Keys of the unsettled windows."""
+    for batch in batches:
+        keys, ids, at = [], [], []
+        for doc, text, firsts, lasts in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True):
+            raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+            known = _text.words(raw, np.array([0, len(raw)])).hash
+            for first, last in zip(firsts, lasts, strict=True):
+                part = known[first : last + min_words]
+                grams, where = _text.windows(part, np.zeros(len(part), np.int64), min_words)
+                keys.append(grams)
+                at.append(where + first)
+                ids.append(np.full(len(grams), doc, np.int64))
+        if keys:
+            yield _dealt(np.concatenate(keys), np.concatenate(ids), np.concatenate(at), ranges)
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """A chain for each run of windows on one diagonal."""
     for batch in batches:
         rows = []
-        for doc, other, anchors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for links in chain([(p["at"], p["other_at"]) for p in anchors], k):
-                if links[-1][0] + k - links[0][0] >= least:
-                    rows.append((doc, other, [p[0] for p in links], [p[1] for p in links]))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), kind, kind), strict=True)], names=["doc_id", "other_id", "at", "other_at"])
+        for doc, at, other, other_at in _lists(batch):
+            order, bounds = _diagonals(at, other, other_at, min_words)
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                start, end, shift = int(at[order[lo]]), int(at[order[hi - 1]]) + min_words - k, int(other_at[order[lo]]) - int(at[order[lo]])
+                links = sorted({*range(start, end, STRIDE), end})
+                rows.append((doc, int(other[order[lo]]), links, [p + shift for p in links]))
+        yield _batch_of(rows)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Cuts the words around each chain out of its texts, as 64-bit hashes."""
-    last, known = None, np.zeros(0, np.uint64)
+    """Cuts the words around each chain out of its texts, as 32-bit hashes."""
+    last, known = None, np.zeros(0, np.uint32)
     for batch in batches:
         cut, begins = [], []
         for text, low, high in zip(batch.column("text"), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
             text = text.as_buffer() if text.is_valid else None
             if last is None or text is None or not text.equals(last):
                 raw = np.frombuffer(text, np.uint8) if text is not None else np.zeros(0, np.uint8)
-                known, last = _text.words(raw, np.array([0, len(raw)])).hash, text
+                known, last = _text.words(raw, np.array([0, len(raw)])).hash.astype(np.uint32), text
             begin = max(0, low - MARGIN)
             begins.append(begin)
             cut.append(known[begin : high + k + MARGIN].tobytes())
@@ -220,7 +354,7 @@ def _align_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int, min_i
         for r in batch.to_pylist():
             if r["words"] is None or r["other_words"] is None:
                 continue
-            a, b = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["other_words"], np.uint64)
+            a, b = np.frombuffer(r["words"], np.uint32), np.frombuffer(r["other_words"], np.uint32)
             at, other_at = [p - r["begin"] for p in r["at"]], [p - r["other_begin"] for p in r["other_at"]]
             if at[-1] + k > len(a) or other_at[-1] + k > len(b):
                 continue  # a text of another row with the same id
@@ -244,23 +378,30 @@ def repeated_passages(
     other columns are ignored. A text is never cut short; its words go through memory once.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
-    anchors = seed_matches(source, k, window).groupBy("doc_id", "other_id").agg(F.collect_list(F.struct("at", "other_at")).alias("anchors"))
-    run = partial(_chain_rows, k=k, window=window, min_words=min_words)
-    chains = anchors.filter(F.size("anchors") > 1).mapInArrow(run, "doc_id long, other_id long, at array<int>, other_at array<int>")
-    chains = durable(chains.select(F.struct("doc_id", "other_id", F.col("at")[0].alias("x"), F.col("other_at")[0].alias("y")).alias("chain"), "at", "other_at"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 8 + size // RANGE_BYTES
+    found = first_occurrences(source.mapInArrow(partial(_seed_rows, k=k, window=window, ranges=ranges), DEALT))
+    listed = lambda f: f.groupBy("doc_id").agg(F.collect_list(F.struct("at", "other_id", "other_at")).alias("found"))
+    fuzzy = durable(listed(found).mapInArrow(partial(_chain_rows, k=k, window=window, min_words=min_words), CHAINS))
+    unsettled = fuzzy.filter("other_id IS NULL").select("doc_id", F.col("at").alias("first"), F.col("other_at").alias("last"))
+    whole = unsettled.join(source, "doc_id").mapInArrow(partial(_whole_rows, min_words=min_words, ranges=ranges), DEALT)
+    exact = listed(first_occurrences(whole).filter("doc_id <> other_id")).mapInArrow(partial(_run_rows, k=k, min_words=min_words), CHAINS)
+    name = F.struct("doc_id", "other_id", F.col("at")[0].alias("x"), F.col("other_at")[0].alias("y"), F.element_at("at", -1).alias("z"))
+    chains = durable(fuzzy.filter("other_id IS NOT NULL").unionByName(exact).select(name.alias("chain"), "at", "other_at"))
 
     ends = lambda c: [F.element_at(c, 1).alias("low"), F.element_at(c, -1).alias("high")]
     sides = chains.select("chain", F.col("chain.doc_id").alias("doc_id"), F.lit(0).alias("side"), *ends("at")).unionByName(
         chains.select("chain", F.col("chain.other_id").alias("doc_id"), F.lit(1).alias("side"), *ends("other_at"))
     )
     windows = sides.join(source, "doc_id").select("chain", "side", "low", "high", "text")
-    chain_type = "struct<doc_id:long,other_id:long,x:int,y:int>"
+    chain_type = "struct<doc_id:long,other_id:long,x:int,y:int,z:int>"
     windows = windows.mapInArrow(partial(_window_rows, k=k), f"chain {chain_type}, side int, begin int, words binary")
     on = lambda side, c: F.first(F.when(F.col("side") == side, F.col(c)), ignorenulls=True)
     pairs = windows.groupBy("chain").agg(on(0, "begin").alias("begin"), on(0, "words").alias("words"), on(1, "begin").alias("other_begin"), on(1, "words").alias("other_words"))
     given = pairs.join(chains, "chain").select("chain.doc_id", "chain.other_id", "at", "other_at", "begin", "words", "other_begin", "other_words")
     run = partial(_align_rows, k=k, min_words=min_words, min_identity=min_identity)
-    return given.mapInArrow(run, "doc_id long, other_id long, start int, end int, other_start int, other_end int, matched int, identity double")
+    aligned = given.mapInArrow(run, "doc_id long, other_id long, start int, end int, other_start int, other_end int, matched int, identity double")
+    return aligned.distinct()
 
 
 def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str:
