@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 from textloom.llm import lm, near_dedup, packing, substrings
 from textloom.llm.components import components
@@ -168,6 +169,23 @@ def test_passage_whose_parts_stood_earlier(spark):
     assert found == whole
 
 
+@pytest.mark.parametrize(("identity", "words", "least"), [(0.9, 60, 0.97), (0.85, 60, 0.85), (0.8, 60, 0.5), (0.9, 100, 0.97), (0.85, 100, 0.9), (0.8, 100, 0.6)])
+def test_recall_by_identity(spark, identity, words, least):
+    """Passages with exactly so many words replaced, in unlike texts; overlap counts as found."""
+    pick, rows, n = random.Random(words), [], 200
+    word = lambda: f"w{pick.randrange(10**9)}"
+    for i in range(n):
+        passage = [word() for _ in range(words)]
+        other = list(passage)
+        for at in pick.sample(range(words), round(words * (1 - identity))):
+            other[at] = word()
+        rows += [(2 * i, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])), (2 * i + 1, " ".join([word() for _ in range(50)] + other + [word() for _ in range(50)]))]
+    out = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in out}
+    print("recall", identity, words, len(found) / n)
+    assert all(r.other_id == r.doc_id - 1 for r in out) and len(found) / n >= least
+
+
 def test_without_repeats(docs, texts):
     out = substrings.without_repeats(docs, length="n_chars")
     assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType

@@ -30,7 +30,7 @@ from textloom.llm import _text
 from textloom.llm._spark import durable
 
 #: WINDOW is at most K, so that the seeds of a shared run leave no word between them out.
-K, WINDOW = 8, 8
+K, WINDOW = 5, 4
 #: In an exact run, words between the anchors that are chained.
 STRIDE = 16
 #: Bytes of text for each range of keys; a task holds one range.
