@@ -180,7 +180,7 @@ FROM events WHERE value IS NOT NULL GROUP BY 1
 
 
 def wer_pairs(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.slice(T.space_tokens("text"), F.lit(1), F.lit(30)).alias("said"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", T.space_tokens("text").alias("said"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("said").alias("next"))
     return evaluate.wer_by_group(turns.join(after, ["conv_id", "turn"]), "role", "said", "next")
 
