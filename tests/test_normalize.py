@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import normalize, restore, review, segments
 from textloom.operators.dictionary import Snapshot, phrase_table
+from textloom.plans import text_queries
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +110,14 @@ def test_replies(spark):
     frame = spark.createDataFrame([(i, t, ["a", "b"]) for i, t in enumerate(texts)], "i int, reply string, options array<string>")
     out = {r.i: (r.choice, r.is_new) for r in review.disambiguated(frame).collect()}
     assert out == {0: ("a", False), 1: ("z", True), 2: (None, None), 3: ("b", False), 4: (None, None), 5: (None, None)}
+
+
+def test_turns_of_long_conversations_stay_apart(spark, tmp_path):
+    """Turn 1000 of a conversation isn't turn 0 of the next."""
+    turns = [(1, 0), (1, 1), (1, 999), (1, 1000), (1, 1001), (1, 2001), (2, 0), (2, 1), (3, 1)]
+    rows = [(*t, f"{w} turn") for t, w in zip(turns, ["alpha", "bravo", "carol", "delta", "echo", "fox", "golf", "hotel", "india"], strict=True)]
+    tables = {"conversations": (rows, "conv_id long, turn int, text string"), "benchmark": ([(1, "one two")], "item_id long, text string"), "part": ([("qqq wide",)], "p_name string")}
+    for name, (given, schema) in tables.items():
+        spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = [(r.conv_id, r.turn, r.normalized_text) for r in text_queries.normalize_conversations(spark, str(tmp_path)).collect()]
+    assert sorted((c, t, text.lower().rstrip(".?")) for c, t, text in out) == sorted(rows)

@@ -154,9 +154,9 @@ def _snapshot(spark: SparkSession, d: str) -> dictionary.Snapshot:
 
 
 def normalize_conversations(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
     out = normalize.normalize(turns, _snapshot(spark, d), live=True)
-    return out.select("doc_id", "normalized_text", F.array_join("error_types", ",").alias("error_types"), F.size("expanded_abbreviations").alias("n_expanded"), F.size("changes").alias("n_changes"), F.size("pending_keys").alias("n_pending"))
+    return out.select("doc_id.conv_id", "doc_id.turn", "normalized_text", F.array_join("error_types", ",").alias("error_types"), F.size("expanded_abbreviations").alias("n_expanded"), F.size("changes").alias("n_changes"), F.size("pending_keys").alias("n_pending"))
 
 
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
