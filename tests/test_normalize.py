@@ -99,6 +99,18 @@ def test_review_policy():
     assert review.source_window("em dk hp nha", "em đăng ký học phần nha", 5, 6, 0) == "nha"
 
 
+def test_review_has_licences_and_originals(spark):
+    """Options, word-map forms and originals reach the policy by the tables of a chunk's words."""
+    cases = [(1, "Ko di", "không di", 0.3, None), (2, "tôi ăn ca", "tôi ăn cá", 0.9, None), (3, "tôi ăn ca", "tôi ăn cà", 0.9, None), (4, "em đăng ky nha", "em đăng ký học phần nha", 0.9, "em dk nha"), (5, "x di", "không di", 0.3, None)]
+    chunks = spark.createDataFrame([(i, 0, "", text, "", original) for i, text, _, _, original in cases], "doc_id int, chunk int, lead string, text string, tail string, original string")
+    proposals = spark.createDataFrame([(i, 0, new, conf, "ok") for i, _, new, conf, _ in cases], "doc_id int, chunk int, proposed string, confidence double, status string")
+    options = spark.createDataFrame([("KO", ["không"]), ("zz", ["x"])], "abbr string, options array<string>")
+    forms = spark.createDataFrame([("ca", "cá"), ("ca", "cả"), ("khac", "khác")], "nd string, form string")
+    out = {r.doc_id: r.reviewed for r in review.review(chunks, proposals, options, forms).collect()}
+    whole = {i: review.accept(text, new, conf, {"ko": ["không"]}, {"ca": ["cá", "cả"]}, original or "")[0] for i, text, new, conf, original in cases}
+    assert out == whole and [out[i] for i in range(1, 6)] == ["không di", "tôi ăn cá", "tôi ăn ca", "em đăng ký học phần nha", "x di"]
+
+
 def test_review_status(spark):
     rows = [(1, 0, "verified"), (1, 1, "verified"), (2, 0, "verified"), (2, 1, "error"), (3, 0, "quota"), (4, 0, "uncertain"), (5, 0, "not_checked")]
     frame = spark.createDataFrame([(*r, 0.9) for r in rows], "doc_id int, chunk int, status string, confidence double")

@@ -179,13 +179,16 @@ def protected_literals(spark: SparkSession, d: str) -> DataFrame:
 def review_documents(spark: SparkSession, d: str) -> DataFrame:
     """Each document's bare side is reviewed against its accented side as the recorded proposal.
 
-    German documents stand for those without a reply.
+    German documents stand for those without a reply. The word map is mined from the pairs, and the
+    names of parts stand for the expansions of their first three letters.
     """
     pairs = _pairs(spark, d)
     chunks = segments.explode_chunks(pairs, text="no_diacritics", words=400)
     langs = _documents(spark, d).select("doc_id", "lang")
     replies = segments.explode_chunks(pairs, text="with_diacritics", words=400).join(langs, "doc_id").select("doc_id", "lang", "chunk", F.col("text").alias("proposed"), F.lit(0.9).alias("confidence"), F.lit("ok").alias("status"))
-    return review.document_status(review.review(chunks, replies.filter("lang <> 'de'").drop("lang")))
+    options = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 3)).alias("abbr"), "p_name").groupBy("abbr").agg(F.collect_set("p_name").alias("options"))
+    forms = mining.word_map(mining.word_forms(pairs))
+    return review.document_status(review.review(chunks, replies.filter("lang <> 'de'").drop("lang"), options, forms))
 
 
 QUERIES = {
