@@ -175,3 +175,14 @@ def test_token_counts(docs, texts, monkeypatch):
 
 
 PLAIN = "the theme there thing things thinking Ünï 日本 the".split()
+
+
+def test_media_query_reads_the_stored_column(spark, tmp_path):
+    from textloom.llm import registry
+
+    docs = spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.op6_media_columns(spark, str(tmp_path))
+    files = out.inputFiles()
+    assert files and not any("documents.parquet" in f for f in files)
+    assert sorted(map(str, out.collect())) == sorted(map(str, media.media_digests(media.write_media(docs)).collect()))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, chat, lm, media, near_dedup, packing, quality, substrings, token_counts, warc
+from textloom.llm._spark import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,7 +101,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(media.write_media(_documents(spark, sf_dir)))
+    return media.media_digests(stored(media.write_media(_documents(spark, sf_dir))))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
