@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.session import table
+from textloom.session import new_folder, table
 from textloom.streaming import admission, jobs
 
 
@@ -16,7 +16,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def streaming_usage_daily(spark: SparkSession, d: str) -> DataFrame:
     picks = _events(spark, d).select("ts", F.col("event_type").alias("abbr"), F.col("k").alias("expanded_chosen"))
-    return jobs.snapshots(jobs.daily_usage(picks, "40 days"), ["usage_date", "abbr", "expanded_chosen"], jobs.shared_folder(spark, "usage"))
+    return jobs.snapshots(jobs.daily_usage(picks, "40 days"), ["usage_date", "abbr", "expanded_chosen"], new_folder(spark, "usage"))
 
 
 USAGE = """
@@ -26,7 +26,7 @@ SELECT ts::DATE AS usage_date, event_type AS abbr, json_extract_string(props, '$
 
 def streaming_rate_limits(spark: SparkSession, d: str) -> DataFrame:
     limits = jobs.rate_limits(_events(spark, d).select("ts", "user_id"), 1, per="1 hour")
-    rows = jobs.snapshots(limits, ["user_id", "minute"], jobs.shared_folder(spark, "limits"))
+    rows = jobs.snapshots(limits, ["user_id", "minute"], new_folder(spark, "limits"))
     return rows.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
@@ -35,7 +35,7 @@ LIMITS = "SELECT user_id, date_trunc('hour', ts) AS minute, count(*)::BIGINT AS
 
 def streaming_replays(spark: SparkSession, d: str) -> DataFrame:
     submissions = _events(spark, d).select("ts", F.col("k").alias("abbr"), F.col("event_type").alias("domain"))
-    return jobs.appended(jobs.without_replays(submissions, "40 days"), jobs.shared_folder(spark, "replays")).select("abbr", "domain")
+    return jobs.appended(jobs.without_replays(submissions, "40 days"), new_folder(spark, "replays")).select("abbr", "domain")
 
 
 REPLAYS = "SELECT DISTINCT json_extract_string(props, '$.k') AS abbr, event_type AS domain FROM events"
@@ -43,7 +43,7 @@ REPLAYS = "SELECT DISTINCT json_extract_string(props, '$.k') AS abbr, event_type
 
 def streaming_admission(spark: SparkSession, d: str) -> DataFrame:
     requests = _events(spark, d).select("ts", F.col("event_type").alias("account"), F.col("user_id").cast("string").alias("owner"), F.col("event_id").alias("request_id"), F.lit(None).cast("double").alias("took"))
-    return jobs.appended(admission.admitted(requests), jobs.shared_folder(spark, "admission"))
+    return jobs.appended(admission.admitted(requests), new_folder(spark, "admission"))
 
 
 QUERIES = {

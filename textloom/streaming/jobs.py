@@ -6,23 +6,16 @@ dropped. Sinks replace whole rows by key, so a batch that is written twice chang
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.session import new_folder
+
 DAY = "1 day"
 #: Fixed value: how long an identical submission is taken for a replay.
 REPLAY = "30 seconds"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def file_stream(spark: SparkSession, pattern: str, like: DataFrame, files_per_batch: int = 100) -> DataFrame:
     """The Parquet files of ``pattern`` as a stream with the schema of ``like`` (STM10)."""
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
