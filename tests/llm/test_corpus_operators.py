@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from textloom.llm import lm, near_dedup, packing, substrings
+from textloom.llm import _text, lm, near_dedup, packing, substrings
 from textloom.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -169,6 +170,26 @@ def test_passage_whose_parts_stood_earlier(spark):
     assert found == whole
 
 
+def test_long_rows_are_cut_into_pieces():
+    """Hashes don't depend on the piece a word, or a part of it, falls into."""
+    pick = random.Random(9)
+    texts = ["", " ".join("w" * pick.randint(1, 9) + str(i) for i in range(90_000)), "z" * 450_000 + " A b", "end"]
+    column = pa.array(texts)
+    data, offsets = _text.text_bytes(column)
+    whole = _text.words(data, offsets)
+    said = [(i, w) for i, t in enumerate(texts) for w in lowered(t)]
+    assert [(d, bytes(data[s:e]).decode().lower()) for d, s, e in zip(whole.doc.tolist(), whole.start.tolist(), whole.end.tolist(), strict=True)] == said
+    own = {}
+    for i in [*range(0, len(said), 997), len(said) - 3]:
+        raw = said[i][1].encode()
+        terms, power = 0, 1
+        for x in raw:
+            terms = (terms + int(_text._BYTE[x]) * power) % 2**64
+            power = power * int(_text._BASE) % 2**64
+        own[i] = int(_text.mix(np.array([(terms + len(raw) * int(_text._GOLD)) % 2**64], np.uint64))[0])
+    assert {i: int(whole.hash[i]) for i in own} == own
+
+
 @pytest.mark.parametrize(("identity", "words", "least"), [(0.9, 60, 0.97), (0.85, 60, 0.85), (0.8, 60, 0.5), (0.9, 100, 0.97), (0.85, 100, 0.9), (0.8, 100, 0.6)])
 def test_recall_by_identity(spark, identity, words, least):
     """Passages with exactly so many words replaced, in unlike texts; overlap counts as found."""
@@ -221,22 +242,28 @@ def test_interpolation(docs, texts):
 
     one, two = tables({2, 3, 4})
     kept = sum(v for k, v in one.items() if k != "<start>")
-    cells = Counter()
+    step = lambda p: 0 if not p else min(399, max(0, round(-math.log(p) / 0.1))) + 1
+    cells = Counter()  # events by bucket and the steps of both estimates
     for i, ws in rows:
         if fold(i) == 0:
             for h, w in zip(["<start>", *ws], ws, strict=False):
-                c = np.array([one[h]])
-                pair = two[h, w] / one[h] if one[h] else 0.0
-                cells[(int(lm.bucket(c)[0]) * 401 + int(lm._bins(np.array([pair]))[0])) * 401 + int(lm._bins(np.array([one[w] / max(1, kept)]))[0])] += 1
-    weights = lm.learn_weights(cells, types)
-    assert np.allclose(weights.sum(1), 1) and weights[0, 0] == 0
+                cells[one[h].bit_length(), step(two[h, w] / one[h] if one[h] else 0), step(one[w] / max(1, kept))] += 1
+    estimate = lambda s: math.exp(-(s - 1) * 0.1) if s else 0.0
+    weights = {b: [1 / 3] * 3 if b else [0, 0.5, 0.5] for b in range(48)}
+    for _ in range(40):
+        sums = {b: [1.0 if b else 0.0, 1.0, 1.0] for b in range(48)}
+        for (b, pair, token), n in cells.items():
+            share = [w * p for w, p in zip(weights[b], (estimate(pair), estimate(token), 1 / (types + 1)), strict=True)]
+            for j in range(3):
+                sums[b][j] += n * share[j] / sum(share)
+        weights = {b: [x / sum(v) for x in v] for b, v in sums.items()}
     one, two = tables({0, 2, 3, 4})
     expected = []
     for i, ws in rows:
         base = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (types + 1))) for w in ws)
         score = 0.0
         for h, w in zip(["<start>", *ws], ws, strict=False):
-            a, b, c = weights[int(lm.bucket(np.array([one[h]]))[0])]
+            a, b, c = weights[one[h].bit_length()]
             score += math.log10(a * (two[h, w] / one[h] if one[h] else 0) + b * count[w] / total + c / (types + 1))
         expected.append((str(i), fold(i) == 1, len(ws), sum(count[w] > 0 for w in ws), total, round(base, 4), round(score, 4)))
     got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in out]

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import new_folder, shared_folder
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, kept in the shared folder that ``spark.checkpoint.dir`` names.
+#: Bytes of an Arrow batch while a table is kept; a Python worker holds a few at a time.
+BATCH_BYTES = 8_000_000
 
-    Where a session names none, as in tests, a temporary folder is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-checkpoints-"))
-    return df.checkpoint()
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, kept in the shared folder."""
+    shared_folder(df.sparkSession)
+    with _small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 def partitions(df: DataFrame) -> int:
@@ -36,11 +48,9 @@ def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to Parquet in the shared folder and read again."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-checkpoints-"))
-    path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_folder(df.sparkSession, "table")
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

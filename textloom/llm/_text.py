@@ -13,8 +13,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that the kernels take at once; their working arrays are some 60 times as large.
-CHUNK_BYTES = 2_000_000
+#: Bytes of text that the kernels take at once, whole rows at least.
+CHUNK_BYTES = 500_000
+#: Bytes that are hashed at once, also within a longer row, word or line; each takes some 40 bytes of arrays.
+PIECE_BYTES = 200_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -40,17 +42,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
 
 
-class Powers:
-    """Powers of the hash base, as many as the longest segment so far needs."""
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of the hash base."""
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, _BASE, np.uint64)])
 
-    values = np.ones(1, np.uint64)
 
-    @classmethod
-    def upto(cls, n: int) -> np.ndarray:
-        if len(cls.values) < n:
-            with np.errstate(over="ignore"):
-                cls.values = np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * n, _BASE, np.uint64)])
-        return cls.values
+_POWERS = powers(PIECE_BYTES)
 
 
 class Segments(NamedTuple):
@@ -89,18 +87,35 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def _long_hash(data: np.ndarray, start: int, end: int) -> np.uint64:
+    """The sum of a long range's terms, piece by piece."""
+    total = 0
+    for at in range(start, end, PIECE_BYTES):
+        part = data[at : min(end, at + PIECE_BYTES)]
+        with np.errstate(over="ignore"):
+            own = int(np.sum(_BYTE[part] * _POWERS[: len(part)], dtype=np.uint64))
+        total += own * pow(int(_BASE), at - start, 2**64)
+    return np.uint64(total % 2**64)
+
+
 def segment_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash for each byte range; the ranges are in order and don't overlap."""
     size = end - start
     out = np.zeros(len(start), np.uint64)
-    full = size > 0
-    if full.any():
-        s, n = start[full], size[full]
-        first = np.r_[0, np.cumsum(n)[:-1]]
-        inside = np.arange(int(n.sum())) - np.repeat(first, n)
-        with np.errstate(over="ignore"):
-            terms = _BYTE[data[inside + np.repeat(s, n)]] * Powers.upto(int(n.max()))[inside]
-            out[full] = np.add.reduceat(terms, first)
+    full = np.flatnonzero(size > 0)
+    ends = np.cumsum(size[full])
+    lo, done = 0, 0
+    while lo < len(full):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + PIECE_BYTES, "right")))
+        s, n = start[full[lo:hi]], size[full[lo:hi]]
+        if n[0] > PIECE_BYTES:
+            out[full[lo]] = _long_hash(data, int(s[0]), int(s[0] + n[0]))
+        else:
+            first = np.cumsum(n) - n
+            inside = np.arange(int(n.sum())) - np.repeat(first, n)
+            with np.errstate(over="ignore"):
+                out[full[lo:hi]] = np.add.reduceat(_BYTE[data[inside + np.repeat(s, n)]] * _POWERS[inside], first)
+        lo, done = hi, int(ends[hi - 1])
     with np.errstate(over="ignore"):
         return mix(out + size.astype(np.uint64) * _GOLD)
 
@@ -140,10 +155,10 @@ def windows(hashes: np.ndarray, doc: np.ndarray, size: int, short: bool = False)
     n = len(hashes)
     at = np.flatnonzero(doc[: max(0, n - size + 1)] == doc[size - 1 :]) if n >= size else np.zeros(0, np.int64)
     total = np.zeros(len(at), np.uint64)
-    powers = Powers.upto(size)
+    weights = powers(size)
     with np.errstate(over="ignore"):
         for j in range(size):
-            total += hashes[at + j] * powers[size - 1 - j]
+            total += hashes[at + j] * weights[size - 1 - j]
     total = mix(total + np.uint64(size))
     if short and n:
         heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])

@@ -30,7 +30,7 @@ from textloom.llm._spark import durable
 
 FOLDS, TEST_FOLD, WEIGHT_FOLD = 5, 1, 0
 #: Bytes of text in a block, and bytes of corpus for each range of keys.
-BLOCK_BYTES, RANGE_BYTES = 16_000_000, 8_000_000
+BLOCK_BYTES, RANGE_BYTES = 5_000_000, 5_000_000
 BUCKETS = 48
 #: Steps of a natural logarithm in which held-out events are told apart while the weights are learned.
 STEP, STEPS = 0.1, 400
@@ -214,14 +214,13 @@ def _events(key, docs: pa.Table, answers: pa.Table, starts: int, total: int) ->
     return pa.table([pa.array(cells.astype(np.int64)), pa.array(n)], names=["cell", "n"])
 
 
-def learn_weights(cells: dict[int, int], types: int) -> np.ndarray:
+def learn_weights(code: np.ndarray, n: np.ndarray, types: int) -> np.ndarray:
     """BUCKETS x 3 weights of pair, token and uniform estimates, by expectation-maximisation.
 
-    ``cells`` are the counts of ``_events``, of which there are at most BUCKETS * 401 * 401. A
-    pseudo-count for each estimate keeps buckets without events in the middle.
+    ``code`` and ``n`` are the cells of ``_events`` and their counts; there are at most BUCKETS *
+    401 * 401 (123 MB). A pseudo-count for each estimate keeps buckets without events in the middle.
     """
-    code = np.array(list(cells), np.int64)
-    n = np.array(list(cells.values()), np.float64)
+    code, n = code.astype(np.int64), n.astype(np.float64)
     which, pair, token = code // (STEPS + 1) ** 2, code // (STEPS + 1) % (STEPS + 1), code % (STEPS + 1)
     p = np.stack([np.where(x > 0, np.exp(-(x - 1) * STEP), 0.0) for x in (pair, token)] + [np.full(len(code), 1 / (types + 1))], 1)
     weights = np.full((BUCKETS, 3), 1 / 3)
@@ -297,7 +296,8 @@ def interpolation_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     own = replies.filter(F.shiftright("block", 24).bitwiseAND(F.lit(1)) == 0)
     cells = weighing.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(events, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    weights = learn_weights({r["cell"]: r["n"] for r in cells.collect()}, totals["distinct"])
+    found = cells.toArrow()
+    weights = learn_weights(found.column("cell").to_numpy(), found.column("n").to_numpy(), totals["distinct"])
 
     def scores(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return _scores(key, left, right, size["learned"], totals["n_learned"], totals["distinct"], weights)

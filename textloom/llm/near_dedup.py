@@ -36,6 +36,8 @@ SPLIT_PAIRS = 16
 MAX_TURNS = 8
 #: Turns end when fewer than one in so many of a turn's pairs were links: what is left is mostly unlike.
 USEFUL_SHARE = 8
+#: Bytes of text that are signed at once (whole rows at least), and elements whose darts fly at once.
+SIGN_BYTES, ELEMENTS = 250_000, 30_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _AIM, _WEIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -57,8 +59,9 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray,
     limit = np.divide(k * math.log(k) + 2 * k, total, out=np.zeros(n_docs), where=total > 0)
     todo = np.flatnonzero(total > 0)
     while len(todo):
-        pick = np.isin(doc, todo) if len(todo) < n_docs else slice(None)
-        _throw(elements[pick], weights[pick], doc[pick], limit, k, best, ids)
+        pick = np.flatnonzero(np.isin(doc, todo)) if len(todo) < n_docs else np.arange(len(doc))
+        for own in (pick[lo : lo + ELEMENTS] for lo in range(0, len(pick), ELEMENTS)):
+            _throw(elements[own], weights[own], doc[own], limit, k, best, ids)
         empty = np.isinf(best.reshape(n_docs, k)[todo]).any(1)
         todo = todo[empty]
         limit[todo] *= 2  # later darts, until every coordinate has one
@@ -122,10 +125,10 @@ def _fingerprints(grams: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int, counted: bool) -> Iterator[pa.RecordBatch]:
-    powers = _text.Powers.upto(rows)[:rows]
+    powers = _text.powers(rows)
     for batch in batches:
         data, offsets = _text.text_bytes(batch.column(1))
-        for lo, hi in _text.chunks(offsets, 1_000_000):
+        for lo, hi in _text.chunks(offsets, SIGN_BYTES):
             n = hi - lo
             grams, times, doc = shingle_sets(data, offsets[lo : hi + 1], size)
             prints = _fingerprints(grams, doc, n)
@@ -157,7 +160,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
 def _pack_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = _text.text_bytes(batch.column(1))
-        for lo, hi in _text.chunks(offsets):
+        for lo, hi in _text.chunks(offsets, SIGN_BYTES):
             grams, times, doc = shingle_sets(data, offsets[lo : hi + 1], size)
             ends = np.searchsorted(doc, np.arange(hi - lo + 1))
             packed = [(grams[a:b].tobytes(), times[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -166,11 +169,11 @@ def _pack_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=["node", "found", "grams", "times"])
 
 
-def _similarity(a: bytes, b: bytes, times_a: bytes, times_b: bytes, counted: bool) -> float:
+def _similarity(a: bytes, b: bytes, times_a: bytes | None = None, times_b: bytes | None = None) -> float:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
     same = y[at] == x if len(y) else np.zeros(len(x), bool)
-    if not counted:
+    if times_a is None:
         common = int(same.sum())
         return common / max(1, len(x) + len(y) - common)
     m, n = np.frombuffer(times_a, "<u4").astype(np.int64), np.frombuffer(times_b, "<u4").astype(np.int64)
@@ -178,9 +181,9 @@ def _similarity(a: bytes, b: bytes, times_a: bytes, times_b: bytes, counted: boo
     return common / max(1, int(m.sum() + n.sum()) - common)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], counted: bool) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_similarity(*(x.as_py() for x in row), counted) for row in zip(*batch.columns[2:], strict=True)]
+        found = [_similarity(*(x.as_py() for x in row)) for row in zip(*batch.columns[2:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
 
@@ -196,10 +199,10 @@ def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, threshold: float,
     """a, b: the ``pairs`` of nodes whose similarity reaches the threshold."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     some = sets.join(if_small(durable(wanted)), "node", "left_semi")
-    left = some.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"), F.col("times").alias("times_a"))
-    right = some.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"), F.col("times").alias("times_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b", "times_a", "times_b").coalesce(max(6, n_pairs // 10_000))
-    compared = both.mapInArrow(partial(_compare, counted=weights == "count"), "a long, b long, similarity double")
+    given = ["grams", "times"] if weights == "count" else ["grams"]
+    left, right = (some.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in given)) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", *(f"{c}_{x}" for c in given for x in "ab")).coalesce(max(6, n_pairs // 10_000))
+    compared = both.mapInArrow(_compare, "a long, b long, similarity double")
     return compared.filter(F.col("similarity") >= threshold).select("a", "b")
 
 
