@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import _text
-from textloom.llm._spark import durable
+from textloom.llm._spark import stored
 
 FOLDS, TEST_FOLD, WEIGHT_FOLD = 5, 1, 0
 #: Bytes of text in a block, and bytes of corpus for each range of keys.
@@ -285,7 +285,7 @@ def interpolation_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     ).first()
     ranges = max(16, size["bytes"] // range_bytes)
     asked = rows.mapInArrow(partial(_requests, ranges=ranges, most=block_bytes), "block long, order int, range int, keys binary, learned binary, kept binary")
-    answers = durable(asked.groupBy("range").applyInArrow(_answer, _ANSWER))
+    answers = stored(asked.groupBy("range").applyInArrow(_answer, _ANSWER))
     totals = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_learned", "n_kept", "distinct"))).first()
     replies = answers.filter("block IS NOT NULL").select("block", "order", "range", "learned", "kept")
 
