@@ -293,7 +293,6 @@ def test_packing(docs, texts):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     known = Tokenizer.from_file(path)
-    known.encode_special_tokens = True
     out = packing.pack_documents(docs, path).collect()
     expected = Counter()
     for i, text, _ in texts:
@@ -328,17 +327,85 @@ def one_by_one(lengths, size):
     return used
 
 
-def test_best_fit_equals_one_by_one():
-    pick = random.Random(4)
-    for size, n in ((10, 40), (64, 300), (100, 500), (7, 1)):
-        lengths = [pick.randint(1, size) for _ in range(n)]
-        placed = packing.best_fit(Counter(lengths), size)
-        assert len({p.sequence + k for p in placed for k in range(p.count)}) == one_by_one(lengths, size)
-        assert Counter({x: sum(p.count for p in placed if p.length == x) for x in set(lengths)}) == Counter(lengths)
+@pytest.mark.parametrize(("size", "n", "rows_each"), [(256, 300, 40), (100, 200, 10**6), (7, 1, 5)])
+def test_best_fit_is_as_good_as_one_by_one(spark, size, n, rows_each):
+    """As many sequences as one-by-one best-fit decreasing (one more at most), each piece once, however the ranges are cut."""
+    pick = random.Random(size)
+    lengths = [pick.randint(1, size) if pick.random() < 0.7 else size // 3 + 1 for _ in range(n)]
+    rows = spark.createDataFrame([(i, 0, 0, x, 7) for i, x in enumerate(lengths)], packing._PIECE_TYPE)
+    out = packing.pack(rows, size, rows_each).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == list(enumerate(lengths))
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        ends = [a + b for a, b in sorted(parts)]
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= size
+    assert len(sequences) <= one_by_one(lengths, size) + 1
 
 
-def test_word_tokenizer_forgets_without_a_trace(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
-    tokenizer = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    for text in ("a b. c, d!", "ΑΣ İstanbul \x1c a\x1db x　y <|endoftext|> it's 123. don't É", "it's. end.. v1,", ". , x."):
-        assert np.frombuffer(tokenizer.encode([text])[0], "<u4").tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
+def test_ranges_match_as_one():
+    """What ranges leave over and match by rank is what one sweep over all rows matches."""
+    pick = random.Random(3)
+    for _ in range(200):
+        gap = np.array([pick.random() < 0.5 for _ in range(pick.randint(1, 40))])
+        opening, closing, alone = packing.nest(gap)
+        expected, stack = set(), []
+        for i, g in enumerate(gap.tolist()):
+            if g:
+                stack.append(i)
+            elif stack:
+                expected.add((stack.pop(), i))
+        assert set(zip(opening.tolist(), closing.tolist(), strict=True)) == expected
+        edges = sorted({0, len(gap), *(pick.randrange(len(gap)) for _ in range(4))})
+        found, left, rows = set(), {}, {}
+        for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            x, y, rest = packing.nest(gap[a:b])
+            found |= set(zip((x + a).tolist(), (y + a).tolist(), strict=True))
+            for kind, own in ((packing._GAP, rest[gap[a:b][rest]]), (packing._LEFT, rest[~gap[a:b][rest]])):
+                rows.update({(part, kind, r): i + a for r, i in enumerate(own.tolist())})
+            left[part] = (int((~gap[a:b][rest]).sum()), int(gap[a:b][rest].sum()))
+        runs, pairs, new = packing.across(left)
+        sides = {packing._GAP: {}, packing._LEFT: {}}
+        for run in runs:
+            if not run.new:
+                sides[run.kind].update({run.number + run.step * k: rows[run.part, run.kind, run.rank + k] for k in range(run.count)})
+        assert len(sides[packing._GAP]) == pairs and sides[packing._GAP].keys() == sides[packing._LEFT].keys()
+        found |= {(sides[packing._GAP][k], sides[packing._LEFT][k]) for k in range(pairs)}
+        assert found == expected and new == sum(not g for g in gap) - len(expected)
+
+
+HARD = [
+    "a b. c, d!",
+    "ΑΣ İstanbul \x1c a\x1db x　y it's 123. don't É",
+    "it's. end.. v1, 'Sure' rock'n'roll o'clock we'LL 'T",
+    ". , x.",
+    "a <|endoftext|> b",
+    "x<|startoftext|>y <|ENDOFTEXT|> <|endoftext",
+    "E\u0301te\u0301 café\u0301 ñ×÷ œŒ ŉ ſ ĸ Ĳ 12٣４ ½² ª",
+    "a\u00a0b\u2003c\u0085d\u200be \ufeff",
+    "''s '' 's'' &&&'s a'b' #'re",
+    "日本語 テスト 한국어 नमस्ते 🙂👍🏽 ﬁ ǅ ẞ",
+    "",
+    " \n\t ",
+    "z" * 30_000,
+]
+
+
+def test_word_tokenizer_is_the_tokenizer(monkeypatch):
+    """Ids are those of the untouched tokenizer, also when a worker forgets what it learned."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known = Tokenizer.from_file(path)
+    pick = random.Random(8)
+    signs = "abzAZéÉÀß'’.,!&09 \n\t\u0301\u00a0sStTlLİŉ×Σςøœ日<|>"
+    texts = [*HARD, *("".join(pick.choice(signs) for _ in range(60)) for _ in range(400))]
+    expected = [known.encode(t, add_special_tokens=False).ids for t in texts]
+    for remembered in (3_000_000, 40):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        tokenizer = packing.WordTokenizer(path)
+        for part in (pa.array(texts), pa.array(texts[::-1])):
+            got = [x.tolist() for i in range(0, len(part), 7) for x in tokenizer.rows(part[i : i + 7])]
+            assert got == (expected if part[0].as_py() == texts[0] else expected[::-1])
+        assert [x.tolist() for x in tokenizer.rows(pa.array([None, "a"]))] == [[], known.encode("a").ids]
