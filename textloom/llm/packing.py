@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import _text
-from textloom.llm._spark import durable, stored
+from textloom.llm._spark import BROADCAST_ROWS, durable, stored
 
 SEQ_LEN = 2048
 END_ID = 0
+#: A class reaches down to this share of its longest piece, where that is longer than so much of a sequence.
+CLASS_SHARES = [(1 / 6, 0.9), (1 / 16, 0.75), (0, 0.5)]
 #: Rows of a range, which one task sweeps.
 ROWS_EACH = 200_000
 #: Atoms that a worker remembers (20 bytes each); when full it starts anew, which costs time but changes nothing.
@@ -213,8 +215,8 @@ def classes(counts: dict[int, int], seq_len: int) -> Iterator[tuple[int, int, in
     left = sorted(counts, reverse=True)
     while left:
         high = left[0]
-        low = seq_len // 2 if 2 * high > seq_len else int(high * (0.9 if 8 * high > seq_len else 0.7))
-        low = min(low, high - 1)
+        share = next(share for least, share in CLASS_SHARES if high > least * seq_len)
+        low = seq_len // 2 if 2 * high > seq_len else min(int(high * share), high - 1)
         yield low, high, sum(counts[x] for x in left if x > low)
         left = [x for x in left if x <= low]
 
@@ -295,20 +297,12 @@ def across(left: dict[int, tuple[int, int]], pairs: int = 0) -> tuple[list[Run],
     return runs, pairs, new
 
 
-def _numbered(swept: DataFrame, runs: list[Run]) -> DataFrame:
+def _numbered(left: DataFrame, runs: list[Run]) -> DataFrame:
     """The leftover rows of ``runs``, with their ``number`` and whether it is a ``new`` place."""
-    table = np.array(sorted(runs), np.int64).reshape(-1, 7)
-    starts = (table[:, 0] << 2 | table[:, 1]) << 40 | table[:, 2]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part, kind, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("part", "kind", "rank"))
-            r = table[np.maximum(np.searchsorted(starts, (part << 2 | kind) << 40 | rank, "right") - 1, 0)]
-            meant = (r[:, 0] == part) & (r[:, 1] == kind) & (rank >= r[:, 2]) & (rank < r[:, 2] + r[:, 3])  # else a gap that stays free
-            kept = batch.select(["kind", "sequence_id", *PIECE]).append_column("number", pa.array(r[:, 4] + r[:, 5] * (rank - r[:, 2])))
-            yield kept.append_column("new", pa.array(r[:, 6] == 1)).filter(pa.array(meant))
-
-    return swept.filter(F.col("kind") != _FOUND).mapInArrow(run, f"kind int, sequence_id long, {_PIECE_TYPE}, number long, new boolean")
+    table = left.sparkSession.createDataFrame(runs, "part int, kind int, lowest long, count long, number long, step int, new boolean")
+    table = F.broadcast(table) if len(runs) <= BROADCAST_ROWS else table
+    meant = left.join(table, ["part", "kind"]).filter((F.col("rank") >= F.col("lowest")) & (F.col("rank") < F.col("lowest") + F.col("count")))
+    return meant.select("kind", "sequence_id", *PIECE, (F.col("number") + F.col("step") * (F.col("rank") - F.col("lowest"))).alias("number"), "new")
 
 
 def _merged(gaps: DataFrame, own: DataFrame, high: int) -> DataFrame:
@@ -344,18 +338,18 @@ def pack(rows: DataFrame, seq_len: int = SEQ_LEN, rows_each: int = ROWS_EACH) ->
         order = [F.col("size").desc(), "is_piece", "lot"]
         swept = durable(merged.repartitionByRange(ranges(n + opened), *order).sortWithinPartitions(*order, *PIECE).select("sequence_id", *PIECE).mapInArrow(_sweep, _SWEPT))
         found = [swept.filter(F.col("kind") == _FOUND).select("sequence_id", *PIECE, F.lit(False).alias("opens"))]
-        left = swept.filter(F.col("kind") != _FOUND).groupBy("part").agg(F.count_if(F.col("kind") == _LEFT).alias("pieces"), F.count_if(F.col("kind") == _GAP).alias("gaps")).collect()
+        rest = swept.filter(F.col("kind") != _FOUND)
+        left = rest.groupBy("part").agg(F.count_if(F.col("kind") == _LEFT).alias("pieces"), F.count_if(F.col("kind") == _GAP).alias("gaps")).collect()
         runs, pairs, new = across({r["part"]: (r["pieces"], r["gaps"]) for r in left})
-        each = seq_len // high
-        if runs:
-            numbered = _numbered(swept, runs)
-            if pairs:
-                numbered = durable(numbered)
-                free = numbered.filter(F.col("kind") == _GAP).select("number", "sequence_id")
-                found.append(numbered.filter((F.col("kind") == _LEFT) & ~F.col("new")).drop("sequence_id").join(free, "number").select("sequence_id", *PIECE, F.lit(False).alias("opens")))
+        numbered, each = _numbered(rest, runs), seq_len // high
+        if pairs:
+            free = numbered.filter(F.col("kind") == _GAP).select("number", "sequence_id")
+            waiting = numbered.filter((F.col("kind") == _LEFT) & ~F.col("new")).drop("sequence_id")
+            found.append(waiting.join(free, "number").select("sequence_id", *PIECE, F.lit(False).alias("opens")))
+        if new:
             sequence = F.lit(opened) + F.floor(F.col("number") / each)
             found.append(numbered.filter("new").select(sequence.alias("sequence_id"), *PIECE, (F.col("number") % each == 0).alias("opens")))
-        step = durable(reduce(DataFrame.unionByName, found).coalesce(ranges(n)))
+        step = reduce(DataFrame.unionByName, found).coalesce(ranges(n))
         placed.append(step.drop("opens"))
         opened += -(-new // each)
         taken = step.select("sequence_id", (F.when(F.col("opens"), seq_len).otherwise(0) - F.col("length")).alias("gap"))
