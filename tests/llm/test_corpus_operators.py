@@ -190,20 +190,22 @@ def test_long_rows_are_cut_into_pieces():
     assert {i: int(whole.hash[i]) for i in own} == own
 
 
-@pytest.mark.parametrize(("identity", "words", "least"), [(0.9, 60, 0.97), (0.85, 60, 0.85), (0.8, 60, 0.5), (0.9, 100, 0.97), (0.85, 100, 0.9), (0.8, 100, 0.6)])
-def test_recall_by_identity(spark, identity, words, least):
-    """Passages with exactly so many words replaced, in unlike texts; overlap counts as found."""
+@pytest.mark.parametrize("kind", ["replaced", "mixed"])
+@pytest.mark.parametrize(("identity", "words", "least"), [(0.9, 56, 0.97), (0.8, 56, 0.9), (0.85, 60, 0.9), (0.8, 60, 0.9), (0.8, 100, 0.9)])
+def test_recall_by_identity(spark, identity, words, least, kind):
+    """Passages with exactly so many words replaced, left out or put in, in unlike texts; overlap counts as found."""
     pick, rows, n = random.Random(words), [], 200
     word = lambda: f"w{pick.randrange(10**9)}"
     for i in range(n):
         passage = [word() for _ in range(words)]
-        other = list(passage)
+        other = [[x] for x in passage]
         for at in pick.sample(range(words), round(words * (1 - identity))):
-            other[at] = word()
+            other[at] = [word()] if kind == "replaced" else pick.choice(([word()], [], [passage[at], word()]))
+        other = [x for xs in other for x in xs]
         rows += [(2 * i, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])), (2 * i + 1, " ".join([word() for _ in range(50)] + other + [word() for _ in range(50)]))]
     out = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = {r.doc_id for r in out}
-    print("recall", identity, words, len(found) / n)
+    print("recall", kind, identity, words, len(found) / n)
     assert all(r.other_id == r.doc_id - 1 for r in out) and len(found) / n >= least
 
 

@@ -4,9 +4,9 @@ Seeds are the minimizers of each text's word k-mers: of every ``window`` success
 with the least hash. Texts that share a run of k + window - 1 words share a seed in it. Each seed is
 matched with its first occurrence in the corpus only (least doc_id, then position), so the matches
 grow with the corpus and not with the square of a passage's frequency. The matches between two
-documents are chained in order with gap costs, by a Fenwick tree of prefix maxima; chains, also
-those of a single seed, are aligned word by word, also beyond their ends, and kept if they are long
-and similar enough.
+documents are chained in order with gap costs, by a Fenwick tree of prefix maxima; chains of two seeds
+or more are aligned word by word, also beyond their ends, and kept if they are long and similar
+enough.
 
 Where parts of a passage stood in several earlier documents, its seeds' first occurrences are not
 in one of them. So each window of ``min_words`` words whose seeds are all repeated, and which is in
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.llm import _text
-from textloom.llm._spark import durable
+from textloom.llm._spark import durable, if_small
 
 #: WINDOW is at most K, so that the seeds of a shared run leave no word between them out.
 K, WINDOW = 5, 4
@@ -43,8 +43,10 @@ MAX_GAP = 40
 GAP_COST = 0.1
 #: Words around a chain that alignment may take in.
 MARGIN = 64
-#: Alignment goes on beyond a chain until it is this much below its best (match 1, mismatch -2).
-DROP = 8
+#: Chains whose windows are cut out of one copy of a text.
+MOST_CHAINS = 1000
+#: Alignment goes on beyond a chain until it is this much below its best (match 2, mismatch -1).
+DROP = 16
 
 
 def minimizers(hashes: np.ndarray, doc: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -54,12 +56,11 @@ def minimizers(hashes: np.ndarray, doc: np.ndarray, k: int = K, window: int = WI
     if n < window:
         return grams[:0], at[:0]
     full = n - window + 1
-    least, where = grams[:full].copy(), np.arange(full)
+    least, where = grams[:full], np.arange(full)
     for j in range(1, window):
         other = grams[j : j + full]
-        better = other < least
-        least[better] = other[better]
-        where[better] = np.flatnonzero(better) + j
+        where = np.where(other < least, np.arange(j, j + full), where)
+        least = np.minimum(least, other)
     own = doc[at]
     chosen = np.zeros(n, bool)
     chosen[where[own[:full] == own[window - 1 :]]] = True
@@ -68,26 +69,35 @@ def minimizers(hashes: np.ndarray, doc: np.ndarray, k: int = K, window: int = WI
 
 def _planes(values: np.ndarray) -> bytes:
     """The first bytes of all values, then the second ones and so on, which compress better."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def _values(planes: pa.ChunkedArray, kind: type) -> np.ndarray:
-    """The values of all rows of a column of planes."""
+def _values(planes: pa.ChunkedArray, kind: type, width: int = 0) -> np.ndarray:
+    """The values of all rows of a column of planes; with ``width`` they have so many bytes, padded with zeros."""
     size = np.dtype(kind).itemsize
-    parts = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(size, -1).T).view(kind).ravel() for p in planes.to_pylist()]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+    parts = [np.frombuffer(p.as_buffer(), np.uint8).reshape(width or size, -1).T for p in planes]
+    out = np.zeros((sum(map(len, parts)), size), np.uint8)
+    if parts:
+        np.concatenate(parts, out=out[:, : width or size])
+    return out.view(kind).ravel()
 
 
 def _dealt(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """One row for each range of keys."""
-    part = (keys % np.uint64(ranges)).astype(np.int64)
+    """One row for each range of keys, with the upper 40 bits of its keys.
+
+    The range tells the rest apart: it has about a million keys, however large the corpus is, so
+    one in a million of them takes another key for its own, and alignment looks at the words anyway.
+    """
+    part = (keys % np.uint64(ranges)).astype(np.uint16 if ranges < 2**16 else np.int64)
     order = np.argsort(part, kind="stable")
-    bounds = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(part) else np.zeros(1, np.int64)
-    cuts = [order[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-    kept = [[_planes(v[c]) for c in cuts] for v in (keys, ids.astype(np.int64), at.astype(np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array([int(part[c[0]]) for c in cuts], pa.int32()), *(pa.array(v, pa.binary()) for v in kept)], names=["part", "keys", "ids", "at"])
+    part = part[order]
+    bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    columns = [keys[order].view(np.uint8).reshape(-1, 8)[:, 3:], ids[order].astype(np.int64), at[order].astype(np.int32)]
+    kept = [[_planes(c[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)] for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), *(pa.array(v, pa.binary()) for v in kept)], names=["part", "keys", "ids", "at"])
 
 
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 DEALT = "part int, keys binary, ids binary, at binary"
 
 
@@ -100,23 +110,29 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], k: int, window: int, ranges: i
             seeds, at = minimizers(w.hash, w.doc, k, window)
             heads = np.searchsorted(w.doc, np.arange(hi - lo))
             doc = w.doc[at]
-            order = np.lexsort((at, seeds, doc))
-            heads_of = np.r_[True, (seeds[order][1:] != seeds[order][:-1]) | (doc[order][1:] != doc[order][:-1])] if len(at) else np.zeros(0, bool)
-            turn = np.zeros(len(at), np.int64)
-            turn[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(heads_of, np.arange(len(at)), 0))
             # a seed that a text repeats stands for itself and for its n-th turn, so that periodic
             # texts match period by period
-            later = np.flatnonzero(turn)
             with np.errstate(over="ignore"):
-                seeds = np.r_[seeds, _text.mix(seeds[later] + turn[later].astype(np.uint64))]
+                own = _text.mix(seeds + doc.astype(np.uint64) * _GOLD)
+            order = np.argsort(own, kind="stable")
+            new = np.ones(len(own), bool)
+            new[1:] = own[order][1:] != own[order][:-1]
+            turn = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+            later, turn = order[~new], turn[~new]
+            with np.errstate(over="ignore"):
+                seeds = np.r_[seeds, _text.mix(seeds[later] + turn.astype(np.uint64))]
             at, doc = np.r_[at, at[later]], np.r_[doc, doc[later]]
             yield _dealt(seeds, ids[lo:hi][doc], at - heads[doc], ranges)
 
 
 def _first_rows(table: pa.Table) -> pa.Table:
     """doc_id, at, other_id, other_at of the keys that two documents have."""
-    keys, ids, at = _values(table.column("keys"), np.uint64), _values(table.column("ids"), np.int64), _values(table.column("at"), np.int32)
-    order = np.lexsort((at, ids, keys))
+    keys, ids, at = _values(table.column("keys"), np.uint64, 5), _values(table.column("ids"), np.int64), _values(table.column("at"), np.int32)
+    # most keys stand alone and need no order by document
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+    order = order[np.unique(np.r_[same, same + 1])]
+    order = order[np.lexsort((at[order], ids[order], keys[order]))]
     keys, ids, at = keys[order], ids[order], at[order]
     heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[heads, len(keys)])
@@ -243,24 +259,34 @@ def _chain_rows(batches: Iterator[pa.RecordBatch], k: int, window: int, min_word
             first, last = _unsettled(at, runs, k, window, min_words)
             if first:
                 rows.append((doc, None, first, last))
+            # one seed alone is mostly chance: with another document a text must share two
+            shared = np.repeat(sizes := np.diff(np.flatnonzero(np.r_[True, o[1:] != o[:-1], True])), sizes) > 1 if len(o) else np.zeros(0, bool)
             # within a run the words between two anchors are the same, so one in STRIDE words will do
             kept = np.r_[True, x[1:] // STRIDE != x[:-1] // STRIDE] if len(x) else np.zeros(0, bool)
             kept[heads] = kept[tails] = True
+            kept &= shared
             x, o, y = x[kept], o[kept], y[kept]
             ends = np.flatnonzero(np.r_[True, o[1:] != o[:-1], True]) if len(o) else np.zeros(1, np.int64)
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 for links in chain(list(zip(x[lo:hi].tolist(), y[lo:hi].tolist(), strict=True)), k):
-                    rows.append((doc, int(o[lo]), [p[0] for p in links], [p[1] for p in links]))
+                    if len(links) > 1:
+                        rows.append((doc, int(o[lo]), [p[0] for p in links], [p[1] for p in links]))
         yield _batch_of(rows)
 
 
+def _word_lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each text."""
+    data, offsets = _text.text_bytes(column)
+    for lo, hi in _text.chunks(offsets):
+        w = _text.words(data, offsets[lo : hi + 1])
+        yield from np.split(w.hash, np.searchsorted(w.doc, np.arange(1, hi - lo)))
+
+
 def _whole_rows(batches: Iterator[pa.RecordBatch], min_words: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """Keys of the unsettled windows."""
     for batch in batches:
         keys, ids, at = [], [], []
-        for doc, text, firsts, lasts in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True):
-            raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
-            known = _text.words(raw, np.array([0, len(raw)])).hash
+        for doc, known, firsts, lasts in zip(batch.column("doc_id").to_pylist(), _word_lists(batch.column("text")), batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True):
             for first, last in zip(firsts, lasts, strict=True):
                 part = known[first : last + min_words]
                 grams, where = _text.windows(part, np.zeros(len(part), np.int64), min_words)
@@ -286,26 +312,28 @@ def _run_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iter
 
 def _window_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Cuts the words around each chain out of its texts, as 32-bit hashes."""
-    last, known = None, np.zeros(0, np.uint32)
     for batch in batches:
+        wanted = batch.column("wanted")
+        chains, side, low, high = wanted.flatten().flatten()
+        texts = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
+        lists = enumerate(_word_lists(batch.column("text")))
+        row, known = -1, np.zeros(0, np.uint32)
         cut, begins = [], []
-        for text, low, high in zip(batch.column("text"), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
-            text = text.as_buffer() if text.is_valid else None
-            if last is None or text is None or not text.equals(last):
-                raw = np.frombuffer(text, np.uint8) if text is not None else np.zeros(0, np.uint8)
-                known, last = _text.words(raw, np.array([0, len(raw)])).hash.astype(np.uint32), text
-            begin = max(0, low - MARGIN)
+        for text, x, y in zip(texts.tolist(), low.to_pylist(), high.to_pylist(), strict=True):
+            while row < text:
+                row, known = next(lists)
+                known = known.astype(np.uint32) if row == text else known
+            begin = max(0, x - MARGIN)
             begins.append(begin)
-            cut.append(known[begin : high + k + MARGIN].tobytes())
-        kept = batch.drop_columns(["text", "low", "high"])
-        yield kept.append_column("begin", pa.array(begins, pa.int32())).append_column("words", pa.array(cut, pa.binary()))
+            cut.append(known[begin : y + k + MARGIN].tobytes())
+        yield pa.RecordBatch.from_arrays([chains, side, pa.array(begins, pa.int32()), pa.array(cut, pa.binary())], names=["chain", "side", "begin", "words"])
 
 
 def _extend(same: np.ndarray) -> int:
     """How many words to go on from a chain's end."""
     if not len(same):
         return 0
-    score = np.cumsum(np.where(same, 1, -2))
+    score = np.cumsum(np.where(same, 2, -1))
     stop = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
     score = score[: stop[0]] if len(stop) else score
     best = int(np.argmax(score)) if len(score) else 0
@@ -323,14 +351,42 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(a: np.ndarray, b: np.ndarray, at: list[int], other_at: list[int], k: int = K) -> tuple[int, int, int, int, int]:
+def _extend_with_gaps(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many words of each side to go on from a chain's end, if words may be left out or put in."""
+    columns = np.arange(len(b) + 1)
+    row, best, where = -columns, 0, (0, 0)
+    for i, x in enumerate(a, 1):
+        new = row - 1
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(b == x, 2, -1))
+        row = np.maximum.accumulate(new + columns) - columns
+        j = int(np.argmax(row))
+        if row[j] > best:
+            best, where = int(row[j]), (i, j)
+        elif row[j] < best - DROP:
+            break
+    return where
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two lists have in common, in any order."""
+    x, m = np.unique(a, return_counts=True)
+    y, n = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(m[i], n[j]).sum())
+
+
+def align(a: np.ndarray, b: np.ndarray, at: list[int], other_at: list[int], k: int = K, gaps: bool = False) -> tuple[int, int, int, int, int]:
     """start, end, other_start, other_end and matched words of a chain between two word lists.
 
-    A seed that doesn't stand where it should (its hash was another's) is passed over as a gap.
+    Beyond its ends a chain goes on word by word, with ``gaps`` also over words that one side lacks. A
+    seed that doesn't stand where it should (its hash was another's) is passed over as a gap.
     """
-    left = min(at[0], other_at[0])
-    before = _extend((a[at[0] - left : at[0]] == b[other_at[0] - left : other_at[0]])[::-1])
-    x, y = at[0] - before, other_at[0] - before
+    if gaps:
+        before, other_before = _extend_with_gaps(a[: at[0]][-MARGIN:][::-1], b[: other_at[0]][-MARGIN:][::-1])
+    else:
+        left = min(at[0], other_at[0])
+        before = other_before = _extend((a[at[0] - left : at[0]] == b[other_at[0] - left : other_at[0]])[::-1])
+    x, y = at[0] - before, other_at[0] - other_before
     start, other_start, matched = x, y, 0
     for p, q in zip(at, other_at, strict=True):
         if p < x or q < y:  # overlaps the seed before
@@ -340,10 +396,13 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], other_at: list[int], k: i
         n = max(0, min(at[-1] + k - p, k))
         matched += int((a[p : p + n] == b[q : q + n]).sum()) if len(a[p : p + n]) == len(b[q : q + n]) else 0
         x, y = p + n, q + n
-    room = min(len(a) - x, len(b) - y)
-    after = _extend(a[x : x + room] == b[y : y + room]) if room > 0 else 0
-    matched += int((a[x : x + after] == b[y : y + after]).sum()) if after else 0
-    return start, x + after, other_start, y + after, matched
+    if gaps:
+        after, other_after = _extend_with_gaps(a[x : x + MARGIN], b[y : y + MARGIN])
+    else:
+        room = max(0, min(len(a) - x, len(b) - y))
+        after = other_after = _extend(a[x : x + room] == b[y : y + room])
+    matched += _common(a[x : x + after], b[y : y + other_after])
+    return start, x + after, other_start, y + other_after, matched
 
 
 def _align_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int, min_identity: float) -> Iterator[pa.RecordBatch]:
@@ -358,10 +417,14 @@ def _align_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int, min_i
             at, other_at = [p - r["begin"] for p in r["at"]], [p - r["other_begin"] for p in r["other_at"]]
             if at[-1] + k > len(a) or other_at[-1] + k > len(b):
                 continue  # a text of another row with the same id
-            start, end, other_start, other_end, matched = align(a, b, at, other_at, k)
-            identity = matched / max(1, end - start, other_end - other_start)
-            if min(end - start, other_end - other_start) >= min_words and identity >= min_identity:
-                rows.append((r["doc_id"], r["other_id"], start + r["begin"], end + r["begin"], other_start + r["other_begin"], other_end + r["other_begin"], matched, identity))
+            for gaps in (False, True):
+                start, end, other_start, other_end, matched = align(a, b, at, other_at, k, gaps)
+                identity = matched / max(1, end - start, other_end - other_start)
+                if min(end - start, other_end - other_start) >= min_words and identity >= min_identity:
+                    rows.append((r["doc_id"], r["other_id"], start + r["begin"], end + r["begin"], other_start + r["other_begin"], other_end + r["other_begin"], matched, identity))
+                    break
+                if not gaps and _shared(a, b) < min_identity * min_words:
+                    break  # too few words in common, however they are aligned
         columns = list(zip(*rows, strict=True)) if rows else [()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -384,7 +447,7 @@ def repeated_passages(
     listed = lambda f: f.groupBy("doc_id").agg(F.collect_list(F.struct("at", "other_id", "other_at")).alias("found"))
     fuzzy = durable(listed(found).mapInArrow(partial(_chain_rows, k=k, window=window, min_words=min_words), CHAINS))
     unsettled = fuzzy.filter("other_id IS NULL").select("doc_id", F.col("at").alias("first"), F.col("other_at").alias("last"))
-    whole = unsettled.join(source, "doc_id").mapInArrow(partial(_whole_rows, min_words=min_words, ranges=ranges), DEALT)
+    whole = if_small(unsettled).join(source, "doc_id").mapInArrow(partial(_whole_rows, min_words=min_words, ranges=ranges), DEALT)
     exact = listed(first_occurrences(whole).filter("doc_id <> other_id")).mapInArrow(partial(_run_rows, k=k, min_words=min_words), CHAINS)
     name = F.struct("doc_id", "other_id", F.col("at")[0].alias("x"), F.col("other_at")[0].alias("y"), F.element_at("at", -1).alias("z"))
     chains = durable(fuzzy.filter("other_id IS NOT NULL").unionByName(exact).select(name.alias("chain"), "at", "other_at"))
@@ -393,7 +456,14 @@ def repeated_passages(
     sides = chains.select("chain", F.col("chain.doc_id").alias("doc_id"), F.lit(0).alias("side"), *ends("at")).unionByName(
         chains.select("chain", F.col("chain.other_id").alias("doc_id"), F.lit(1).alias("side"), *ends("other_at"))
     )
-    windows = sides.join(source, "doc_id").select("chain", "side", "low", "high", "text")
+    sides = durable(sides)
+    # a text goes out once for all its chains, or once for each MOST_CHAINS of them
+    many = if_small(durable(sides.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / MOST_CHAINS).cast("int").alias("lots")).filter("lots > 1")))
+    lots = F.coalesce("lots", F.lit(1))
+    listed_sides = sides.join(many, "doc_id", "left").withColumn("lot", F.pmod(F.xxhash64("chain"), lots).cast("int"))
+    listed_sides = listed_sides.groupBy("doc_id", "lot").agg(F.collect_list(F.struct("chain", "side", "low", "high")).alias("wanted"))
+    texts = source.join(many, "doc_id", "left").select("doc_id", "text", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
+    windows = listed_sides.join(texts, ["doc_id", "lot"]).select("wanted", "text")
     chain_type = "struct<doc_id:long,other_id:long,x:int,y:int,z:int>"
     windows = windows.mapInArrow(partial(_window_rows, k=k), f"chain {chain_type}, side int, begin int, words binary")
     on = lambda side, c: F.first(F.when(F.col("side") == side, F.col(c)), ignorenulls=True)
