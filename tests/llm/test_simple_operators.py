@@ -130,7 +130,10 @@ def test_media(docs, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((text or "").encode()), len(payload), sha(payload), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(stream), sha(stream))
         back, units, _ = media.demux(stream)
-        assert back == payload and units[0] == (0, 0, True)
+        assert back == payload and units[0] == (9000, 0, True)
+        n = -(-len(payload) // 4096)
+        last = 9000 + 3600 * (n - 1)
+        assert r.feature == f"packets={len(stream) // 188};units={n};pts=9000-{last};random_access={-(-n // 8)};last_point={9000 + 3600 * 8 * ((n - 1) // 8)}"
     assert all(len(media.pad(b"x" * n)) == max(64, -(-n // 64) * 64) for n in range(200))
     read = media.read_media(media.write_media(docs)).filter("doc_id = 61").first()
     assert [u.random_access for u in read.units] == [k % 8 == 0 for k in range(len(read.units))]
@@ -146,6 +149,40 @@ def test_media_damage():
     assert all(media.demux(media.mux(b"b" * n))[0] == b"b" * n for n in range(1, 600))
 
 
+def packet(pid: int, counter: int, payload: bytes, start: bool = False) -> bytes:
+    """A transport packet; a short payload is filled up by an adaptation field."""
+    room = 184 - len(payload)
+    head = bytes([0x47, start << 6 | pid >> 8, pid & 255, (0x10 if not room else 0x30 if payload else 0x20) | counter])
+    return head + (bytes([room - 1]) + (b"\0" + b"\xff" * (room - 2) if room > 1 else b"") if room else b"") + payload
+
+
+def test_streams_as_others_write_them():
+    """Stuffing, doubled packets, tables over several packets, several programs and streams."""
+    data = bytes(range(256)) * 50
+    cut = [media.mux(data)[i : i + 188] for i in range(0, len(media.mux(data)), 188)]
+    _, index, _ = media.demux(media.mux(data))
+    padded = []
+    for p in cut:
+        padded += [p, b"\x47\x1f\xff\x10" + bytes(184), p, packet((p[1] & 31) << 8 | p[2], p[3] & 15, b"")]
+    assert media.demux(b"".join(padded))[:2] == (data, index)
+    with pytest.raises(ValueError, match="missing"):
+        media.demux(b"".join(cut[:4] + cut[5:]))
+    with pytest.raises(ValueError, match="missing"):
+        media.demux(b"".join(cut[:4] + [cut[3]] * 2 + cut[4:]))
+    programs = b"".join(n.to_bytes(2, "big") + (0xE000 | 0x100 + n).to_bytes(2, "big") for n in (0, *range(7, 90)))
+    association = b"\0" + media._section(0, 1, programs)
+    streams = b"".join(bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x03\x0a\x01x" for kind, pid in [(2, 0x901)] * 40 + [(6, 0x902), (6, 0x903)])
+    table = b"\0" + media._section(2, 7, (0xE000 | 0x902).to_bytes(2, "big") + b"\xf0\x00" + streams)
+    tables = [packet(pid, n, t[at : at + 184], at == 0) for pid, t in ((0, association), (0x107, table)) for n, at in enumerate(range(0, len(t), 184))]
+    pes = lambda text, stamp: b"\0\0\1\xbd" + (len(text) + (8 if stamp else 3)).to_bytes(2, "big") + (b"\x80\x80\x05" + media._pts(stamp) if stamp else b"\x80\0\0") + text
+    body = [packet(0x902, 0, pes(b"one", 2**33 - 1), True), packet(0x903, 0, pes(b"other", 5), True), packet(0x901, 9, b"video"), packet(0x902, 1, pes(b"two", 0), True)]
+    assert media.demux(b"".join(tables + body))[:2] == (b"onetwo", [(2**33 - 1, 0, False), (None, 3, False)])
+    assert media.demux(b"".join(tables + body), program=8)[0] == b""
+    tables[1] = tables[1][:-1] + bytes([tables[1][-1] ^ 1])
+    with pytest.raises(ValueError, match="table"):
+        media.demux(b"".join(tables + body))
+
+
 def brute_unigram(word: str, scores: dict, byte_score: float) -> tuple[int, float]:
     best = [(0.0, 0)]
     for i in range(1, len(word) + 1):

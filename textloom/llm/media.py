@@ -12,6 +12,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +25,10 @@ STREAM_TYPE, STREAM_ID = 0x06, 0xBD
 UNIT_BYTES = 4096
 #: Every so many units one is marked as a point where reading may begin.
 RANDOM_ACCESS_EVERY = 8
-#: A unit lasts 1/25 s of the 90 kHz clock.
-UNIT_TICKS = 3600
+#: A unit lasts 1/25 s of the 90 kHz clock, and is shown 1/10 s after its packets begin.
+UNIT_TICKS, DELAY_TICKS = 3600, 9000
+#: Packets of this PID are stuffing.
+NULL_PID = 0x1FFF
 PAD = 64
 
 
@@ -66,16 +69,21 @@ def _ticks(b: bytes) -> int:
     return (b[0] & 14) << 29 | b[1] << 22 | (b[2] & 254) << 14 | b[3] << 7 | b[4] >> 1
 
 
+def _clock(ticks: int) -> bytes:
+    """A program clock reference without an extension."""
+    return (ticks << 15 | 0x7E00).to_bytes(6, "big")
+
+
 def mux(payload: bytes) -> bytes:
     """The transport stream of a payload."""
     packets, counter = [program_tables()], 0
     for unit, at in enumerate(range(0, len(payload), UNIT_BYTES)):
         data = payload[at : at + UNIT_BYTES]
-        pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + _pts(unit * UNIT_TICKS % 2**33) + data
-        flags = 0x40 if unit % RANDOM_ACCESS_EVERY == 0 else 0
-        done = min(182, len(pes))
-        stuffing = 182 - done
-        packets.append(_head(STREAM_PID, True, True, counter) + bytes([1 + stuffing, flags]) + b"\xff" * stuffing + pes[:done])
+        pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + _pts((unit * UNIT_TICKS + DELAY_TICKS) % 2**33) + data
+        flags = 0x50 if unit % RANDOM_ACCESS_EVERY == 0 else 0x10
+        done = min(176, len(pes))
+        stuffing = 176 - done
+        packets.append(_head(STREAM_PID, True, True, counter) + bytes([7 + stuffing, flags]) + _clock(unit * UNIT_TICKS % 2**33) + b"\xff" * stuffing + pes[:done])
         counter += 1
         while done < len(pes):
             left = len(pes) - done
@@ -89,62 +97,128 @@ def mux(payload: bytes) -> bytes:
     return b"".join(packets)
 
 
-def _table(payload: bytes, table: int) -> bytes:
-    """The body of a program table's section, after its checks."""
-    begin = 1 + payload[0]
-    size = 3 + ((payload[begin + 1] & 15) << 8 | payload[begin + 2])
-    section = payload[begin : begin + size]
-    if section[0] != table or crc32_mpeg(section) != 0:
-        raise ValueError("damaged program table")
-    return section[8:-4]
+class Packet(NamedTuple):
+    """A transport packet's payload, whether a unit or section starts in it, and its random-access flag."""
 
+    pid: int
+    start: bool
+    random: bool
+    payload: bytes
 
-def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, bool]], dict[str, int]]:
-    """Payload, (timestamp, offset, random access) of each unit, and packet statistics.
 
-    Raises ValueError for lost packets (a gap in a continuity counter) or damaged tables.
+def packets(stream: bytes) -> Iterator[Packet]:
+    """The packets that carry something, in order; continuity counters are checked on the way.
+
+    Stuffing packets and packets of an adaptation field alone count for nothing; a packet may be sent
+    twice; a jump is allowed where the stream announces it.
     """
     if len(stream) % PACKET:
         raise ValueError("not a whole number of packets")
-    pmt_pid, stream_pid, last = None, None, {}
-    parts: list[bytes] = []
-    units: list[tuple[list[bytes], bool]] = []
+    last: dict[int, tuple[int, bytes | None]] = {}
     for at in range(0, len(stream), PACKET):
         if stream[at] != SYNC:
             raise ValueError("lost synchronisation")
-        pid = (stream[at + 1] & 31) << 8 | stream[at + 2]
-        control = stream[at + 3]
-        if pid in last and control & 15 != (last[pid] + 1) & 15:
-            raise ValueError(f"packets of PID {pid} are missing")
-        last[pid] = control & 15
-        begin, random = at + 4, False
+        pid, control = (stream[at + 1] & 31) << 8 | stream[at + 2], stream[at + 3]
+        if pid == NULL_PID:
+            continue
+        begin, flags = at + 4, 0
         if control & 0x20:
-            size = stream[begin]
-            random = size > 0 and bool(stream[begin + 1] & 0x40)
-            begin += 1 + size
-        if pid == stream_pid:
-            if stream[at + 1] & 0x40:
-                parts = []
-                units.append((parts, random))
-            parts.append(stream[begin : at + PACKET])
-        elif pid == PAT_PID:
-            body = _table(stream[begin : at + PACKET], 0)
-            programs = {int.from_bytes(body[i : i + 2], "big"): (body[i + 2] & 31) << 8 | body[i + 3] for i in range(0, len(body), 4)}
-            pmt_pid = programs[PROGRAM]
-        elif pid == pmt_pid:
-            body = _table(stream[begin : at + PACKET], 2)
-            i = 4 + ((body[2] & 15) << 8 | body[3])
-            while i < len(body):
-                if body[i] == STREAM_TYPE:
-                    stream_pid = (body[i + 1] & 31) << 8 | body[i + 2]
-                i += 5 + ((body[i + 3] & 15) << 8 | body[i + 4])
+            flags = stream[begin + 1] if stream[begin] else 0
+            begin += 1 + stream[begin]
+        if not control & 0x10:
+            continue
+        counter, payload = control & 15, stream[begin : at + PACKET]
+        if pid in last and not flags & 0x80:
+            before, own = last[pid]
+            if counter == before and payload == own:
+                last[pid] = counter, None  # a second copy may follow, not a third
+                continue
+            if counter != (before + 1) & 15:
+                raise ValueError(f"packets of PID {pid} are missing")
+        last[pid] = counter, payload
+        yield Packet(pid, bool(stream[at + 1] & 0x40), bool(flags & 0x40), payload)
+
+
+class Sections:
+    """Program table sections of one PID, which may span packets or share one."""
+
+    def __init__(self) -> None:
+        self.held: bytes | None = None
+
+    def feed(self, packet: Packet) -> Iterator[bytes]:
+        """The sections that are whole with this packet."""
+        payload = packet.payload
+        if packet.start:
+            begin = 1 + payload[0]
+            if self.held is not None:
+                self.held += payload[1:begin]
+                yield from self._whole()
+            self.held = payload[begin:]
+        elif self.held is not None:
+            self.held += payload
+        yield from self._whole()
+
+    def _whole(self) -> Iterator[bytes]:
+        while self.held and len(self.held) >= 3 and self.held[0] != 0xFF:
+            size = 3 + ((self.held[1] & 15) << 8 | self.held[2])
+            if len(self.held) < size:
+                return
+            section, self.held = self.held[:size], self.held[size:]
+            if crc32_mpeg(section):
+                raise ValueError("damaged program table")
+            yield section
+
+
+def _programs(section: bytes) -> dict[int, int]:
+    """Program numbers and the PIDs of their maps; the network table (number 0) isn't one."""
+    entries = [section[i : i + 4] for i in range(8, len(section) - 4, 4)] if section[0] == 0 else []
+    return {n: (e[2] & 31) << 8 | e[3] for e in entries if (n := int.from_bytes(e[:2], "big"))}
+
+
+def _streams(section: bytes) -> list[tuple[int, int]]:
+    """Stream types and PIDs of a program map."""
+    found, i = [], 12 + ((section[10] & 15) << 8 | section[11])
+    while section[0] == 2 and i < len(section) - 4:
+        found.append((section[i], (section[i + 1] & 31) << 8 | section[i + 2]))
+        i += 5 + ((section[i + 3] & 15) << 8 | section[i + 4])
+    return found
+
+
+def _unit(pes: bytes) -> tuple[int | None, bytes]:
+    """The timestamp (None without one) and the data of an elementary packet."""
+    size = int.from_bytes(pes[4:6], "big")
+    if pes[:3] != b"\x00\x00\x01" or (size and len(pes) != 6 + size):
+        raise ValueError("damaged elementary packet")
+    return _ticks(pes[9:14]) if pes[7] & 0x80 else None, pes[9 + pes[8] :]
+
+
+def demux(stream: bytes, program: int | None = None, stream_type: int = STREAM_TYPE) -> tuple[bytes, list[tuple[int | None, int, bool]], dict[str, int]]:
+    """Payload, (timestamp, offset, random access) of each unit, and packet statistics.
+
+    Read are the first stream of ``stream_type`` of ``program``, or of the first program of the
+    association table. Raises ValueError for lost packets (a gap in a continuity counter), damaged
+    tables or elementary packets.
+    """
+    association, maps, map_pid, stream_pid = Sections(), Sections(), None, None
+    units: list[tuple[list[bytes], bool]] = []
+    for packet in packets(stream):
+        if packet.pid == stream_pid:
+            if packet.start:
+                units.append(([], packet.random))
+            if units:
+                units[-1][0].append(packet.payload)
+        elif packet.pid == PAT_PID:
+            for section in association.feed(packet):
+                known = _programs(section)
+                if map_pid is None and known:
+                    map_pid = known.get(program) if program is not None else next(iter(known.values()))
+        elif packet.pid == map_pid and stream_pid is None:
+            for section in maps.feed(packet):
+                stream_pid = next((pid for kind, pid in _streams(section) if kind == stream_type), stream_pid)
     payload, index, offset = [], [], 0
     for parts, random in units:
-        pes = b"".join(parts)
-        if pes[:4] != b"\x00\x00\x01" + bytes([STREAM_ID]) or len(pes) != 6 + int.from_bytes(pes[4:6], "big"):
-            raise ValueError("damaged elementary packet")
-        data = pes[9 + pes[8] :]
-        index.append((_ticks(pes[9:14]), offset, random))
+        ticks, data = _unit(b"".join(parts))
+        index.append((ticks, offset, random))
         payload.append(data)
         offset += len(data)
     return b"".join(payload), index, {"packets": len(stream) // PACKET, "units": len(units)}
@@ -156,7 +230,11 @@ def pad(data: bytes) -> bytes:
 
 
 def write_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes (of the text in UTF-8) and media (the transport stream of the padded text)."""
+    """doc_id, n_bytes (of the text in UTF-8) and media (the transport stream of the padded text).
+
+    A null text is an empty one; repeated rows and null ids stay; an empty table gives no rows;
+    other columns are ignored. The longest text is held in memory once, in the task that has it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +248,10 @@ def write_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload, and the index of units (timestamp, offset, random_access) of each stream."""
+    """doc_id, n_bytes, payload, and the index of units (timestamp, offset, random_access) of each stream.
+
+    One row per row of ``media``; a stream that is damaged or lacks packets raises ValueError.
+    """
     units = pa.list_(pa.struct([("timestamp", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
