@@ -11,40 +11,45 @@ from textloom.plans import text_queries
 @pytest.fixture(scope="module")
 def snapshot(spark):
     frame = spark.createDataFrame
-    abbreviations = frame([("v", "vậy"), ("đc", "được"), ("r", "rồi"), ("đk", "đúng không"), ("ko", "không"), ("ny", "người yêu")], "abbr string, expanded string")
+    abbreviations = frame([("bh", "bây giờ"), ("dc", "được"), ("cx", "cũng"), ("hong", "không"), ("ng", "người"), ("ny", "người yêu")], "abbr string, expanded string")
     details = frame([("ct", ["công ty", "chia tay"])], "abbr string, options array<string>")
-    words = frame([("là",), ("ngon",), ("mày",), ("mới",), ("mình",), ("làm",)], "word string")
-    phrases = phrase_table([frame([("đk hp", "đăng ký học phần", "override", "1.0"), ("đk hp khẩn", "đăng ký khẩn", "mined", "1.0")], "phrase string, expanded string, source string, confidence string")])
+    words = frame([("mai",), ("vui",), ("họp",), ("vừa",), ("buồn",), ("ở",)], "word string")
+    phrases = phrase_table([frame([("tg bd", "thời gian bắt đầu", "override", "1.0"), ("tg bd sớm", "thời gian sớm", "mined", "1.0")], "phrase string, expanded string, source string, confidence string")])
     return Snapshot(1, abbreviations, details, words, phrases)
 
 
 def test_normalize(spark, snapshot):
     cases = {
-        1: ("v là đc r đk", "Vậy là được rồi đúng không", ["ABBR"]),
-        2: ("ko😀ngonnnn", "Không ngon", ["ABBR", "ELONGATION", "EMOJI"]),
-        3: ("ko :v", "Không", ["ABBR", "EMOJI"]),
-        4: ("^^ <3 T_T", "", ["EMOJI"]),
-        5: ("mày mới ct ny", "Mày mới chia tay người yêu", ["ABBR"]),
-        6: ("mình làm ct mới", "Mình làm công ty mới", ["ABBR"]),
-        7: ("em đk, hp nt abc", "Em đăng ký học phần nt abc", ["PHRASE"]),
+        1: ("bh cx dc mai", "Bây giờ cũng được mai", ["ABBR"]),
+        2: ("hong🎈vuiiii", "Không vui", ["ABBR", "ELONGATION", "EMOJI"]),
+        3: ("dc :p", "Được", ["ABBR", "EMOJI"]),
+        4: (":D <3", "", ["EMOJI"]),
+        5: ("vừa ct ny buồn", "Vừa chia tay người yêu buồn", ["ABBR"]),
+        6: ("họp ở ct mai", "Họp ở công ty mai", ["ABBR"]),
+        7: ("mai tg, bd qx abc", "Mai thời gian bắt đầu qx abc", ["PHRASE"]),
         8: (None, None, []),
         9: ("", "", []),
-        10: ("đk hp khẩn", "Đăng ký khẩn", ["PHRASE"]),
+        10: ("tg bd sớm", "Thời gian sớm", ["PHRASE"]),
         11: ("ct . ny", "Ct. Người yêu", ["ABBR"]),
     }
     frame = spark.createDataFrame([(i, c[0], "clash") for i, c in cases.items()], "doc_id long, text string, value string")
     out = {r.doc_id: r for r in normalize.normalize(frame, snapshot).collect()}
     assert {i: (r.normalized_text, r.error_types) for i, r in out.items()} == {i: c[1:] for i, c in cases.items()}
-    assert out[7].pending_keys == ["em", "nt", "nt_abc", "abc"]
+    assert out[7].pending_keys == ["qx", "qx_abc", "abc"]
     for r in out.values():
         assert all(r.normalized_text[e.start : e.end] == e.expanded for e in r.expanded_abbreviations or [])
     assert [(a.id, a.selected) for a in out[5].ambiguities] == [("ct:0", "chia tay")]
 
 
 def test_live(spark, snapshot):
-    frame = spark.createDataFrame([(1, "tại sao em buônf"), (2, "em đk, hp")], "doc_id long, text string")
-    out = {r.doc_id: r.normalized_text for r in normalize.normalize(frame, snapshot, typos={"buônf": "buồn"}, live=True).collect()}
-    assert out == {1: "Tại sao em buồn?", 2: "Em đăng ký, học phần"} or out[1] == "Tại sao em buồn?"
+    """Typos, lost separators and question marks; expansions are where the finished text has them."""
+    frame = spark.createDataFrame([(1, "vì sao ng ta buôồn"), (2, "mai tg bd, hong vui"), (3, "họp dc, cx dc"), (4, "mai tg, bd hong vui")], "doc_id long, text string")
+    out = {r.doc_id: r for r in normalize.normalize(frame, snapshot, typos={"buôồn": "buồn"}, live=True).collect()}
+    assert {i: r.normalized_text for i, r in out.items()} == {1: "Vì sao người ta buồn?", 2: "Mai thời gian bắt đầu, không vui", 3: "Họp được, cũng được", 4: "Mai thời gian, bắt đầu không vui"}
+    said = {i: [(e.abbr, e.expanded) for e in r.expanded_abbreviations] for i, r in out.items()}
+    assert said == {1: [("ng", "người")], 2: [("tg bd", "thời gian bắt đầu"), ("hong", "không")], 3: [("dc", "được"), ("cx", "cũng"), ("dc", "được")], 4: [("tg bd", "thời gian, bắt đầu"), ("hong", "không")]}
+    for r in out.values():
+        assert all(r.normalized_text[e.start : e.end] == e.expanded for e in r.expanded_abbreviations)
 
 
 @pytest.fixture(scope="module")
@@ -90,13 +95,37 @@ def test_segments(spark):
 
 
 def test_review_policy():
-    assert review.accept("tôi ăn chá", "tôi ăn trà", 0.9)[0] == "tôi ăn trà"
-    assert review.accept("ko di", "không di", 0.3, {"ko": ["không"]})[0] == "không di"
-    for source, proposed in [("tôi không đi", "tôi sẽ đi"), ("giá 100 đồng", "giá 200 đồng"), ("gửi a@b.co nhé", "gửi c@d.co nhé"), ("gặp Lan nhé", "gặp Lân nhé"), ("đi học", "đi học. Hay quá")]:
+    assert review.accept("chời mưa to", "trời mưa to", 0.9)[0] == "trời mưa to"
+    assert review.accept("hong vui", "không vui", 0.3, {"hong": ["không"]})[0] == "không vui"
+    for source, proposed in [("nó chưa về", "nó sắp về"), ("mua 20 quả", "mua 25 quả"), ("xem www.kho.vn nhé", "xem www.kha.vn nhé"), ("chị Hoà tới", "chị Hòa tới"), ("mưa to", "mưa to. Lạnh lắm")]:
         assert review.accept(source, proposed, 0.9)[0] == source
-    assert review.accept("tôi đi hoc", "tôi đi học", 0.5)[0] == "tôi đi hoc"
+    assert review.accept("trời nang", "trời nắng", 0.5)[0] == "trời nang"
     assert review.edit_budget(10) == 4 and review.edit_budget(1000) == 24
-    assert review.source_window("em dk hp nha", "em đăng ký học phần nha", 5, 6, 0) == "nha"
+    assert review.source_window("mai tg bd nha", "mai thời gian bắt đầu nha", 5, 6, 0) == "nha"
+
+
+def test_review_guards():
+    """Each guard turns down an edit that passes all before it."""
+    cases = {
+        "words": ("mưa", "mưa to", {"edit": (3, "", " to")}),
+        "confidence": ("nang to", "nắng to", {"confidence": 0.0}),
+        "literal": ("xem www.kho", "xem www.khô", {}),
+        "facts": ("số b", "số 4", {}),
+        "unsure": ("nang to", "nắng to", {"confidence": 0.4}),
+        "growth": ("đi nha", "đi nha trang", {"edit": (3, "nha", "nha trang")}),
+        "similarity": ("đi bơi", "đi ngủ", {}),
+        "lost accents": ("trời nắng", "trời nang", {}),
+        "negation": ("đi không", "đi hồng", {}),
+        "word map": ("trời nang", "trời năng", {"forms": {"nang": ["nắng"]}}),
+        "name": ("gặp Lan", "gặp Lân", {}),
+    }
+    assert list(cases) == list(review.GUARDS)
+    for name, (source, proposed, more) in cases.items():
+        at = next((i for i, (a, b) in enumerate(zip(source, proposed, strict=False)) if a != b), 0)
+        at = source.rfind(" ", 0, at + 1) + 1
+        start, before, after = more.get("edit", (at, source[at:], proposed[at:]))
+        setting = review.Setting(source, more.get("confidence", 0.9), {}, more.get("forms", {}), [(4, 11)] if name == "literal" else [], [])
+        assert review.refusal(review.Edit(start, before, after, setting), setting) == name
 
 
 def test_review_has_licences_and_originals(spark):
