@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import _text
 from textloom.llm._spark import BROADCAST_ROWS, durable, stored
+from textloom.session import new_folder
 
 SEQ_LEN = 2048
 END_ID = 0
@@ -201,6 +202,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _PIECE_TYPE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_STEP = f"sequence_id long, {_PIECE_TYPE}, opens boolean"
 _SWEPT = f"part int, kind int, rank long, sequence_id long, {_PIECE_TYPE}"
 #: Kinds of rows that a sweep gives: gaps and pieces that its range left over, and pieces that found their gap there.
 _GAP, _LEFT, _FOUND = 0, 1, 2
@@ -331,8 +333,8 @@ def pack(rows: DataFrame, seq_len: int = SEQ_LEN, rows_each: int = ROWS_EACH) ->
     # sorted files: a superstep reads its own lengths only
     ordered = stored(kept.repartitionByRange(ranges(sum(counts.values())), "length", F.xxhash64(*PIECE)).sortWithinPartitions("length"))
     gaps = spark.createDataFrame([], "sequence_id long, gap long")
-    placed, opened = [], 0
-    for low, high, n in classes(counts, seq_len):
+    path, opened = new_folder(spark, "placed"), 0
+    for number, (low, high, n) in enumerate(classes(counts, seq_len)):
         wide = gaps.filter(F.col("gap") > low)
         merged = _merged(wide, ordered.filter((F.col("length") > low) & (F.col("length") <= high)), high)
         order = [F.col("size").desc(), "is_piece", "lot"]
@@ -349,16 +351,17 @@ def pack(rows: DataFrame, seq_len: int = SEQ_LEN, rows_each: int = ROWS_EACH) ->
         if new:
             sequence = F.lit(opened) + F.floor(F.col("number") / each)
             found.append(numbered.filter("new").select(sequence.alias("sequence_id"), *PIECE, (F.col("number") % each == 0).alias("opens")))
-        step = reduce(DataFrame.unionByName, found).coalesce(ranges(n))
-        placed.append(step.drop("opens"))
+        reduce(DataFrame.unionByName, found).coalesce(ranges(n)).write.parquet(f"{path}/superstep={number}")
+        step = spark.read.schema(_STEP).parquet(f"{path}/superstep={number}")
         opened += -(-new // each)
         taken = step.select("sequence_id", (F.when(F.col("opens"), seq_len).otherwise(0) - F.col("length")).alias("gap"))
         updated = wide.unionByName(taken).groupBy("sequence_id").agg(F.sum("gap").alias("gap"))
         gaps = durable(gaps.filter(F.col("gap") <= low).unionByName(updated).filter(F.col("gap") >= min(counts)).coalesce(ranges(opened)))
-    if not placed:
+    if not counts:
         return kept.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     before = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), *PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    return reduce(DataFrame.unionByName, placed).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
+    placed = spark.read.schema(_STEP).parquet(path).select("sequence_id", *PIECE)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
 
 
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
