@@ -6,6 +6,7 @@ set, so classes are spelled out or prefixed.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -72,9 +73,19 @@ def clean_token(token: Column) -> Column:
     return F.when(bare.rlike(r"^\p{L}+$"), bare).otherwise(F.lit(""))
 
 
+#: A run without white space that is a word of letters, with or without strip characters around it.
+_STRIP_CLASS = "[" + re.sub(r"([\[\]\\^-])", r"\\\1", STRIP_CHARS) + "]*+"
+_CLEAN_WORD = rf"(?<!\S){_STRIP_CLASS}(\p{{L}}++){_STRIP_CLASS}(?!\S)"
+
+
 def clean_tokens(text: Column | str) -> Column:
-    """The cleaned tokens of a text, without those that aren't words."""
-    return F.filter(F.transform(space_tokens(text), clean_token), lambda t: t != "")
+    """The cleaned tokens of a text, without those that aren't words; one pass of one pattern."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit("(?U)" + _CLEAN_WORD), F.lit(1))
+
+
+def clean_slots(text: Column | str) -> Column:
+    """A cleaned token for each token of a text, an empty string where it isn't a word."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(rf"(?U){_CLEAN_WORD}|\S++"), F.lit(1))
 
 
 def is_word(token: Column) -> Column:

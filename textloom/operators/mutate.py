@@ -153,11 +153,14 @@ def end_sessions(sessions: DataFrame, as_of: dt.datetime, user_id: str | None =
     return sessions.withColumn("revoked_at", revoked).withColumn("is_active", F.col("is_active") & ~hit & (F.col("expires_at") > F.lit(as_of)))
 
 
-def failed_logins(attempts: DataFrame, most: int = 5, lock_minutes: int = 15) -> DataFrame:
-    """attempts (ts, user_id, ok) with failures since the last success, and locked_until (UPS14)."""
-    order = Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def failed_logins(attempts: DataFrame, most: int = 5, lock_minutes: int = 15, nth: str = "ok") -> DataFrame:
+    """attempts (ts, user_id, ok) with failures since the last success, and locked_until (UPS14).
+
+    Attempts of one time go by the column ``nth``, as an id; without one, failures come first.
+    """
+    order = Window.partitionBy("user_id").orderBy("ts", nth).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     island = attempts.withColumn("_run", F.sum(F.col("ok").cast("int")).over(order))
-    within = Window.partitionBy("user_id", "_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("user_id", "_run").orderBy("ts", nth).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = island.withColumn("failures", F.sum((~F.col("ok")).cast("int")).over(within))
     locked = F.when(F.col("failures") >= most, F.col("ts") + F.make_dt_interval(mins=F.lit(lock_minutes)))
     return counted.withColumn("locked_until", locked).drop("_run")

@@ -168,17 +168,24 @@ def global_revision(candidates: DataFrame) -> DataFrame:
 def select_terms(documents: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, term: abbreviations of interest for each text (FLT17).
 
-    A single word of up to five characters must stand as a word, so it joins on words; a longer
-    term may stand anywhere: it joins on its first word and is then looked for in the text.
+    A single word of up to five characters must stand as a word, so it joins on words. A longer term
+    may stand anywhere, also amid a word: it joins on a word that holds its longest run of letters,
+    found by that run's first three letters, and is then looked for in the text, which is fetched by id.
+    A term without a letter is never selected.
     """
     from textloom.functions import text as T
 
-    docs = documents.select("doc_id", F.lower(text).alias("low"), F.array_distinct(T.words(text)).alias("w"))
-    spoken = docs.select("doc_id", F.explode("w").alias("word"))
+    docs = documents.select("doc_id", F.lower(text).alias("low"))
+    spoken = docs.select("doc_id", F.explode(F.array_distinct(T.words("low"))).alias("word"))
     cut = terms.select(F.lower("term").alias("term")).distinct()
     short = cut.filter((F.length("term") <= 5) & ~F.contains(F.col("term"), F.lit(" ")))
     exact = spoken.join(short, spoken["word"] == short["term"]).select("doc_id", "term")
-    long = cut.join(short, "term", "left_anti").withColumn("head", F.substring("term", 1, 3))
-    grams = docs.select("doc_id", "low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(3))))).alias("head"))
-    inside = grams.join(long, "head").filter(F.contains("low", F.col("term"))).select("doc_id", "term")
+    runs = F.array_sort(F.transform(T.words("term"), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    long = cut.join(short, "term", "left_anti").withColumn("run", F.coalesce(F.get(runs, F.lit(0))["w"], F.lit("")))
+    head = F.substring("run", 1, 3)
+    part = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda i: F.substring("word", i, n))
+    grams = spoken.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(part(1), part(2), part(3)))).alias("head"))
+    holding = grams.join(long.filter("run <> ''").withColumn("head", F.substring("run", 1, 3)), "head").filter(F.contains("word", F.col("run")))
+    likely = spoken.join(holding.select("word", "term").distinct(), "word").select("doc_id", "term").distinct()
+    inside = docs.join(likely, "doc_id").filter(F.contains("low", F.col("term"))).select("doc_id", "term")
     return exact.unionByName(inside).distinct()

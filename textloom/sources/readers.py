@@ -102,10 +102,20 @@ def phrases(spark: SparkSession, path: str, source: str) -> DataFrame:
     return rows.select(F.lower(F.trim("phrase")).alias("phrase"), F.trim("expanded").alias("expanded"), F.coalesce("source", F.lit(source)).alias("source"), F.when(F.coalesce(number, F.lit(0.0)) == 0, 1.0).otherwise(number).cast("string").alias("confidence")).filter("phrase <> '' AND expanded <> ''")
 
 
+#: Typos that a task may hold as one pattern.
+MOST_TYPOS = 10_000
+
+
 def typos(spark: SparkSession, path: str) -> dict[str, str]:
-    """The typo table as a dictionary for ``spans.spelled``; it is a short, hand-kept list (SRC12)."""
-    rows = _records(spark, path, "entries", "wrong string, correct string").filter("wrong <> '' AND correct <> ''").limit(10_000)
-    return {r["wrong"]: r["correct"] for r in rows.collect()}
+    """The typo table as a dictionary for ``spans.spelled`` (SRC12).
+
+    It is a short, hand-kept list; ValueError is raised for one of more than ``MOST_TYPOS`` entries.
+    """
+    rows = _records(spark, path, "entries", "wrong string, correct string").filter("wrong <> '' AND correct <> ''")
+    found = rows.limit(MOST_TYPOS + 1).collect()
+    if len(found) > MOST_TYPOS:
+        raise ValueError(f"more than {MOST_TYPOS} typos in {path}")
+    return {r["wrong"]: r["correct"] for r in found}
 
 
 def jdbc(spark: SparkSession, url: str, table: str, predicates: list[str] | None = None, **properties: str) -> DataFrame:
