@@ -1,8 +1,8 @@
 """Quality rules with verdicts on whole hosts.
 
-Each document gets rule counts from one pass over its bytes. The share of documents that fail is
-then summed by host, shrunk towards the corpus with a beta prior fitted to the hosts themselves,
-and the verdict on the host is joined back to its documents.
+Each document gets rule counts from one pass over its bytes. For each rule, the share of documents
+that fail it is summed by host and shrunk towards the corpus with a beta prior fitted to the hosts
+themselves; a host is judged by its worst rule, and the verdict is joined back to its documents.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ MAX_REPEAT_PERCENT = 50
 #: A host goes when its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.6
 
+#: More than one symbol for so many characters of words, or one repeated line for so many words.
+CHARS_PER_SYMBOL, WORDS_PER_DUP_LINE = 10, 10
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _SYMBOL = np.zeros(256, bool)
@@ -81,43 +84,59 @@ def rule_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     return rows.mapInArrow(_count_rows, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
+def rules() -> dict[str, Column]:
+    """What a document may fail; the first two fail the document itself, all count for its host."""
+    return {
+        "short": F.col("n_words") < MIN_WORDS,
+        "repetitive": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
+        "symbols": CHARS_PER_SYMBOL * F.col("n_symbols") > F.col("word_chars"),
+        "lines": WORDS_PER_DUP_LINE * F.col("n_dup_lines") > F.col("n_words"),
+    }
+
+
 def base_failed() -> Column:
     """Too short, or more than half of it in repeated three-word windows."""
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return rules()["short"] | rules()["repetitive"]
 
 
 def host_verdicts(counted: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """host, host_docs, host_failed, host_rate, host_kept: one row per host that isn't null.
+    """host, host_docs, host_rule, host_rate, host_kept: one row per host that isn't null.
 
-    The prior is Beta(mean * strength, (1 - mean) * strength). Its mean is the mean of the hosts'
-    failure rates; its strength matches their variance (mean * (1 - mean) / variance - 1, between
-    1 and 10,000; 10,000 where the hosts don't differ). host_rate is the posterior mean.
+    Each rule has a prior Beta(mean * strength, (1 - mean) * strength). Its mean is the mean of the
+    hosts' failure rates; its strength matches their variance (mean * (1 - mean) / variance - 1,
+    between 1 and 10,000; 10,000 where the hosts don't differ). host_rate is the greatest of the
+    posterior means and host_rule the rule it belongs to, of equal ones the first by name.
     """
-    hosts = counted.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(base_failed().cast("long")).alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("mean"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("variance"))
-    fitted = F.when(F.col("variance") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("variance") - 1).otherwise(10_000.0)
-    strength = prior.select(F.least(F.greatest(fitted, F.lit(1.0)), F.lit(10_000.0))).scalar()
-    shrunk = (F.col("host_failed") + prior.select("mean").scalar() * strength) / (F.col("host_docs") + strength)
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") <= max_rate)
+    failed = {name: F.sum(rule.cast("long")).alias(name) for name, rule in rules().items()}
+    hosts = counted.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), *failed.values())
+    rate = {name: F.col(name) / F.col("host_docs") for name in failed}
+    moments = [m for name, r in rate.items() for m in (F.avg(r).alias(f"{name}_mean"), F.coalesce(F.var_pop(r), F.lit(0.0)).alias(f"{name}_variance"))]
+    prior = hosts.agg(*moments)  # one row
+    mean, variance = (lambda n: F.col(f"{n}_mean")), (lambda n: F.col(f"{n}_variance"))
+    strength = {n: F.least(F.greatest(F.when(variance(n) > 0, mean(n) * (1 - mean(n)) / variance(n) - 1).otherwise(10_000.0), F.lit(1.0)), F.lit(10_000.0)) for n in failed}
+    fitted = prior.select(F.struct(*(F.struct(mean(n).alias("mean"), strength[n].alias("strength")).alias(n) for n in failed)).alias("p"))
+    judged = hosts.withColumn("p", fitted.scalar())
+    shrunk = {n: (F.col(n) + F.col(f"p.{n}.mean") * F.col(f"p.{n}.strength")) / (F.col("host_docs") + F.col(f"p.{n}.strength")) for n in failed}
+    worst = F.array_sort(F.array(*(F.struct((-v).alias("loss"), F.lit(n).alias("rule")) for n, v in shrunk.items())))[0]
+    return judged.withColumn("w", worst).select("host", "host_docs", F.col("w.rule").alias("host_rule"), (-F.col("w.loss")).alias("host_rate"), (-F.col("w.loss") <= max_rate).alias("host_kept"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the counts, base_failed, host_rate and kept.
+    """One row per row of ``docs``: doc_id, the counts, base_failed, host_rule, host_rate and kept.
 
     A document is kept if it passes its own rules and its host isn't judged bad. Hosts are counted
     with partial sums, so one with a third of all rows costs no more than another; the join back
     lets Spark broadcast or split by size. Null texts have no words and fail; a null host gets no
-    verdict (host_rate is null) and doesn't reject; repeated rows stay repeated; an empty table
+    verdict (host_rule and host_rate are null) and doesn't reject; repeated rows stay repeated; an empty table
     gives no rows; other columns are ignored, whatever their names.
     """
     counted = durable(rule_counts(docs, doc_id, text, host))
-    verdicts = host_verdicts(counted, max_rate).select("host", "host_rate", "host_kept")
+    verdicts = host_verdicts(counted, max_rate).select("host", "host_rule", "host_rate", "host_kept")
     kept = ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))
     return (
         counted.withColumn("base_failed", base_failed())
         .join(verdicts, "host", "left")
-        .select("doc_id", *COUNTS, "base_failed", "host_rate", kept.alias("kept"))
+        .select("doc_id", *COUNTS, "base_failed", "host_rule", "host_rate", kept.alias("kept"))
     )
 
 

@@ -59,7 +59,7 @@ FROM sized GROUP BY conv_id
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_documents(spark, sf_dir)).drop("host_rate")
+    return quality.quality_rules(_documents(spark, sf_dir)).drop("host_rule", "host_rate")
 
 
 OP3_SQL = r"""
@@ -81,11 +81,15 @@ counted AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM cut c LEFT JOIN covered USING (doc_id) LEFT JOIN rows USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
-hosts AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM judged WHERE source IS NOT NULL GROUP BY source),
+failures AS (
+  SELECT source, unnest(['short', 'repetitive', 'symbols', 'lines']) AS rule,
+    unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > word_chars, 10 * n_dup_lines > n_words]) AS hit
+  FROM judged WHERE source IS NOT NULL),
+hosts AS (SELECT source, rule, count(*) AS n, sum(hit::INT) AS failed FROM failures GROUP BY 1, 2),
 prior AS (
-  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) ELSE 10000.0 END AS s
-  FROM (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM hosts)),
-verdicts AS (SELECT source, (failed + m * s) / (n + s) <= 0.6 AS host_kept FROM hosts, prior)
+  SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) ELSE 10000.0 END AS s
+  FROM (SELECT rule, avg(failed / n) AS m, var_pop(failed / n) AS v FROM hosts GROUP BY 1)),
+verdicts AS (SELECT source, bool_and((failed + m * s) / (n + s) <= 0.6) AS host_kept FROM hosts JOIN prior USING (rule) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(host_kept, true) AS kept
 FROM judged LEFT JOIN verdicts USING (source)
