@@ -46,6 +46,19 @@ def streaming_admission(spark: SparkSession, d: str) -> DataFrame:
     return jobs.appended(admission.admitted(requests), new_folder(spark, "admission"))
 
 
+ADMISSION = """
+WITH RECURSIVE e AS (SELECT event_type AS account, event_id AS request_id, user_id::VARCHAR AS owner, epoch_us(ts) / 1e6 AS now, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+s AS (
+  SELECT account, 0::BIGINT AS k, []::STRUCT(o VARCHAR, t DOUBLE, x DOUBLE)[] AS held, NULL::BIGINT AS request_id, NULL::BOOLEAN AS admitted FROM (SELECT DISTINCT account FROM e)
+  UNION ALL
+  SELECT account, k, CASE WHEN good THEN list_append(h, {'o': owner, 't': now, 'x': now + 91}) ELSE h END, request_id, good
+  FROM (
+    SELECT *, len(h) < 30 AND len(list_filter(h, lambda y: y.o = owner)) < 10 AND len(list_filter(h, lambda y: y.x > now)) < 4 AND len(list_filter(h, lambda y: y.x > now AND y.o = owner)) < 2 AS good
+    FROM (SELECT e.*, list_filter(s.held, lambda y: y.t > e.now - 60 OR y.x > e.now) AS h FROM s JOIN e ON e.account = s.account AND e.k = s.k + 1)))
+SELECT account, request_id, admitted FROM s WHERE k > 0
+"""
+
+
 QUERIES = {
     "streaming_usage_daily": streaming_usage_daily,
     "streaming_rate_limits": streaming_rate_limits,
@@ -53,4 +66,4 @@ QUERIES = {
     "streaming_admission": streaming_admission,
 }
 
-SQL = {"streaming_usage_daily": USAGE, "streaming_rate_limits": LIMITS, "streaming_replays": REPLAYS}
+SQL = {"streaming_usage_daily": USAGE, "streaming_rate_limits": LIMITS, "streaming_replays": REPLAYS, "streaming_admission": ADMISSION}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import spans
 from textloom.functions import text as T
 from textloom.operators import dictionary, evaluate, mining, normalize, restore, review, segments
-from textloom.plans.corpus_queries import _pairs, _words
+from textloom.plans.corpus_queries import _PAIRS, _clean, _clean_all, _pairs, _words
 from textloom.session import table
 
 
@@ -130,6 +130,28 @@ def bigram_scored_choice(spark: SparkSession, d: str) -> DataFrame:
     return restore.score_candidates(tokens, counted).select("doc_id", F.col("pos").cast("long").alias("pos"), "best")
 
 
+_FORMS = f"""
+p AS (SELECT doc_id, {_clean_all('nd')} AS a, {_clean_all('wd')} AS b FROM ({_PAIRS})),
+said AS (SELECT nd, wd, count(*)::BIGINT AS cnt FROM (SELECT a[i] AS nd, b[i] AS wd FROM (SELECT a, b, unnest(range(1, len(a) + 1)) AS i FROM p WHERE len(a) = len(b))) WHERE nd <> '' AND wd <> '' GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER w AS r, max(cnt) OVER (PARTITION BY nd) AS top, first_value(wd) OVER w AS best FROM said WINDOW w AS (PARTITION BY nd ORDER BY cnt DESC, wd))
+"""
+
+BIGRAM_CHOICE = f"""
+WITH {_FORMS},
+forms AS (SELECT nd, list(wd ORDER BY r) AS cands FROM ranked WHERE best <> nd AND CASE WHEN top >= 2 THEN cnt >= 2 AND r <= 5 ELSE r = 1 END GROUP BY 1),
+texts AS (SELECT doc_id, {_clean('wd')} AS w FROM ({_PAIRS})),
+seen AS (SELECT doc_id, i - 1 AS pos, strip_accents(w[i]) AS bare FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)),
+offered AS (SELECT doc_id, pos, bare, cands, coalesce(cands, [bare]) AS own FROM seen LEFT JOIN forms ON bare = nd),
+around AS (SELECT *, lag(own) OVER w AS prev, lead(own) OVER w AS next FROM offered WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+pairs AS (SELECT w1, w2, count(*) AS c FROM (SELECT w[i] AS w1, w[i + 1] AS w2 FROM (SELECT w, unnest(range(1, len(w))) AS i FROM texts)) GROUP BY 1, 2),
+cell AS (SELECT doc_id, pos, prev, next, unnest(cands) AS cand, unnest(range(1, len(cands) + 1)) AS rank FROM around WHERE len(cands) > 1),
+lft AS (SELECT doc_id, pos, rank, max(c) AS c FROM (SELECT doc_id, pos, rank, cand, unnest(prev) AS o FROM cell) JOIN pairs ON w1 = o AND w2 = cand GROUP BY 1, 2, 3),
+rgt AS (SELECT doc_id, pos, rank, max(c) AS c FROM (SELECT doc_id, pos, rank, cand, unnest(next) AS o FROM cell) JOIN pairs ON w1 = cand AND w2 = o GROUP BY 1, 2, 3),
+scored AS (SELECT doc_id, pos, cand, rank, coalesce(lft.c, 0) + coalesce(rgt.c, 0) AS score FROM cell LEFT JOIN lft USING (doc_id, pos, rank) LEFT JOIN rgt USING (doc_id, pos, rank))
+SELECT doc_id, pos, first(cand ORDER BY score DESC, rank) AS best FROM scored GROUP BY 1, 2
+"""
+
+
 def restore_documents(spark: SparkSession, d: str) -> DataFrame:
     """Word map, bigrams and phrases mined from the accented texts restore their bare side."""
     pairs = _pairs(spark, d)
@@ -149,20 +171,44 @@ def _snapshot(spark: SparkSession, d: str) -> dictionary.Snapshot:
     frequent = pairs.orderBy(F.desc("cnt"), "w1", "w2").limit(100)
     phrases = dictionary.phrase_table([frequent.select(F.concat_ws(" ", "w1", "w2").alias("phrase"), F.upper(F.concat_ws(" ", "w1", "w2")).alias("expanded"), F.lit("mined").alias("source"), F.lit("1.0").alias("confidence"))])
     abbreviations = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 3)).alias("abbr"), "p_name").groupBy("abbr").agg(F.min("p_name").alias("expanded"))
-    details = abbreviations.select("abbr", F.array("expanded").alias("options")).limit(0)
+    named = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 3)).alias("abbr"), "p_name")
+    several = named.groupBy("abbr").agg(F.array_sort(F.collect_set("p_name")).alias("options")).filter(F.size("options") > 1)
+    meanings = F.array(F.lit("công ty"), F.lit("chia tay"))
+    details = several.select("abbr", F.when(F.substring("abbr", 1, 1) < "m", F.col("options")).otherwise(meanings).alias("options"))
     return dictionary.Snapshot(1, abbreviations, details, words, phrases)
 
 
+TYPOS = {"teh": "the", "adn": "and", "recieve": "receive"}
+
+
 def normalize_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """All turns with dictionaries, details, typos and the word map, bigrams and phrases of the accented texts."""
     turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
-    out = normalize.normalize(turns, _snapshot(spark, d), live=True)
-    return out.select("doc_id.conv_id", "doc_id.turn", "normalized_text", F.array_join("error_types", ",").alias("error_types"), F.size("expanded_abbreviations").alias("n_expanded"), F.size("changes").alias("n_changes"), F.size("pending_keys").alias("n_pending"))
+    pairs = _pairs(spark, d)
+    phrases = mining.dominant_phrases(mining.phrase_variants(pairs), min_freq=5)
+    phrases = phrases.select(F.split("nd_key", " ").alias("key"), F.split("wd_key", " ").alias("val"))
+    out = normalize.normalize(turns, _snapshot(spark, d), mining.word_map(mining.word_forms(pairs)), mining.bigrams(pairs), phrases, TYPOS, live=True)
+    return out.select("doc_id.conv_id", "doc_id.turn", "normalized_text", F.array_join("error_types", ",").alias("error_types"), F.size("expanded_abbreviations").alias("n_expanded"), F.size("ambiguities").alias("n_ambiguities"), F.size("changes").alias("n_changes"), F.size("pending_keys").alias("n_pending"))
 
 
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segments.explode_chunks(_documents(spark, d)).select("doc_id", "chunk", "start_word", "end_word", F.length("text").alias("n_chars"))
 
 
+SENTENCE_CHUNKS = r"""
+WITH RECURSIVE cut AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w, regexp_extract_all(text, '\s+') AS gaps, regexp_matches(text, '^\s') AS led FROM documents),
+t AS (
+  SELECT doc_id, length(text) AS size, len(w) AS n, list_transform(w, lambda x: length(x)) AS ws, list_transform(CASE WHEN led THEN gaps ELSE list_prepend('', gaps) END, lambda x: length(x)) AS gs,
+    list_filter(range(1, len(w) + 1), lambda i: regexp_matches(w[i], '[.!?…]["''”’)\]}]*$')) AS ends FROM cut WHERE len(w) > 0),
+r AS (
+  SELECT doc_id, 0 AS chunk, 0::BIGINT AS a, CASE WHEN n <= 120 THEN n ELSE coalesce(list_filter(ends, lambda e: e > 60 AND e <= 120)[-1], 120) END AS b FROM t
+  UNION ALL
+  SELECT r.doc_id, chunk + 1, b, coalesce(list_filter(ends, lambda e: e > b + 60 AND e <= least(b + 120, n))[-1], least(b + 120, n)) FROM r JOIN t USING (doc_id) WHERE b < n)
+SELECT doc_id, chunk, a::INT AS start_word, b::INT AS end_word,
+  (CASE WHEN n <= 120 THEN size ELSE list_sum(ws[a + 1:b]) + coalesce(list_sum(gs[a + 2:b]), 0) END)::INT AS n_chars FROM r JOIN t USING (doc_id)
+"""
+
+
 def segmented_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     joined = segments.join_chunks(segments.explode_chunks(_documents(spark, d)))
     return joined.select("doc_id", F.sha2("text", 256).alias("sha256"))
@@ -217,4 +263,6 @@ SQL = {
     "abbr_expand": ABBR_EXPAND,
     "context_window5": CONTEXT_WINDOW,
     "segmented_roundtrip": ROUNDTRIP,
+    "bigram_scored_choice": BIGRAM_CHOICE,
+    "sentence_chunks": SENTENCE_CHUNKS,
 }
