@@ -1,6 +1,7 @@
 """Dictionaries, mutations, evidence and the store's reads."""
 
 import datetime as dt
+import hmac
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,17 +114,28 @@ def _evidence(spark, items):
 
 def test_evidence(spark):
     same = [("chia tay", f"ct voi em{'!' * i}", f"r{i}", "u", f"s{i}") for i in range(3)]
-    assert evidence.candidates(evidence.distinct_evidence(_evidence(spark, same))).first().evidence_count == 1
+    assert evidence.candidates(evidence.distinct_evidence(_evidence(spark, same), "k")).first().evidence_count == 1
     good = [("chia tay", f"ct voi em {w}", f"r{w}", f"u{w}", f"s{w}") for w in "abc"]
-    found = evidence.distinct_evidence(_evidence(spark, good))
+    found = evidence.distinct_evidence(_evidence(spark, good), "k")
     assert evidence.candidates(found).first().status == "conditional_shared"
     assert evidence.reusable(evidence.candidates(found)).count() == 1
     rival = [*good, ("cong ty", "ct voi em x", "rx", "ux", "sx")]
-    assert {r.status for r in evidence.candidates(evidence.distinct_evidence(_evidence(spark, rival))).collect()} == {"needs_review"}
+    assert {r.status for r in evidence.candidates(evidence.distinct_evidence(_evidence(spark, rival), "k")).collect()} == {"needs_review"}
     gone = evidence.candidates(found).limit(1)
     assert evidence.candidates(found, revoked=gone).first().status == "revoked"
     short = [("chia tay", "ct", f"r{w}", f"u{w}", f"s{w}") for w in "abc"]
-    assert {r.status for r in evidence.candidates(evidence.distinct_evidence(_evidence(spark, short))).collect()} == {"candidate"}
+    assert {r.status for r in evidence.candidates(evidence.distinct_evidence(_evidence(spark, short), "k")).collect()} == {"candidate"}
+
+
+def test_evidence_hides_ids_and_literals(spark):
+    """Hashes are keyed; contexts that differ in a number or an address alone are one."""
+    items = [("chia tay", f"ct voi em luc {t}", f"r{i}", f"u{i}", f"s{i}") for i, t in enumerate(["10:30", "11:45", "www.kho.vn/x"])]
+    found = evidence.distinct_evidence(_evidence(spark, items), "one").collect()
+    assert len(found) == 1 and found[0].user_id == hmac.new(b"one", b"user_id\0u0", "sha256").hexdigest()
+    other = evidence.distinct_evidence(_evidence(spark, items), "x" * 80).first()
+    assert other.request_id == hmac.new(b"x" * 80, b"request_id\0r0", "sha256").hexdigest() and other.context_key != found[0].context_key
+    cut = spark.range(1).select(evidence.redact(F.lit("xin ct voi em nhe"), F.lit("ct"))).first()[0]
+    assert cut == "ct > voi em"
 
 
 def test_readers(spark, tmp_path):

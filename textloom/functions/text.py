@@ -6,6 +6,7 @@ set, so classes are spelled out or prefixed.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
@@ -172,6 +173,15 @@ def phonetic_fold(text: Column | str) -> Column:
     return F.regexp_replace(fold(text), r"\b(?:ch|tr)", "tr")
 
 
+def hmac_sha256(value: Column, secret: str, namespace: str) -> Column:
+    """The keyed hash (RFC 2104) of a namespace, a byte 0 and a value, in hexadecimal; null stays null (STR-X3)."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    message = F.concat(inner, F.lit(namespace.encode() + b"\0"), F.encode(value.cast("string"), "UTF-8"))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(message, 256))), 256)
+
+
 def squeeze(text: Column | str) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(col(text), r"(?U)\s+", " "))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import spans
 from textloom.functions import text as T
 
 #: Evidence needed, and distinct users (production) or sessions (else).
@@ -44,27 +45,30 @@ def valid_evidence() -> Column:
     )
 
 
-def distinct_evidence(events: DataFrame) -> DataFrame:
+def distinct_evidence(events: DataFrame, secret: str) -> DataFrame:
     """One row per candidate, request and context: copies in either don't add evidence (JN13, AGG12).
 
     ``events``: ts, abbr, meaning, domain, context, request_id, user_id, session_id, confidence and
-    the flags. The first of a request and the first of a context count; a row must be both.
+    the flags. The first of a request and the first of a context count, by time and request id; a
+    row must be both. Ids and contexts are kept as hashes keyed by ``secret``; contexts that differ
+    in a literal alone (a number, an address, a name) are one.
     """
-    words = F.array_join(F.regexp_extract_all(T.canonical("context"), F.lit(r"\p{L}+"), F.lit(0)), " ")
+    words = F.array_join(F.regexp_extract_all(T.canonical(spans.masked("context")), F.lit(r"\p{L}+"), F.lit(0)), " ")
     rows = events.filter(valid_evidence()).select(
         "ts",
         T.canonical("abbr").alias("abbr"),
         T.canonical("meaning").alias("meaning"),
         T.canonical("domain").alias("domain"),
         F.coalesce(context_scope(F.col("context"), F.col("abbr")), F.lit("unscoped")).alias("scope"),
-        F.sha2(words, 256).alias("context_key"),
-        *(F.sha2(F.col(c).cast("string"), 256).alias(c) for c in ("request_id", "user_id", "session_id")),
+        T.hmac_sha256(words, secret, "context").alias("context_key"),
+        F.col("request_id").cast("string").alias("_id"),
+        *(T.hmac_sha256(F.col(c), secret, c).alias(c) for c in ("request_id", "user_id", "session_id")),
     )
     candidate = [*KEY, "meaning"]
-    order = ["ts", "request_id", "context_key"]
+    order = ["ts", "_id", "context_key"]
     by_request = Window.partitionBy(*candidate, "request_id").orderBy(*order)
     by_context = Window.partitionBy(*candidate, "context_key").orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(by_request)).withColumn("_c", F.row_number().over(by_context)).filter("_r = 1 AND _c = 1").drop("_r", "_c")
+    return rows.withColumn("_r", F.row_number().over(by_request)).withColumn("_c", F.row_number().over(by_context)).filter("_r = 1 AND _c = 1").drop("_r", "_c", "_id")
 
 
 def candidates(evidence: DataFrame, revoked: DataFrame | None = None, production: bool = True) -> DataFrame:

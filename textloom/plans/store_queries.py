@@ -15,6 +15,8 @@ from textloom.operators import dictionary, evidence, mutate, store
 from textloom.session import table
 
 AS_OF = dt.date(2024, 1, 30)
+#: A deployment takes its own from its settings.
+SECRET = "key of the registered queries"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +259,7 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_promotion(spark: SparkSession, d: str) -> DataFrame:
-    found = evidence.candidates(evidence.distinct_evidence(_evidence(spark, d)))
+    found = evidence.candidates(evidence.distinct_evidence(_evidence(spark, d), SECRET))
     return found.select("abbr", "domain", "meaning", "evidence_count", "users", "status")
 
 
@@ -265,7 +267,7 @@ EVIDENCE = """
 WITH e AS (
   SELECT ts, event_id, lower(left(event_type, 2)) AS abbr, CASE WHEN user_id % 10 = 0 THEN 'other meaning' ELSE 'some meaning' END AS meaning,
     'd' || (user_id % 40) AS domain, json_extract_string(props, '$.k') AS k, user_id FROM events),
-f AS (SELECT *, row_number() OVER (PARTITION BY abbr, domain, meaning, k ORDER BY ts, sha256(event_id::VARCHAR)) AS r FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY abbr, domain, meaning, k ORDER BY ts, event_id::VARCHAR) AS r FROM e),
 c AS (SELECT abbr, domain, meaning, count(*)::BIGINT AS evidence_count, count(DISTINCT user_id)::BIGINT AS users FROM f WHERE r = 1 GROUP BY 1, 2, 3),
 s AS (SELECT *, count(*) OVER (PARTITION BY abbr, domain) AS rivals FROM c)
 SELECT abbr, domain, meaning, evidence_count, users, CASE WHEN rivals > 1 THEN 'needs_review' WHEN evidence_count >= 3 AND users >= 2 THEN 'conditional_shared' ELSE 'candidate' END AS status FROM s
@@ -273,7 +275,7 @@ SELECT abbr, domain, meaning, evidence_count, users, CASE WHEN rivals > 1 THEN '
 
 
 def reusable_meanings(spark: SparkSession, d: str) -> DataFrame:
-    found = evidence.reusable(evidence.candidates(evidence.distinct_evidence(_evidence(spark, d))))
+    found = evidence.reusable(evidence.candidates(evidence.distinct_evidence(_evidence(spark, d), SECRET)))
     return found.select("abbr", "domain", "meaning")
 
 
