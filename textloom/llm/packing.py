@@ -11,6 +11,7 @@ number of sequences is that of one-by-one best-fit decreasing, or nearly so.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -301,7 +302,10 @@ def across(left: dict[int, tuple[int, int]], pairs: int = 0) -> tuple[list[Run],
 
 def _numbered(left: DataFrame, runs: list[Run]) -> DataFrame:
     """The leftover rows of ``runs``, with their ``number`` and whether it is a ``new`` place."""
-    table = left.sparkSession.createDataFrame(runs, "part int, kind int, lowest long, count long, number long, step int, new boolean")
+    schema = "array<struct<part: int, kind: int, lowest: long, count: long, number: long, step: int, new: boolean>>"
+    names = ["part", "kind", "lowest", "count", "number", "step", "new"]
+    listed = json.dumps([dict(zip(names, run, strict=True)) for run in runs])
+    table = left.sparkSession.range(1).select(F.inline(F.from_json(F.lit(listed), schema)))  # without a Python worker
     table = F.broadcast(table) if len(runs) <= BROADCAST_ROWS else table
     meant = left.join(table, ["part", "kind"]).filter((F.col("rank") >= F.col("lowest")) & (F.col("rank") < F.col("lowest") + F.col("count")))
     return meant.select("kind", "sequence_id", *PIECE, (F.col("number") + F.col("step") * (F.col("rank") - F.col("lowest"))).alias("number"), "new")
@@ -332,7 +336,7 @@ def pack(rows: DataFrame, seq_len: int = SEQ_LEN, rows_each: int = ROWS_EACH) ->
     ranges = lambda n: max(1, -(-n // rows_each))
     # sorted files: a superstep reads its own lengths only
     ordered = stored(kept.repartitionByRange(ranges(sum(counts.values())), "length", F.xxhash64(*PIECE)).sortWithinPartitions("length"))
-    gaps = spark.createDataFrame([], "sequence_id long, gap long")
+    gaps = spark.range(0).select(F.col("id").alias("sequence_id"), F.col("id").alias("gap"))
     path, opened = new_folder(spark, "placed"), 0
     for number, (low, high, n) in enumerate(classes(counts, seq_len)):
         wide = gaps.filter(F.col("gap") > low)
