@@ -34,6 +34,8 @@ END_ID = 0
 CLASS_SHARES = [(1 / 6, 0.9), (1 / 16, 0.75), (0, 0.5)]
 #: Rows of a range, which one task sweeps.
 ROWS_EACH = 200_000
+#: Partitions at least in which gaps and places are kept, so that no executor does all of a small superstep.
+LEAST = 6
 #: Atoms that a worker remembers (20 bytes each); when full it starts anew, which costs time but changes nothing.
 REMEMBERED = 3_000_000
 
@@ -355,12 +357,12 @@ def pack(rows: DataFrame, seq_len: int = SEQ_LEN, rows_each: int = ROWS_EACH) ->
         if new:
             sequence = F.lit(opened) + F.floor(F.col("number") / each)
             found.append(numbered.filter("new").select(sequence.alias("sequence_id"), *PIECE, (F.col("number") % each == 0).alias("opens")))
-        reduce(DataFrame.unionByName, found).coalesce(ranges(n)).write.parquet(f"{path}/superstep={number}")
+        reduce(DataFrame.unionByName, found).coalesce(max(LEAST, ranges(n))).write.parquet(f"{path}/superstep={number}")
         step = spark.read.schema(_STEP).parquet(f"{path}/superstep={number}")
         opened += -(-new // each)
         taken = step.select("sequence_id", (F.when(F.col("opens"), seq_len).otherwise(0) - F.col("length")).alias("gap"))
         updated = wide.unionByName(taken).groupBy("sequence_id").agg(F.sum("gap").alias("gap"))
-        gaps = durable(gaps.filter(F.col("gap") <= low).unionByName(updated).filter(F.col("gap") >= min(counts)).coalesce(ranges(opened)))
+        gaps = durable(gaps.filter(F.col("gap") <= low).unionByName(updated).filter(F.col("gap") >= min(counts)).coalesce(max(LEAST, ranges(opened))))
     if not counts:
         return kept.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     before = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), *PIECE).rowsBetween(Window.unboundedPreceding, -1)
