@@ -51,7 +51,7 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "table")
     with _small_batches(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, rows_each: int = 100_000, least: int = 6) -> tuple[DataFrame, int]:

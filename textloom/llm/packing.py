@@ -207,8 +207,9 @@ PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _PIECE_TYPE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _STEP = f"sequence_id long, {_PIECE_TYPE}, opens boolean"
 _SWEPT = f"part int, kind int, rank long, sequence_id long, {_PIECE_TYPE}"
-#: Kinds of rows that a sweep gives: gaps and pieces that its range left over, and pieces that found their gap there.
-_GAP, _LEFT, _FOUND = 0, 1, 2
+#: Kinds of rows that a sweep gives: gaps and pieces that its range left over, pieces that found their gap
+#: there, and one row with the numbers of the first two (pieces as rank, gaps as sequence_id).
+_GAP, _LEFT, _FOUND, _SUMS = 0, 1, 2, 3
 
 
 def classes(counts: dict[int, int], seq_len: int) -> Iterator[tuple[int, int, int]]:
@@ -261,7 +262,10 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sequence = np.r_[sequences[opening], sequences[alone]]
     part = np.full(len(rows), TaskContext.get().partitionId(), np.int32)
     columns = [pa.array(part), pa.array(kind), pa.array(rank), pa.array(sequence), *(table.column(c).take(pa.array(rows)).combine_chunks() for c in PIECE)]
-    yield from pa.table(columns, names=["part", "kind", "rank", "sequence_id", *PIECE]).to_batches(20_000)
+    out = pa.table(columns, names=["part", "kind", "rank", "sequence_id", *PIECE])
+    yield from out.to_batches(20_000)
+    sums = {"part": part[0], "kind": _SUMS, "rank": int((kind == _LEFT).sum()), "sequence_id": int((kind == _GAP).sum())}
+    yield pa.RecordBatch.from_pylist([sums], out.schema)
 
 
 class Run(NamedTuple):
@@ -344,11 +348,11 @@ def pack(rows: DataFrame, seq_len: int = SEQ_LEN, rows_each: int = ROWS_EACH) ->
         wide = gaps.filter(F.col("gap") > low)
         merged = _merged(wide, ordered.filter((F.col("length") > low) & (F.col("length") <= high)), high)
         order = [F.col("size").desc(), "is_piece", "lot"]
-        swept = durable(merged.repartitionByRange(ranges(n + opened), *order).sortWithinPartitions(*order, *PIECE).select("sequence_id", *PIECE).mapInArrow(_sweep, _SWEPT))
+        swept = stored(merged.repartitionByRange(ranges(n + opened), *order).sortWithinPartitions(*order, *PIECE).select("sequence_id", *PIECE).mapInArrow(_sweep, _SWEPT))
         found = [swept.filter(F.col("kind") == _FOUND).select("sequence_id", *PIECE, F.lit(False).alias("opens"))]
-        rest = swept.filter(F.col("kind") != _FOUND)
-        left = rest.groupBy("part").agg(F.count_if(F.col("kind") == _LEFT).alias("pieces"), F.count_if(F.col("kind") == _GAP).alias("gaps")).collect()
-        runs, pairs, new = across({r["part"]: (r["pieces"], r["gaps"]) for r in left})
+        rest = swept.filter(F.col("kind").isin(_GAP, _LEFT))
+        sums = swept.filter(F.col("kind") == _SUMS).select("part", "rank", "sequence_id").collect()  # a row of each range
+        runs, pairs, new = across({r["part"]: (r["rank"], r["sequence_id"]) for r in sums})
         numbered, each = _numbered(rest, runs), seq_len // high
         if pairs:
             free = numbered.filter(F.col("kind") == _GAP).select("number", "sequence_id")
