@@ -157,7 +157,7 @@ def test_turns_of_long_conversations_stay_apart(spark, tmp_path):
     """Turn 1000 of a conversation isn't turn 0 of the next."""
     turns = [(1, 0), (1, 1), (1, 999), (1, 1000), (1, 1001), (1, 2001), (2, 0), (2, 1), (3, 1)]
     rows = [(*t, f"{w} turn") for t, w in zip(turns, ["alpha", "bravo", "carol", "delta", "echo", "fox", "golf", "hotel", "india"], strict=True)]
-    tables = {"conversations": (rows, "conv_id long, turn int, text string"), "benchmark": ([(1, "one two")], "item_id long, text string"), "part": ([("qqq wide",)], "p_name string")}
+    tables = {"conversations": (rows, "conv_id long, turn int, text string"), "benchmark": ([(1, "one two")], "item_id long, text string"), "part": ([("qqq wide",)], "p_name string"), "documents": ([(1, "fr", "voilà l'été")], "doc_id long, lang string, text string")}
     for name, (given, schema) in tables.items():
         spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     out = [(r.conv_id, r.turn, r.normalized_text) for r in text_queries.normalize_conversations(spark, str(tmp_path)).collect()]
