@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, chat, lm, media, near_dedup, packing, quality, substrings, token_counts, warc
+from textloom.llm import bpe, chat, lm, media, near_dedup, neighbours, packing, quality, substrings, token_counts, warc
 from textloom.llm._spark import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.unigram_counts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e,
+    sqrt(list_reduce(list_transform(embedding::DOUBLE[], lambda x: x * x), lambda x, y: x + y)) AS size FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    least(greatest(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i]), lambda x, y: x + y) / (q.size * v.size), -1.0), 1.0) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -137,8 +157,9 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
+        "op11_nearest_neighbours": op11_nearest_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL, "op11_nearest_neighbours": OP11_SQL}
