@@ -1,10 +1,22 @@
 """Nearest neighbours, collocations and tokenizer alignment, against brute force."""
 
+import random
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import neighbours
+from textloom.llm import collocations, neighbours
+from textloom.session import new_folder
+
+
+def _written(frame):
+    """The path of a table with the rows: one that gives the same rows in the same tasks each time."""
+    path = new_folder(frame.sparkSession, "input")
+    frame.write.parquet(path)
+    return path
 
 
 def brute_neighbours(rows, k=5):
@@ -65,3 +77,55 @@ def test_neighbours_recall(spark):
         tree.search(u[::50], 6, factor)
         visited.append(tree.visited)
     assert visited[0] >= visited[1] > visited[2]
+
+
+def brute_collocations(rows, least, longest, top):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    f = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for n in range(1, longest + 1):
+                f[lang if lang is not None else "und"].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    out = []
+    for lang, counts in f.items():
+        total = sum(c for p, c in counts.items() if len(p) == 1)
+        candidates = {p: c for p, c in counts.items() if len(p) > 1 and c >= least}
+        inside = {p[i:j] for p, c in candidates.items() for i in range(len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) and candidates[p[i:j]] <= c}
+        ranked = []
+        for p, a in candidates.items():
+            if p not in inside:
+                score, k = min((1000 * a * total // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+                ranked.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        out += [(lang, i, p.decode(), -a, left, r, total, -s) for i, (s, a, p, left, r) in enumerate(sorted(ranked)[:top], 1)]
+    return sorted(out)
+
+
+def test_collocations(spark, texts):
+    pick = random.Random(4)
+    rows = [("en", t) for _, t, _ in texts] + [(None, t) for _, t, _ in texts[:20]] + [("fr", "Un deux, trois. Un deux! trois quatre\tcinq six sept"), ("fr", None), ("fr", "\t ,;")] * 3
+    rows += [(pick.choice(["en", "fr", None]), " ".join(pick.choice("AbCde") for _ in range(pick.randrange(60))) + pick.choice("., \n")) for _ in range(60)]
+    frame = spark.createDataFrame([(x, t, "x", 1) for x, t in rows], "lang string, text string, phrase string, n int").repartition(3)
+    frame = spark.read.parquet(_written(frame))
+    for least, longest, top, sizes in ((3, 5, 2000, {}), (2, 4, 30, {"block_bytes": 3000, "range_bytes": 2000})):
+        out = collocations.collocations(frame, least, longest, top, **sizes)
+        assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+        assert sorted(map(tuple, out.collect())) == brute_collocations(rows, least, longest, top)
+    assert collocations.collocations(frame.limit(0)).count() == 0
+
+
+def test_automaton_states():
+    """States against end position sets by brute force."""
+    strings = ["abcbc", "abcab", "bcbcb"]
+    words = np.array([ord(c) - 97 for x in strings for c in x])
+    reach = np.concatenate([np.arange(len(x)) for x in strings])
+    ends = defaultdict(set)
+    for at in range(len(words)):
+        for n in range(1, min(reach[at] + 1, 4) + 1):
+            ends[tuple(words[at - n + 1 : at + 1])].add(at)
+    by_state = defaultdict(list)
+    for p, e in ends.items():
+        by_state[frozenset(e)].append(len(p))
+    wanted = sorted((max(n), min(n), len(e)) for e, n in by_state.items())
+    found = [(n, int(m), int(c)) for n, _, count, shortest in collocations.Automaton(words, reach, 4).states() for c, m in zip(count, shortest, strict=True)]
+    assert sorted(found) == wanted

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, chat, lm, media, near_dedup, neighbours, packing, quality, substrings, token_counts, warc
+from textloom.llm import bpe, chat, collocations, lm, media, near_dedup, neighbours, packing, quality, substrings, token_counts, warc
 from textloom.llm._spark import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +144,42 @@ SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+spans AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM cut, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size),
+f AS (SELECT lang, phrase, size, count(*) AS n FROM spans GROUP BY 1, 2, 3),
+totals AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY 1),
+candidates AS (SELECT lang, phrase, size, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 100),
+cuts AS (
+  SELECT *, array_to_string(w[1:k], ' ') AS first_part, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, c.size, c.k, c.a, x.n AS l, y.n AS r, t.n::BIGINT AS n,
+    (1000::HUGEINT * c.a * t.n::HUGEINT // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first_part JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+  SELECT DISTINCT lang, part FROM (
+    SELECT lang, a, unnest(flatten(list_transform(range(2, size), lambda s: list_transform(range(1, size - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))))) AS part
+    FROM candidates) AS longer
+  JOIN candidates AS inner_ USING (lang) WHERE inner_.phrase = part AND 100 * longer.a >= 100 * inner_.a),
+ranked AS (
+  SELECT lang, phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.lang = lowest.lang AND held.part = lowest.phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -158,8 +194,9 @@ def queries() -> dict[str, Query]:
         "op9_packing": op9_packing,
         "op10_token_counts": op10_token_counts,
         "op11_nearest_neighbours": op11_nearest_neighbours,
+        "op12_collocations": op12_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL, "op11_nearest_neighbours": OP11_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_quality_rules": OP3_SQL, "op11_nearest_neighbours": OP11_SQL, "op12_collocations": OP12_SQL}
