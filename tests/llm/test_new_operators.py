@@ -1,14 +1,17 @@
 """Nearest neighbours, collocations and tokenizer alignment, against brute force."""
 
+import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import collocations, neighbours
+from textloom.llm import alignment, collocations, neighbours
 from textloom.session import new_folder
 
 
@@ -129,3 +132,67 @@ def test_automaton_states():
     wanted = sorted((max(n), min(n), len(e)) for e, n in by_state.items())
     found = [(n, int(m), int(c)) for n, _, count, shortest in collocations.Automaton(words, reach, 4).states() for c, m in zip(count, shortest, strict=True)]
     assert sorted(found) == wanted
+
+
+A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def brute_alignment(rows):
+    """Whole texts, token by token."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tokenizer, pieces = Tokenizer.from_file(A_PATH), sentencepiece.SentencePieceProcessor(model_file=B_PATH)
+    tokenizer.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    found, counts = [], Counter()
+    for doc_id, text in rows:
+        groups = []
+        if text:
+            a = tokenizer.encode(" " + text, add_special_tokens=False).ids
+            b = pieces.encode(text)
+            spelled = [bytes(letters[c] for c in tokenizer.id_to_token(i)) for i in a]
+            other = [bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("\u2581", " ").encode() for i in b for p in [pieces.id_to_piece(i)]]
+            if b"".join(spelled) == b"".join(other) == (" " + text).encode():
+                ends = [np.cumsum([len(x) for x in t]).tolist() for t in (spelled, other)]
+                cuts = sorted(set(ends[0]) & set(ends[1]))
+                groups = [([], []) for _ in cuts]
+                for side, (ids, at) in enumerate(zip((a, b), ends, strict=True)):
+                    for i, end in zip(ids, at, strict=True):
+                        groups[bisect_left(cuts, end)][side].append(i)
+        links = Counter()
+        for x, y in groups:
+            x, y = Counter(x), Counter(y)
+            links.update({(i, j): x[i] * y[j] for i in x for j in y})
+        counts.update(set(links))
+        found.append((doc_id, groups, links))
+    top = Counter()
+    for (i, _), n in counts.items():
+        top[i] = max(top[i], n)
+    out = []
+    for doc_id, groups, links in found:
+        digest = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        sizes = (sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), sum(links.values()))
+        best = sum(n for p, n in links.items() if counts[p] == top[p[0]])
+        out.append((doc_id, *sizes, best, sum(n * counts[p] for p, n in links.items()), hashlib.sha256(digest.encode()).hexdigest() if groups else ""))
+    return sorted(out, key=str)
+
+
+ODD_TEXTS = ["  two  spaces ", " ", "\n\tx\u00a0 y \u2003z  \n ", "don't we'll I 'm 'S", "<|endoftext|> <s> </s> <unk> <0x41>", "a\u2581b c", "Größe naïve œuvre ça été", "日本語 の テキスト", "\U0001f600 \U0001f468\u200d\U0001f469 x",
+             "e\u0301 a\u0308o", "x\x00y \x01", "\u00a0lead trail\u3000", "1234 56,789.0 --- ///", "ﬁ ﬂ Ａ", "w \u0301mark \u200b zero", "\u1680 a \u0085 b"]
+
+
+def test_alignment(spark, texts):
+    rows = [(i, t) for i, t, _ in texts] + [(1000 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(2000, "aaaab " * 3000 + "zzz" * 5000)]
+    pick = random.Random(9)
+    rows += [(3000 + i, "".join(chr(pick.choice([32, 32, 65, 97, 98, 39, 10, 233, 0x3042, 0x2581, 0xA0, 48])) for _ in range(80))) for i in range(200)]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, chunk int, a string").repartition(3)
+    wanted = brute_alignment(rows)
+    for sizes in ({}, {"chunk_bytes": 2000}):
+        out = alignment.alignment(frame, A_PATH, B_PATH, **sizes)
+        assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+        assert sorted(map(tuple, out.collect()), key=str) == wanted
+    assert alignment.alignment(frame.limit(0), A_PATH, B_PATH).count() == 0
+    assert [tuple(r) for r in alignment.alignment(frame.filter("text IS NULL"), A_PATH, B_PATH).collect()] == [(50, 0, 0, 0, 0, 0, 0, "")]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, chat, collocations, lm, media, near_dedup, neighbours, packing, quality, substrings, token_counts, warc
+from textloom.llm import alignment, bpe, chat, collocations, lm, media, near_dedup, neighbours, packing, quality, substrings, token_counts, warc
 from textloom.llm._spark import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +180,10 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -195,6 +199,7 @@ def queries() -> dict[str, Query]:
         "op10_token_counts": op10_token_counts,
         "op11_nearest_neighbours": op11_nearest_neighbours,
         "op12_collocations": op12_collocations,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
