@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm import _text
 from textloom.llm._spark import stored
+from textloom.llm.lm import from_planes, planes
 
 #: Bytes of text that are aligned at once, whole rows at least.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 #: Bytes of units that are encoded as one string.
 JOINED_BYTES = 50_000
 
@@ -195,7 +196,7 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         (self.a, self.a_words), (self.b, self.b_words) = byte_level(a_path), pieces(b_path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         self.numbers = pa.array(map(str, range(max(len(self.a_words.size), len(self.b_words.size)))), pa.large_string())
 
@@ -249,15 +250,33 @@ class Aligner:
         return out
 
 
-#: Of a chunk's pairs: ids and partial counts. Of its units' pairs: unit, place of the pair, links. Of its
-#: documents' units: document, unit, times. Of its documents: what the result has.
+#: Of a chunk's pairs: ids and partial counts. Of its documents: what the result has.
 _CHUNK = [
-    *((x, pa.int32()) for x in ("a", "b", "held", "unit", "pair", "links", "doc", "used", "times")),
+    *((x, pa.int32()) for x in ("a", "b", "held")),
     *((x, pa.int64()) for x in ("doc_id", "n_a", "n_b", "n_groups", "n_links")),
     ("groups_sha256", pa.string()),
 ]
+#: Packed: of its units' pairs the unit, place of the pair, links; of its documents' units document, unit, times.
+_PACKED = ("unit", "pair", "links", "doc", "used", "times")
 _NAMES = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string"}
-_CHUNK_SCHEMA = ", ".join(f"{name} array<{_NAMES[kind]}>" for name, kind in _CHUNK)
+_CHUNK_SCHEMA = ", ".join([*(f"{name} array<{_NAMES[kind]}>" for name, kind in _CHUNK), "packed binary"])
+
+
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Integers of half a billion at most, steps of the sorted ones, byte by byte and compressed."""
+    steps = [np.diff(x, prepend=0) if i in (0, 3) else x for i, x in enumerate(arrays)]
+    sizes = np.array([len(x) for x in arrays], "<i4")
+    return np.r_[sizes, [sum(map(len, arrays))]].astype("<i8").tobytes() + pa.compress(b"".join(planes(x.astype("<i4")) for x in steps), "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    head = np.frombuffer(raw, "<i8", len(_PACKED) + 1)
+    body, at, out = pa.decompress(raw[head.nbytes :], int(head[-1]) * 4, "zstd", asbytes=True), 0, []
+    for i, n in enumerate(head[:-1].tolist()):
+        x = from_planes(body[at : at + 4 * n], "<i4").astype(np.int64)
+        out.append(np.cumsum(x) if i in (0, 3) else x)
+        at += 4 * n
+    return out
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -282,7 +301,8 @@ def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, most:
             joined = pc.binary_join(lists, pa.scalar(";", parts.type))
             out["groups_sha256"] = [hashlib.sha256(joined[i].as_buffer()).hexdigest() if has[i] else "" for i in range(n)]
             lists = [x if isinstance(x := out[name], pa.Array) else pa.array(x).cast(kind) for name, kind in _CHUNK]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=[name for name, _ in _CHUNK])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([_packed([out[c] for c in _PACKED])], pa.binary())], names=[*(name for name, _ in _CHUNK), "packed"])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +310,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = [name for name, _ in _CHUNK[-6:]]
     for batch in batches:
         for row in range(batch.num_rows):
-            of = {name: batch.column(i)[row].values for i, name in enumerate(batch.schema.names)}
-            unit, pair, links, doc, used, times = (of[c].to_numpy().astype(np.int64) for c in ("unit", "pair", "links", "doc", "used", "times"))
+            of = {name: batch.column(i)[row].values for i, name in enumerate(batch.schema.names) if name != "packed"}
+            unit, pair, links, doc, used, times = _unpacked(batch.column("packed")[row].as_py())
             sums = []
             for name in ("best", "count"):
                 each = of[name].to_numpy().astype(np.int64) if of[name] is not None else np.zeros(0, np.int64)

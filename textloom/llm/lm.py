@@ -77,7 +77,7 @@ def pair_keys(t: Tokens) -> np.ndarray:
 
 def planes(numbers: np.ndarray) -> bytes:
     """An array byte by byte, all first bytes first: sorted or small numbers then compress well."""
-    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    return numbers.view(np.uint8).reshape(-1, numbers.dtype.itemsize).T.tobytes()
 
 
 def from_planes(raw: bytes, kind: str) -> np.ndarray:
