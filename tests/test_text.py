@@ -100,7 +100,6 @@ def test_spelling_and_punctuation():
     assert spans.speller({})("gn") == ("gn", [])
     assert spans.lost_punctuation("một; hai", "một hai") == "một; hai" and spans.lost_punctuation("một hai", "một; hai") == "một; hai"
     assert spans.lost_punctuation("mot, hai.", "một hai") == "một, hai."
-    assert spans.project(3, 6, "di hoc", "đi học") == (3, 6) and spans.project(0, 2, "xx b", "b") is None
 
 
 def test_ngrams(spark):
