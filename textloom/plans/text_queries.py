@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import spans
+from textloom.functions import diffs, spans
 from textloom.functions import text as T
 from textloom.operators import dictionary, evaluate, mining, normalize, restore, review, segments
 from textloom.plans.corpus_queries import _PAIRS, _clean, _clean_all, _pairs, _words
-from textloom.session import table
+from textloom.session import kept, table
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -155,30 +155,123 @@ SELECT doc_id, pos, first(cand ORDER BY score DESC, rank) AS best FROM scored GR
 def restore_documents(spark: SparkSession, d: str) -> DataFrame:
     """Word map, bigrams and phrases mined from the accented texts restore their bare side."""
     pairs = _pairs(spark, d)
-    forms = mining.word_map(mining.word_forms(pairs))
-    counted = mining.bigrams(pairs)
-    phrases = mining.dominant_phrases(mining.phrase_variants(pairs, (2, 3)), min_freq=5)
-    phrases = phrases.select(F.split("nd_key", " ").alias("key"), F.split("wd_key", " ").alias("val"))
-    out = restore.restore(pairs, forms, counted, phrases, text="no_diacritics")
+    out = restore.restore(pairs, *_assets(spark, d), text="no_diacritics")
     judged = out.join(pairs.select("doc_id", "with_diacritics"), "doc_id")
     accuracy = evaluate.token_accuracy(T.space_tokens("with_diacritics"), T.space_tokens("restored"))
     return judged.select("doc_id", "restored", F.size("changed").alias("n_changed"), F.round("coverage", 4).alias("coverage"), F.round(accuracy, 4).alias("accuracy"))
 
 
 def _snapshot(spark: SparkSession, d: str) -> dictionary.Snapshot:
+    """Known words from the benchmark, phrases from frequent bigrams, names of parts as meanings of their first three letters."""
     words = table(spark, d, "benchmark").select(F.explode(T.words("text")).alias("word")).distinct()
     pairs = mining.bigrams(table(spark, d, "conversations"), "text")
     frequent = pairs.orderBy(F.desc("cnt"), "w1", "w2").limit(100)
     phrases = dictionary.phrase_table([frequent.select(F.concat_ws(" ", "w1", "w2").alias("phrase"), F.upper(F.concat_ws(" ", "w1", "w2")).alias("expanded"), F.lit("mined").alias("source"), F.lit("1.0").alias("confidence"))])
-    abbreviations = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 3)).alias("abbr"), "p_name").groupBy("abbr").agg(F.min("p_name").alias("expanded"))
-    details = abbreviations.select("abbr", F.array("expanded").alias("options")).limit(0)
-    return dictionary.Snapshot(1, abbreviations, details, words, phrases)
+    named = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 3)).alias("abbr"), "p_name")
+    abbreviations = named.groupBy("abbr").agg(F.min("p_name").alias("expanded"))
+    several = named.groupBy("abbr").agg(F.array_sort(F.collect_set("p_name")).alias("options")).filter(F.size("options") > 1)
+    meanings = F.array(F.lit("công ty"), F.lit("chia tay"))
+    details = several.select("abbr", F.when(F.substring("abbr", 1, 1) < "m", F.col("options")).otherwise(meanings).alias("options"))
+    return dictionary.Snapshot(1, abbreviations, details, kept(words), kept(phrases))
+
+
+TYPOS = {"teh": "the", "adn": "and", "recieve": "receive"}
+
+
+def _assets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Word map, bigrams and context phrases of the accented texts, each kept once."""
+    pairs = _pairs(spark, d)
+    phrases = mining.dominant_phrases(mining.phrase_variants(pairs), min_freq=5)
+    phrases = phrases.select(F.split("nd_key", " ").alias("key"), F.split("wd_key", " ").alias("val"))
+    return kept(mining.word_map(mining.word_forms(pairs))), kept(mining.bigrams(pairs)), kept(phrases)
 
 
 def normalize_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """All turns with dictionaries, details, typos and the word map, bigrams and phrases of the accented texts."""
     turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
-    out = normalize.normalize(turns, _snapshot(spark, d), live=True)
-    return out.select("doc_id.conv_id", "doc_id.turn", "normalized_text", F.array_join("error_types", ",").alias("error_types"), F.size("expanded_abbreviations").alias("n_expanded"), F.size("changes").alias("n_changes"), F.size("pending_keys").alias("n_pending"))
+    out = normalize.normalize(turns, _snapshot(spark, d), *_assets(spark, d), TYPOS, live=True)
+    return out.select("doc_id.conv_id", "doc_id.turn", "normalized_text", F.array_join("error_types", ",").alias("error_types"), F.size("expanded_abbreviations").alias("n_expanded"), F.size("ambiguities").alias("n_ambiguities"), F.size("variants").alias("n_variants"), F.size("changes").alias("n_changes"), F.size("pending_keys").alias("n_pending"))
+
+
+def normalize_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents by segments, with one budget of pending keys for each."""
+    out = normalize.normalize_segmented(_documents(spark, d), _snapshot(spark, d), typos=TYPOS)
+    return out.select("doc_id", F.sha2("normalized_text", 256).alias("sha256"), F.array_join("error_types", ",").alias("error_types"), F.size("expanded_abbreviations").alias("n_expanded"), F.size("ambiguities").alias("n_ambiguities"), F.size("changes").alias("n_changes"), F.size("pending_keys").alias("n_pending"))
+
+
+def segment_budget(spark: SparkSession, d: str) -> DataFrame:
+    """How many unknown words each segment of a document is the first to have, and how many the document's budget still takes."""
+    parts = segments.explode_chunks(_documents(spark, d))
+    tokens = parts.select("doc_id", F.col("chunk").alias("segment"), F.posexplode(T.space_tokens("text")).alias("first_pos", "token"))
+    known = table(spark, d, "benchmark").select(F.explode(T.words("text")).alias("key")).distinct()
+    keys = tokens.withColumn("key", F.lower("token")).filter(F.col("key").rlike("^[a-z]+$")).join(known, "key", "left_anti")
+    budget = normalize.within_budget(keys, segment="segment")
+    return budget.groupBy("doc_id", "segment").agg(F.count(F.lit(1)).alias("n_first_seen"), F.count_if("allowed").alias("n_allowed"))
+
+
+def change_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Marked stretches of each document (accents, mixed words, names, double blanks, short forms of parts), merged."""
+    cut = _documents(spark, d).select("doc_id", F.length("text").alias("size"), F.posexplode(F.split("text", " ", -1)).alias("pos", "w"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    words = cut.withColumn("start", F.coalesce(F.sum(F.length("w") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    words = words.withColumn("end", F.col("start") + F.length("w")).withColumn("next", F.lead("w").over(order))
+    short = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 3)).alias("_abbr")).distinct()
+    words = words.join(short, F.lower("w") == F.col("_abbr"), "left")
+    both = lambda pattern: F.col("w").rlike(pattern) & F.col("next").rlike(pattern)
+    two = F.col("end") + 1 + F.length("next")
+    marks = [
+        (both(r"[^\x00-\x7F]"), "diacritic", F.col("start"), two),
+        (F.col("w").rlike("[0-9][A-Za-z]|[A-Za-z][0-9]"), "spelling", F.col("start"), F.col("end")),
+        (both("^[A-Z][a-z]+$"), "case", F.col("start"), two),
+        ((F.col("w") == "") & (F.col("start") > 0), "whitespace", F.col("start") - 1, F.least(F.col("start") + 1, F.col("size"))),
+        (F.col("_abbr").isNotNull(), "teencode", F.col("start"), F.col("end")),
+    ]
+    found = F.array_compact(F.array(*(F.when(c, F.struct(F.array(F.lit(kind)).alias("kinds"), a.alias("start"), b.alias("end"), a.alias("output_start"), b.alias("output_end"))) for c, kind, a, b in marks)))
+    rows = words.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
+    return diffs.merged(rows, ["doc_id"]).select("doc_id", "start", "end", F.array_join("kinds", ",").alias("kinds"))
+
+
+CHANGE_INTERVALS = r"""
+WITH cut AS (SELECT doc_id, length(text) AS size, string_split(text, ' ') AS ws FROM documents),
+w AS (SELECT doc_id, size, i, ws[i] AS w, ws[i + 1] AS nxt FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM cut)),
+p AS (SELECT *, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS s FROM w),
+q AS (SELECT *, (s + length(w))::INT AS e, (s + length(w) + 1 + length(nxt))::INT AS e2 FROM p),
+m AS (
+  SELECT doc_id, s, e2 AS e, 'diacritic' AS kind FROM q WHERE regexp_matches(w, '[^\x00-\x7F]') AND regexp_matches(nxt, '[^\x00-\x7F]')
+  UNION ALL SELECT doc_id, s, e, 'spelling' FROM q WHERE regexp_matches(w, '[0-9][A-Za-z]|[A-Za-z][0-9]')
+  UNION ALL SELECT doc_id, s, e2, 'case' FROM q WHERE regexp_matches(w, '^[A-Z][a-z]+$') AND regexp_matches(nxt, '^[A-Z][a-z]+$')
+  UNION ALL SELECT doc_id, s - 1, least(s + 1, size)::INT, 'whitespace' FROM q WHERE w = '' AND s > 0
+  UNION ALL SELECT doc_id, s, e, 'teencode' FROM q WHERE lower(w) IN (SELECT lower(substr(p_name, 1, 3)) FROM part)),
+n AS (SELECT *, 2 * count(*) FILTER (kind = 'teencode') OVER (PARTITION BY doc_id ORDER BY s, e, kind ROWS UNBOUNDED PRECEDING) - (kind = 'teencode')::INT AS part FROM m),
+r AS (SELECT *, max(e) OVER (PARTITION BY doc_id, part ORDER BY s, e, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM n),
+g AS (SELECT *, sum((reach IS NULL OR s >= reach)::INT) OVER (PARTITION BY doc_id, part ORDER BY s, e, kind ROWS UNBOUNDED PRECEDING) AS run FROM r)
+SELECT doc_id, min(s) AS start, max(e) AS "end", array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM g GROUP BY doc_id, part, run
+"""
+
+
+def context_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Which of two meanings the neighbours of "la" and "en" speak for, within their sentence."""
+    tokens = _documents(spark, d).select("doc_id", F.posexplode(T.space_tokens("text")).alias("pos", "token")).withColumn("alpha", F.col("token").rlike("^[A-Za-z]+$"))
+    options = F.when(F.lower("token").isin("la", "en"), F.array(F.lit("công ty"), F.lit("chia tay")))
+    chosen = normalize.contextual_choice(tokens.withColumn("expanded", F.lower("token")).withColumn("options", options))
+    return chosen.select("doc_id", F.col("pos").cast("long").alias("pos"), "chosen", F.round("confidence", 4).alias("confidence"))
+
+
+_SAID = lambda side, words: f"len(list_filter({side}, lambda x: x IN ({', '.join(repr(w) for w in words)}))) > 0"
+CONTEXT_CHOICE = f"""
+WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS w FROM documents),
+t AS (SELECT doc_id, i, w[greatest(i - 5, 1):i - 1] AS l, w[i + 1:i + 5] AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM s) WHERE lower(w[i]) IN ('la', 'en')),
+b AS (
+  SELECT doc_id, i, l[coalesce(list_filter(range(1, len(l) + 1), lambda k: l[k] IN ('.', '!', '?', ';', '…'))[-1], 0) + 1:] AS l,
+    r[:coalesce(list_filter(range(1, len(r) + 1), lambda k: r[k] IN ('.', '!', '?', ';', '…'))[1], len(r) + 1) - 1] AS r FROM t),
+c AS (SELECT doc_id, i, list_transform(list_filter(l, lambda x: regexp_full_match(x, '[A-Za-z]+')), lambda x: lower(x)) AS l, list_transform(list_filter(r, lambda x: regexp_full_match(x, '[A-Za-z]+')), lambda x: lower(x)) AS r FROM b),
+e AS (SELECT *, list_concat(l, r) AS near, coalesce(l[-1], '') AS last, (r[1:2] = ['nguoi', 'yeu']) OR coalesce(r[1], '') = 'ny' AS partner FROM c),
+p AS (
+  SELECT doc_id, i, (partner::INT * 9 + (last IN ({', '.join(repr(w) for w in normalize.RECENT)}))::INT * 3 + ({_SAID('near', normalize.ROMANCE)})::INT * 2 - ({_SAID('r[1:3]', normalize.BUSINESS)})::INT * 4) AS leaving,
+    (({_SAID('near', normalize.BUSINESS)})::INT * 5 + (last IN ('o', 'tai', 'vao', 'den'))::INT * 2 - partner::INT * 7) AS company FROM e)
+SELECT doc_id, i - 1 AS pos, CASE WHEN company >= leaving THEN 'công ty' ELSE 'chia tay' END AS chosen, round(least(0.98, 0.70 + 0.03 * abs(company - leaving)), 4)::DOUBLE AS confidence
+FROM p WHERE greatest(company, leaving) >= 4 AND abs(company - leaving) >= 2
+"""
 
 
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -199,6 +292,15 @@ SELECT doc_id, chunk, a::INT AS start_word, b::INT AS end_word,
 """
 
 
+SEGMENT_BUDGET = SENTENCE_CHUNKS[: SENTENCE_CHUNKS.index("SELECT doc_id, chunk, a::INT")].rstrip() + f""",
+k AS (SELECT DISTINCT unnest({_words('text')}) AS key FROM benchmark),
+u AS (SELECT doc_id, chunk, lower(w[i]) AS key, i FROM (SELECT r.doc_id, chunk, w, unnest(range(a + 1, b + 1)) AS i FROM r JOIN cut USING (doc_id)) WHERE regexp_full_match(lower(w[i]), '[a-z]+')),
+f AS (SELECT doc_id, key, min(i) AS i, arg_min(chunk, i) AS chunk FROM u WHERE key NOT IN (SELECT key FROM k) GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, key) <= 80 AS allowed FROM f)
+SELECT doc_id, chunk AS segment, count(*)::BIGINT AS n_first_seen, count(*) FILTER (allowed)::BIGINT AS n_allowed FROM n GROUP BY 1, 2
+"""
+
+
 def segmented_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     joined = segments.join_chunks(segments.explode_chunks(_documents(spark, d)))
     return joined.select("doc_id", F.sha2("text", 256).alias("sha256"))
@@ -238,6 +340,10 @@ QUERIES = {
     "bigram_scored_choice": bigram_scored_choice,
     "restore_documents": restore_documents,
     "normalize_conversations": normalize_conversations,
+    "normalize_documents": normalize_documents,
+    "segment_budget": segment_budget,
+    "change_intervals": change_intervals,
+    "context_choice": context_choice,
     "sentence_chunks": sentence_chunks,
     "segmented_roundtrip": segmented_roundtrip,
     "protected_literals": protected_literals,
@@ -255,4 +361,7 @@ SQL = {
     "segmented_roundtrip": ROUNDTRIP,
     "bigram_scored_choice": BIGRAM_CHOICE,
     "sentence_chunks": SENTENCE_CHUNKS,
+    "segment_budget": SEGMENT_BUDGET,
+    "change_intervals": CHANGE_INTERVALS,
+    "context_choice": CONTEXT_CHOICE,
 }
