@@ -74,24 +74,25 @@ WHERE best <> nd AND CASE WHEN top >= 2 THEN cnt >= 2 AND r <= 8 ELSE r = 1 END
 
 
 def phrase_dominance(spark: SparkSession, d: str) -> DataFrame:
-    return mining.dominant_phrases(mining.phrase_variants(_pairs(spark, d), (2, 3)), min_freq=5, min_dominance=0.7, max_entries=500)
+    return mining.dominant_phrases(mining.phrase_variants(_pairs(spark, d), least=5), min_freq=5, min_dominance=0.7)
 
 
 PHRASE_DOMINANCE = f"""
 WITH p AS (SELECT {_clean_all('nd')} AS a, {_clean_all('wd')} AS b FROM ({_PAIRS})),
 g AS (
   SELECT a[i:i + 1] AS x, b[i:i + 1] AS y FROM (SELECT a, b, unnest(range(1, len(a))) AS i FROM p WHERE len(a) = len(b))
-  UNION ALL SELECT a[i:i + 2], b[i:i + 2] FROM (SELECT a, b, unnest(range(1, len(a) - 1)) AS i FROM p WHERE len(a) = len(b))),
+  UNION ALL SELECT a[i:i + 2], b[i:i + 2] FROM (SELECT a, b, unnest(range(1, len(a) - 1)) AS i FROM p WHERE len(a) = len(b))
+  UNION ALL SELECT a[i:i + 3], b[i:i + 3] FROM (SELECT a, b, unnest(range(1, len(a) - 2)) AS i FROM p WHERE len(a) = len(b))),
 v AS (
   SELECT array_to_string(x, ' ') AS nd_key, array_to_string(y, ' ') AS wd_key, count(*)::BIGINT AS cnt FROM g
   WHERE NOT list_contains(x, '') AND NOT list_contains(y, '') AND x <> y GROUP BY 1, 2),
 r AS (SELECT *, sum(cnt) OVER (PARTITION BY nd_key)::BIGINT AS total, row_number() OVER (PARTITION BY nd_key ORDER BY cnt DESC, wd_key) AS r FROM v)
-SELECT nd_key, wd_key, cnt AS top_count, total FROM r WHERE r = 1 AND total >= 5 AND cnt / total >= 0.7 ORDER BY cnt DESC, nd_key LIMIT 500
+SELECT nd_key, wd_key, cnt AS top_count, total FROM r WHERE r = 1 AND total >= 5 AND cnt / total >= 0.7 ORDER BY cnt DESC, nd_key LIMIT 5000
 """
 
 
 def ngram_pmi(spark: SparkSession, d: str) -> DataFrame:
-    found = mining.mined_phrases(_documents(spark, d), min_freq=5, max_ngram=3, top_n=0)
+    found = mining.mined_phrases(_documents(spark, d), min_freq=5, top_n=0)
     return found.withColumn("freq", F.col("freq").cast("long"))
 
 
@@ -101,11 +102,13 @@ u AS (SELECT w1, count(*) AS c FROM (SELECT unnest(w) AS w1 FROM w) GROUP BY 1),
 n AS (SELECT sum(c)::DOUBLE AS t FROM u),
 g AS (
   SELECT w[i:i + 1] AS g FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)
-  UNION ALL SELECT w[i:i + 2] FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+  UNION ALL SELECT w[i:i + 2] FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)
+  UNION ALL SELECT w[i:i + 3] FROM (SELECT w, unnest(range(1, len(w) - 2)) AS i FROM w)
+  UNION ALL SELECT w[i:i + 4] FROM (SELECT w, unnest(range(1, len(w) - 3)) AS i FROM w)),
 f AS (SELECT g, count(*)::BIGINT AS freq FROM g GROUP BY 1 HAVING count(*) >= 5),
 s AS (SELECT g, freq, sum(log2(c / t)) AS parts FROM (SELECT g, freq, unnest(g) AS w1 FROM f) JOIN u USING (w1), n GROUP BY 1, 2),
 p AS (SELECT g, freq, log2(freq / t) - parts AS pmi FROM s, n)
-SELECT array_to_string(g, ' ') AS phrase, len(g)::INT AS ngram, freq, round(pmi, 6) AS pmi, round(1 / (1 + exp(-0.5 * pmi)), 4) AS confidence FROM p
+SELECT array_to_string(g, ' ') AS phrase, len(g)::INT AS ngram, freq, round_even(pmi, 6) AS pmi, round_even(1 / (1 + exp(-0.5 * pmi)), 4) AS confidence FROM p
 """
 
 
