@@ -101,7 +101,7 @@ def test_review_policy():
         assert review.accept(source, proposed, 0.9)[0] == source
     assert review.accept("trời nang", "trời nắng", 0.5)[0] == "trời nang"
     assert review.edit_budget(10) == 4 and review.edit_budget(1000) == 24
-    assert review.source_window("mai tg bd nha", "mai thời gian bắt đầu nha", 5, 6, 0) == "nha"
+    assert review.Windows("mai tg bd nha", "mai thời gian bắt đầu nha").window(5, 6, 1) == ("nha", "bd", "")
 
 
 def test_review_guards():

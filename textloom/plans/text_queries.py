@@ -317,18 +317,47 @@ def protected_literals(spark: SparkSession, d: str) -> DataFrame:
 def review_documents(spark: SparkSession, d: str) -> DataFrame:
     """Each document's bare side is reviewed against its accented side as the recorded proposal.
 
-    German documents stand for those without a reply. The word map is mined from the pairs, and the
-    names of parts stand for the expansions of their first three letters.
+    German documents stand for those without a reply. The word map is mined from the pairs, the names of
+    parts stand for the expansions of their first three letters, and the raw text has "dl" for "de la".
     """
-    pairs = _pairs(spark, d)
-    chunks = segments.explode_chunks(pairs, text="no_diacritics", words=400)
+    pairs = kept(_pairs(spark, d))
+    bare = F.regexp_replace("no_diacritics", r"\bde la\b", "dl")
+    sources = pairs.select("doc_id", bare.alias("raw"), F.col("no_diacritics").alias("normalized"))
+    cut = kept(segments.explode_review_chunks(pairs, text="no_diacritics", pack=True))
+    chunks = review.with_source(cut, sources)
     langs = _documents(spark, d).select("doc_id", "lang")
-    replies = segments.explode_chunks(pairs, text="with_diacritics", words=400).join(langs, "doc_id").select("doc_id", "lang", "chunk", F.col("text").alias("proposed"), F.lit(0.9).alias("confidence"), F.lit("ok").alias("status"))
+    replies = _same_cut(cut, pairs).join(langs, "doc_id").select("doc_id", "lang", "chunk", "proposed", F.lit(0.9).alias("confidence"), F.lit("ok").alias("status"))
     options = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 3)).alias("abbr"), "p_name").groupBy("abbr").agg(F.collect_set("p_name").alias("options"))
     forms = mining.word_map(mining.word_forms(pairs))
     return review.document_status(review.review(chunks, replies.filter("lang <> 'de'").drop("lang"), options, forms))
 
 
+def _same_cut(cut: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, chunk, proposed: the accented texts cut at the same words as their bare sides."""
+    words = cut.join(pairs.select("doc_id", T.space_tokens("with_diacritics").alias("w")), "doc_id")
+    return words.select("doc_id", "chunk", F.array_join(F.slice("w", F.col("start_word") + 1, F.col("end_word") - F.col("start_word")), " ").alias("proposed"))
+
+
+def review_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 400 words by paragraphs and sentences, of the texts in lower case (so none holds a literal with blanks)."""
+    lowered = _documents(spark, d).select("doc_id", F.lower("text").alias("text"))
+    return segments.explode_review_chunks(lowered, pack=True).select("doc_id", "chunk", "start_word", "end_word")
+
+
+REVIEW_CUTS = r"""
+WITH RECURSIVE cut AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS w, regexp_extract_all(lower(text), '\s+') AS gaps, regexp_matches(text, '^\s') AS led FROM documents),
+t AS (
+  SELECT doc_id, len(w) AS n, list_filter(range(1, len(w) + 1), lambda i: regexp_matches(w[i], '[.!?…]["''”’)\]}]*$')) AS ends,
+    list_filter(range(1, len(w)), lambda i: contains(gaps[i + led::INT], chr(10))) AS breaks FROM cut WHERE len(w) > 0),
+r AS (
+  SELECT doc_id, -1 AS chunk, 0::BIGINT AS a, 0::BIGINT AS b FROM t
+  UNION ALL
+  SELECT r.doc_id, chunk + 1, b, CASE WHEN b + 400 >= n THEN n WHEN list_contains(breaks, b + 400) THEN b + 400
+    ELSE coalesce(list_filter(breaks, lambda k: k > b AND k < b + 400)[-1], list_filter(ends, lambda e: e > b + 200 AND e <= b + 400)[-1], b + 400) END FROM r JOIN t USING (doc_id) WHERE b < n)
+SELECT doc_id, chunk, a::INT AS start_word, b::INT AS end_word FROM r WHERE chunk >= 0
+"""
+
+
 QUERIES = {
     "accent_ratio": accent_ratio,
     "missing_accents": missing_accents,
@@ -348,6 +377,7 @@ QUERIES = {
     "segmented_roundtrip": segmented_roundtrip,
     "protected_literals": protected_literals,
     "review_documents": review_documents,
+    "review_cuts": review_cuts,
 }
 
 SQL = {
@@ -362,6 +392,7 @@ SQL = {
     "bigram_scored_choice": BIGRAM_CHOICE,
     "sentence_chunks": SENTENCE_CHUNKS,
     "segment_budget": SEGMENT_BUDGET,
+    "review_cuts": REVIEW_CUTS,
     "change_intervals": CHANGE_INTERVALS,
     "context_choice": CONTEXT_CHOICE,
 }
