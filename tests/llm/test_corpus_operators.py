@@ -209,6 +209,29 @@ def test_recall_by_identity(spark, identity, words, least, kind):
     assert all(r.other_id == r.doc_id - 1 for r in out) and len(found) / n >= least
 
 
+@pytest.mark.parametrize("kind", ["replaced", "mixed"])
+@pytest.mark.parametrize("identity", [0.9, 0.8])
+@pytest.mark.parametrize("cuts", [(48,), (32, 64), (20, 45, 70)])
+def test_recall_of_passages_whose_parts_stood_earlier(spark, identity, kind, cuts):
+    """Parts of a passage of 96 words stood in earlier documents, B has the whole, C an edited copy of B."""
+    pick, rows, n, size = random.Random(len(cuts)), [], 100, 96
+    word = lambda: f"w{pick.randrange(10**9)}"
+    own = lambda k: [word() for _ in range(k)]
+    step, bounds = len(cuts) + 3, (0, *cuts, size)
+    for i in range(n):
+        passage = own(size)
+        other = [[x] for x in passage]
+        for at in pick.sample(range(size), round(size * (1 - identity))):
+            other[at] = [word()] if kind == "replaced" else pick.choice(([word()], [], [passage[at], word()]))
+        other = [x for xs in other for x in xs]
+        parts = [own(pick.randrange(60)) + passage[a:b] + own(20) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        rows += [(step * i + j, " ".join(t)) for j, t in enumerate([*parts, own(40) + passage + own(30), own(25) + other + own(50)])]
+    out = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id // step for r in out if r.doc_id % step == step - 1 and r.other_id == r.doc_id - 1}
+    print("recall", kind, identity, cuts, len(found) / n)
+    assert len(found) / n >= 0.9
+
+
 def test_without_repeats(docs, texts):
     out = substrings.without_repeats(docs, length="n_chars")
     assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType

@@ -11,7 +11,13 @@ enough.
 Where parts of a passage stood in several earlier documents, its seeds' first occurrences are not
 in one of them. So each window of ``min_words`` words whose seeds are all repeated, and which is in
 no exact run of seeds with one document, is a key of its own, with its own first occurrence: every
-exact run of ``min_words`` words is matched with a document that holds the whole of it.
+exact run of ``min_words`` words is matched with a document that holds the whole of it (but for about
+one in a million, see ``_dealt``).
+
+For fuzzy passages, turns do the same. Where successive matches of a text lead to two documents, the two
+and how they are offset are a key, whatever words were edited; its first holder has the parts in the same
+order. The matches around a turn that both texts have with the same places of the same documents are
+matches between the two texts, and are chained as others are.
 """
 
 from __future__ import annotations
@@ -20,7 +26,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +44,10 @@ MIN_WORDS = 50
 MIN_IDENTITY = 0.8
 #: A chain is cut where neighbouring seeds are further apart than this, in words.
 MAX_GAP = 40
+#: Words between two matches that make a turn, words around it whose matches count, steps of its offset.
+NEAR, AROUND, TURN_STEP = 64, 160, 16
+#: Turns with the matches around them (some 3 kB each) up to which they are broadcast.
+LEADING_ROWS = 10_000
 #: What each word between two seeds costs a chain; a seed gains K.
 GAP_COST = 0.1
 #: Words around a chain that alignment may take in.
@@ -242,6 +251,85 @@ def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), kind, kind), strict=True)], names=["doc_id", "other_id", "at", "other_at"])
 
 
+def _turns(at: np.ndarray, other: np.ndarray, other_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the places where successive matches lead to two documents, and the word there.
+
+    A key is of the two documents and of their offset in steps of TURN_STEP, rounded down and up, so
+    that words left out or put in don't part two texts.
+    """
+    order = np.lexsort((other, at))
+    x, o, shift = at[order].astype(np.int64), other[order], at[order].astype(np.int64) - other_at[order]
+    here = np.flatnonzero((o[1:] != o[:-1]) & (x[1:] - x[:-1] <= NEAR)) if len(x) else np.zeros(0, np.int64)
+    step = (shift[here + 1] - shift[here]) / TURN_STEP
+    keys = []
+    for rounded in (np.floor(step), np.floor(step) + 1):
+        with np.errstate(over="ignore"):
+            keys.append(_text.mix(_text.mix(o[here].astype(np.uint64) * _GOLD + o[here + 1].astype(np.uint64)) + rounded.astype(np.int64).astype(np.uint64)))
+    return np.concatenate(keys).view(np.int64), np.tile(x[here], 2)
+
+
+def _turn_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each document's turns, each at its first place."""
+    for batch in batches:
+        keys, ids, places = [], [], []
+        for doc, at, other, other_at in _lists(batch):
+            key, place = _turns(at, other, other_at)
+            key, first = np.unique(key, return_index=True)
+            keys.append(key)
+            places.append(place[first])
+            ids.append(np.full(len(key), doc, np.int64))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "doc_id", "place"])
+
+
+def _around_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches around each wanted turn: (key, doc_id, leads, at, other_id, other_at)."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for (doc, at, other, other_at), wanted in zip(_lists(batch), batch.column("wanted").to_pylist(), strict=True):
+            order = np.argsort(at, kind="stable")
+            at, other, other_at = at[order], other[order], other_at[order]
+            for turn in wanted:
+                lo, hi = np.searchsorted(at, [turn["place"] - AROUND, turn["place"] + AROUND])
+                rows.append((turn["key"], doc, turn["leads"], at[lo:hi], other[lo:hi], other_at[lo:hi]))
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "doc_id", "leads", "at", "other", "other_at"])
+
+
+def _turn_chains(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Chains of two texts with the same turn, from the matches that both have with the same places."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            first: dict[tuple[int, int], list[int]] = {}
+            for y, o, z in zip(r["first_at"], r["first_other"], r["first_other_at"], strict=True):
+                first.setdefault((o, z), []).append(y)
+            links = [(x, y) for x, o, z in zip(r["at"], r["other"], r["other_at"], strict=True) for y in first.get((o, z), ())[:1]]
+            for part in chain(links, k):
+                if len(part) > 1:
+                    rows.append((r["doc_id"], r["other_id"], [p[0] for p in part], [p[1] for p in part]))
+        yield _batch_of(rows)
+
+
+def chains_by_turns(lists: DataFrame, k: int) -> DataFrame:
+    """Chains (as ``CHAINS``) between each text and the first text that has one of its turns.
+
+    ``lists``: doc_id, found. Keys are reduced to their first holder before anything else moves; only
+    turns that two documents have send the matches around them.
+    """
+    turns = lists.mapInArrow(_turn_rows, "key long, doc_id long, place int")
+    shared = turns.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).filter(F.col("first") != F.col("_last")).drop("_last")
+    wanted = durable(turns.join(shared, "key").select("key", "doc_id", "place", (F.col("doc_id") == F.col("first")).alias("leads")))
+    # one turn is enough for a pair of texts and a stretch of words: neighbouring keys lead to the same chain
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "leads")).alias("wanted"))
+    around = durable(lists.join(wanted, "doc_id").mapInArrow(_around_rows, "key long, doc_id long, leads boolean, at array<int>, other array<long>, other_at array<int>"))
+    names = {"doc_id": "other_id", "at": "first_at", "other": "first_other", "other_at": "first_other_at"}
+    leading = if_small(around.filter("leads").drop("leads").withColumnsRenamed(names), LEADING_ROWS)
+    pairs = around.filter("NOT leads").drop("leads").join(leading, "key")
+    return pairs.mapInArrow(partial(_turn_chains, k=k), CHAINS).distinct()
+
+
 CHAINS = "doc_id long, other_id long, at array<int>, other_at array<int>"
 
 
@@ -389,11 +477,11 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], other_at: list[int], k: i
     x, y = at[0] - before, other_at[0] - other_before
     start, other_start, matched = x, y, 0
     for p, q in zip(at, other_at, strict=True):
-        if p < x or q < y:  # overlaps the seed before
-            shift = max(x - p, y - q)
-            p, q = p + shift, q + shift
+        shift = max(0, x - p, y - q)  # the words that seeds before it have already
+        if shift >= k:
+            continue
+        p, q, n = p + shift, q + shift, k - shift
         matched += _common(a[x:p], b[y:q])
-        n = max(0, min(at[-1] + k - p, k))
         matched += int((a[p : p + n] == b[q : q + n]).sum()) if len(a[p : p + n]) == len(b[q : q + n]) else 0
         x, y = p + n, q + n
     if gaps:
@@ -445,12 +533,13 @@ def repeated_passages(
     ranges = 8 + size // RANGE_BYTES
     found = first_occurrences(source.mapInArrow(partial(_seed_rows, k=k, window=window, ranges=ranges), DEALT))
     listed = lambda f: f.groupBy("doc_id").agg(F.collect_list(F.struct("at", "other_id", "other_at")).alias("found"))
-    fuzzy = durable(listed(found).mapInArrow(partial(_chain_rows, k=k, window=window, min_words=min_words), CHAINS))
+    lists = durable(listed(found))
+    fuzzy = durable(lists.mapInArrow(partial(_chain_rows, k=k, window=window, min_words=min_words), CHAINS))
     unsettled = fuzzy.filter("other_id IS NULL").select("doc_id", F.col("at").alias("first"), F.col("other_at").alias("last"))
     whole = if_small(unsettled).join(source, "doc_id").mapInArrow(partial(_whole_rows, min_words=min_words, ranges=ranges), DEALT)
     exact = listed(first_occurrences(whole).filter("doc_id <> other_id")).mapInArrow(partial(_run_rows, k=k, min_words=min_words), CHAINS)
     name = F.struct("doc_id", "other_id", F.col("at")[0].alias("x"), F.col("other_at")[0].alias("y"), F.element_at("at", -1).alias("z"))
-    chains = durable(fuzzy.filter("other_id IS NOT NULL").unionByName(exact).select(name.alias("chain"), "at", "other_at"))
+    chains = durable(fuzzy.filter("other_id IS NOT NULL").unionByName(exact).unionByName(chains_by_turns(lists, k)).select(name.alias("chain"), "at", "other_at"))
 
     ends = lambda c: [F.element_at(c, 1).alias("low"), F.element_at(c, -1).alias("high")]
     sides = chains.select("chain", F.col("chain.doc_id").alias("doc_id"), F.lit(0).alias("side"), *ends("at")).unionByName(
@@ -487,9 +576,10 @@ def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str:
     return (b"".join(kept) + raw[at:].tobytes()).decode().strip(" \t\n\r\v\f")
 
 
-@F.pandas_udf(StringType())
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([t if s is None else cut_words(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
+@F.arrow_udf(StringType())
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without their spans; null where there are none."""
+    return pa.array([cut_words(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()]) if s.is_valid else None for t, s in zip(texts, spans, strict=True)], pa.string())
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = None, **settings) -> DataFrame:
@@ -501,7 +591,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = repeated_passages(docs, doc_id, text, **settings)
     spans = durable(found.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cut_spans")))
     joined = docs.join(spans, docs[doc_id].cast("long") == spans["_cut_id"], "left")
-    new = F.when(F.col("_cut_spans").isNull(), docs[text]).otherwise(_cut(docs[text], F.col("_cut_spans")))
+    new = F.when(F.col("_cut_spans").isNull(), docs[text]).otherwise(_cut(F.when(F.col("_cut_spans").isNotNull(), docs[text]), F.col("_cut_spans")))
     columns = [new.alias(c) if c == text else docs[c] for c in docs.columns]
     cut = joined.select(*columns, "_cut_spans").filter(F.col("_cut_spans").isNull() | (F.col(text) != ""))
     if length:
