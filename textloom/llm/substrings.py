@@ -251,15 +251,30 @@ def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), kind, kind), strict=True)], names=["doc_id", "other_id", "at", "other_at"])
 
 
-def _turns(at: np.ndarray, other: np.ndarray, other_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _turns(at: np.ndarray, other: np.ndarray, other_at: np.ndarray, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the places where successive matches lead to two documents, and the word there.
 
     A key is of the two documents and of their offset in steps of TURN_STEP, rounded down and up, so
-    that words left out or put in don't part two texts.
+    that words left out or put in don't part two texts. A turn within a stretch that one document
+    covers densely (such are aligned anyway), or with hardly a match around it, isn't one.
     """
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((at, other))
+    x, o = at[order].astype(np.int64), other[order]
+    heads = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (x[1:] - x[:-1] > MAX_GAP)])
+    sizes = np.diff(np.r_[heads, len(x)])
+    begin, end = x[heads], x[heads + sizes - 1]
+    long = (end + k - begin >= min_words) & (sizes * TURN_STEP >= end - begin)
+    covered = np.zeros(int(x.max()) + 2, np.int64)
+    np.add.at(covered, begin[long], 1)
+    np.add.at(covered, end[long], -1)
+    covered = np.cumsum(covered) > 0
     order = np.lexsort((other, at))
     x, o, shift = at[order].astype(np.int64), other[order], at[order].astype(np.int64) - other_at[order]
-    here = np.flatnonzero((o[1:] != o[:-1]) & (x[1:] - x[:-1] <= NEAR)) if len(x) else np.zeros(0, np.int64)
+    here = np.flatnonzero((o[1:] != o[:-1]) & (x[1:] - x[:-1] <= NEAR) & ~covered[x[:-1]])
+    dense = np.searchsorted(x, x[here] + min_words // 2, "right") - np.searchsorted(x, x[here] - min_words // 2) >= 3
+    here = here[dense]
     step = (shift[here + 1] - shift[here]) / TURN_STEP
     keys = []
     for rounded in (np.floor(step), np.floor(step) + 1):
@@ -268,12 +283,12 @@ def _turns(at: np.ndarray, other: np.ndarray, other_at: np.ndarray) -> tuple[np.
     return np.concatenate(keys).view(np.int64), np.tile(x[here], 2)
 
 
-def _turn_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _turn_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iterator[pa.RecordBatch]:
     """The keys of each document's turns, each at its first place."""
     for batch in batches:
         keys, ids, places = [], [], []
         for doc, at, other, other_at in _lists(batch):
-            key, place = _turns(at, other, other_at)
+            key, place = _turns(at, other, other_at, k, min_words)
             key, first = np.unique(key, return_index=True)
             keys.append(key)
             places.append(place[first])
@@ -312,16 +327,20 @@ def _turn_chains(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
         yield _batch_of(rows)
 
 
-def chains_by_turns(lists: DataFrame, k: int) -> DataFrame:
+def chains_by_turns(lists: DataFrame, k: int, min_words: int) -> DataFrame:
     """Chains (as ``CHAINS``) between each text and the first text that has one of its turns.
 
-    ``lists``: doc_id, found. Keys are reduced to their first holder before anything else moves; only
-    turns that two documents have send the matches around them.
+    ``lists``: doc_id, found. Keys are reduced to their first holder before anything else moves; of
+    the turns that lead a stretch of words to one text, one sends the matches around it, and so
+    does the first holder for each turn that is asked for.
     """
-    turns = lists.mapInArrow(_turn_rows, "key long, doc_id long, place int")
-    shared = turns.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).filter(F.col("first") != F.col("_last")).drop("_last")
-    wanted = durable(turns.join(shared, "key").select("key", "doc_id", "place", (F.col("doc_id") == F.col("first")).alias("leads")))
-    # one turn is enough for a pair of texts and a stretch of words: neighbouring keys lead to the same chain
+    turns = durable(lists.mapInArrow(partial(_turn_rows, k=k, min_words=min_words), "key long, doc_id long, place int"))
+    first = F.min(F.struct("doc_id", "place"))
+    shared = turns.groupBy("key").agg(first.alias("first"), F.max("doc_id").alias("_last")).filter(F.col("first.doc_id") != F.col("_last")).drop("_last")
+    asked = turns.join(shared, "key").filter(F.col("doc_id") != F.col("first.doc_id"))
+    asked = durable(asked.groupBy(F.col("doc_id").alias("_doc"), F.col("first.doc_id").alias("_first"), F.floor(F.col("place") / AROUND).alias("_at")).agg(F.min(F.struct("key", "place", "first")).alias("t")).select("t.key", F.col("_doc").alias("doc_id"), "t.place", "t.first"))
+    leads = asked.groupBy("key").agg(F.first("first").alias("first")).select("key", "first.doc_id", "first.place", F.lit(True).alias("leads"))
+    wanted = asked.select("key", "doc_id", "place", F.lit(False).alias("leads")).unionByName(leads)
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "leads")).alias("wanted"))
     around = durable(lists.join(wanted, "doc_id").mapInArrow(_around_rows, "key long, doc_id long, leads boolean, at array<int>, other array<long>, other_at array<int>"))
     names = {"doc_id": "other_id", "at": "first_at", "other": "first_other", "other_at": "first_other_at"}
@@ -539,7 +558,7 @@ def repeated_passages(
     whole = if_small(unsettled).join(source, "doc_id").mapInArrow(partial(_whole_rows, min_words=min_words, ranges=ranges), DEALT)
     exact = listed(first_occurrences(whole).filter("doc_id <> other_id")).mapInArrow(partial(_run_rows, k=k, min_words=min_words), CHAINS)
     name = F.struct("doc_id", "other_id", F.col("at")[0].alias("x"), F.col("other_at")[0].alias("y"), F.element_at("at", -1).alias("z"))
-    chains = durable(fuzzy.filter("other_id IS NOT NULL").unionByName(exact).unionByName(chains_by_turns(lists, k)).select(name.alias("chain"), "at", "other_at"))
+    chains = durable(fuzzy.filter("other_id IS NOT NULL").unionByName(exact).unionByName(chains_by_turns(lists, k, min_words)).select(name.alias("chain"), "at", "other_at"))
 
     ends = lambda c: [F.element_at(c, 1).alias("low"), F.element_at(c, -1).alias("high")]
     sides = chains.select("chain", F.col("chain.doc_id").alias("doc_id"), F.lit(0).alias("side"), *ends("at")).unionByName(
