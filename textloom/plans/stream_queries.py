@@ -14,13 +14,30 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k"))
 
 
-def streaming_usage_daily(spark: SparkSession, d: str) -> DataFrame:
-    picks = _events(spark, d).select("ts", F.col("event_type").alias("abbr"), F.col("k").alias("expanded_chosen"))
-    return jobs.snapshots(jobs.daily_usage(picks, "40 days"), ["usage_date", "abbr", "expanded_chosen"], new_folder(spark, "usage"))
+#: The first micro-batch of the late stream ends here; one in fifty of all events comes in the third.
+CUT = "2024-01-20"
 
 
-USAGE = """
-SELECT ts::DATE AS usage_date, event_type AS abbr, json_extract_string(props, '$.k') AS expanded_chosen, count(*)::BIGINT AS usage_count FROM events GROUP BY 1, 2, 3
+def streaming_usage_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Three micro-batches: events up to CUT, those after it, and stragglers of the whole month, some of them too late.
+
+    The watermark lies a day behind the newest event; a batch drops what was late before the batch ahead of it.
+    """
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    straggler, early = F.col("event_id") % 50 == 0, F.col("ts") < CUT
+    folder, files = new_folder(spark, "late"), 4
+    for batch in (~straggler & early, ~straggler & ~early, straggler):
+        rows.filter(batch).repartition(files).write.mode("append").parquet(folder)
+    stream = jobs.file_stream(spark, folder, rows, files)
+    picks = stream.select("ts", F.col("event_type").alias("abbr"), F.get_json_object("props", "$.k").alias("expanded_chosen"))
+    return jobs.snapshots(jobs.daily_usage(picks), ["usage_date", "abbr", "expanded_chosen"], new_folder(spark, "usage"))
+
+
+USAGE = f"""
+WITH e AS (SELECT ts, event_type AS abbr, json_extract_string(props, '$.k') AS expanded_chosen, event_id % 50 = 0 AS straggler FROM events),
+w AS (SELECT date_trunc('millisecond', max(ts) - INTERVAL 1 DAY) AS mark FROM e WHERE NOT straggler AND ts < TIMESTAMP '{CUT}')
+SELECT ts::DATE AS usage_date, abbr, expanded_chosen, count(*)::BIGINT AS usage_count FROM e, w
+WHERE NOT straggler OR ts::DATE + INTERVAL 1 DAY > mark GROUP BY 1, 2, 3
 """
 
 
@@ -34,11 +51,52 @@ LIMITS = "SELECT user_id, date_trunc('hour', ts) AS minute, count(*)::BIGINT AS
 
 
 def streaming_replays(spark: SparkSession, d: str) -> DataFrame:
-    submissions = _events(spark, d).select("ts", F.col("k").alias("abbr"), F.col("event_type").alias("domain"))
-    return jobs.appended(jobs.without_replays(submissions, "40 days"), new_folder(spark, "replays")).select("abbr", "domain")
+    """Events of one type and first digit are submissions of one abbreviation; those of a low value fail."""
+    submissions = _events(spark, d).select("ts", F.substring("k", 1, 1).alias("abbr"), F.col("event_type").alias("domain"), F.col("event_id").alias("request_id"), (F.col("value") > 20).alias("ok"))
+    return jobs.appended(jobs.without_replays(submissions), new_folder(spark, "replays"))
+
+
+REPLAYS = """
+WITH RECURSIVE e AS (
+  SELECT left(json_extract_string(props, '$.k'), 1) AS abbr, event_type AS domain, event_id AS request_id, ts, value > 20 AS ok FROM events),
+g AS (SELECT *, row_number() OVER (PARTITION BY abbr, domain ORDER BY ts, request_id) AS n FROM e WHERE ok),
+hop AS (SELECT *, min(n) OVER (PARTITION BY abbr, domain ORDER BY ts RANGE BETWEEN INTERVAL '30 seconds 1 microsecond' FOLLOWING AND UNBOUNDED FOLLOWING) AS m FROM g),
+kept AS (
+  SELECT abbr, domain, 1::BIGINT AS n FROM (SELECT DISTINCT abbr, domain FROM g)
+  UNION ALL SELECT kept.abbr, kept.domain, hop.m FROM kept JOIN hop ON hop.abbr = kept.abbr AND hop.domain = kept.domain AND hop.n = kept.n WHERE hop.m IS NOT NULL),
+good AS (SELECT g.abbr, g.domain, request_id, ts, true AS ok FROM g JOIN kept USING (abbr, domain, n)),
+seen AS (
+  SELECT *, max(CASE WHEN ok THEN ts END) OVER (PARTITION BY abbr, domain ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM (SELECT * FROM good UNION ALL SELECT abbr, domain, request_id, ts, ok FROM e WHERE NOT ok))
+SELECT abbr, domain, request_id FROM seen WHERE ok OR before IS NULL OR ts > before + INTERVAL 30 SECONDS
+"""
 
 
-REPLAYS = "SELECT DISTINCT json_extract_string(props, '$.k') AS abbr, event_type AS domain FROM events"
+def streaming_breaker(spark: SparkSession, d: str) -> DataFrame:
+    """High values are refusals, which close a user's account for as many hours as the number in ``props``."""
+    calls = _events(spark, d).select("ts", F.col("user_id").alias("account"), F.col("event_id").alias("call_id"), F.when(F.col("value") > 90, 429).otherwise(200).alias("status"), (F.col("k").cast("int") * 3600).alias("retry_after"))
+    return jobs.appended(jobs.breaker(calls), new_folder(spark, "breaker"))
+
+
+BREAKER = """
+WITH e AS (SELECT *, CASE WHEN value > 90 THEN ts + INTERVAL 1 HOUR * json_extract_string(props, '$.k')::INT END AS until FROM events)
+SELECT user_id AS account, event_id AS call_id,
+  coalesce(max(until) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > ts, false) AS blocked FROM e
+"""
+
+
+def streaming_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events without a pause of two days are one burst of edits; the one with the highest id is its last version."""
+    edits = _events(spark, d).select("ts", F.col("user_id").alias("session_id"), F.col("event_type").alias("text"), F.col("event_id").alias("version"))
+    return jobs.appended(jobs.latest_versions(edits, "2 days"), new_folder(spark, "versions"))
+
+
+VERSIONS = """
+WITH b AS (SELECT *, (lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 DAY <= ts)::INT AS starts FROM events),
+s AS (SELECT *, sum(coalesce(starts, 0)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM b)
+SELECT user_id AS session_id, max(event_id) AS version, arg_max(event_type, event_id) AS text FROM s
+GROUP BY user_id, burst HAVING max(ts) + INTERVAL 2 DAY <= (SELECT date_trunc('millisecond', max(ts) - INTERVAL 10 SECOND) FROM events)
+"""
 
 
 def streaming_admission(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +121,9 @@ QUERIES = {
     "streaming_usage_daily": streaming_usage_daily,
     "streaming_rate_limits": streaming_rate_limits,
     "streaming_replays": streaming_replays,
+    "streaming_breaker": streaming_breaker,
+    "streaming_versions": streaming_versions,
     "streaming_admission": streaming_admission,
 }
 
-SQL = {"streaming_usage_daily": USAGE, "streaming_rate_limits": LIMITS, "streaming_replays": REPLAYS, "streaming_admission": ADMISSION}
+SQL = {"streaming_usage_daily": USAGE, "streaming_rate_limits": LIMITS, "streaming_replays": REPLAYS, "streaming_breaker": BREAKER, "streaming_versions": VERSIONS, "streaming_admission": ADMISSION}

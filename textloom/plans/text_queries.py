@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import diffs, spans
+from textloom.functions import diffs, patterns, spans
 from textloom.functions import text as T
 from textloom.operators import dictionary, evaluate, mining, normalize, restore, review, segments
 from textloom.plans.corpus_queries import _PAIRS, _clean, _clean_all, _pairs, _words
@@ -358,6 +358,23 @@ SELECT doc_id, chunk, a::INT AS start_word, b::INT AS end_word FROM r WHERE chun
 """
 
 
+def sequence_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence of a benchmark word's first four letters, or of the whole word, in the documents: the longest at each place."""
+    words = table(spark, d, "benchmark").select(F.explode(T.words("text")).alias("w")).filter("length(w) >= 4")
+    listed = patterns.listed(words.select("w").union(words.select(F.substring("w", 1, 4))), "w")
+    found = _documents(spark, d).select("doc_id", patterns.matches("text", listed).alias("m"))
+    return found.select("doc_id", F.size("m").cast("long").alias("n_matches"), F.sha2(F.array_join("m", "|"), 256).alias("sha256"))
+
+
+SEQUENCE_MATCHES = f"""
+WITH w AS (SELECT DISTINCT unnest({_words('text')}) AS w FROM benchmark),
+s AS (SELECT w FROM w WHERE length(w) >= 4 UNION SELECT left(w, 4) FROM w WHERE length(w) >= 4),
+p AS (SELECT string_agg(w, '|' ORDER BY length(w) DESC, w) AS p FROM s),
+m AS (SELECT doc_id, regexp_extract_all(text, (SELECT p FROM p)) AS m FROM documents)
+SELECT doc_id, len(m)::BIGINT AS n_matches, sha256(array_to_string(m, '|')) AS sha256 FROM m
+"""
+
+
 QUERIES = {
     "accent_ratio": accent_ratio,
     "missing_accents": missing_accents,
@@ -378,6 +395,7 @@ QUERIES = {
     "protected_literals": protected_literals,
     "review_documents": review_documents,
     "review_cuts": review_cuts,
+    "sequence_matches": sequence_matches,
 }
 
 SQL = {
@@ -393,6 +411,7 @@ SQL = {
     "sentence_chunks": SENTENCE_CHUNKS,
     "segment_budget": SEGMENT_BUDGET,
     "review_cuts": REVIEW_CUTS,
+    "sequence_matches": SEQUENCE_MATCHES,
     "change_intervals": CHANGE_INTERVALS,
     "context_choice": CONTEXT_CHOICE,
 }

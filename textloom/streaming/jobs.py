@@ -6,14 +6,16 @@ dropped. Sinks replace whole rows by key, so a batch that is written twice chang
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from textloom.session import new_folder
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 DAY = "1 day"
-#: Fixed value: how long an identical submission is taken for a replay.
-REPLAY = "30 seconds"
+#: Fixed value: seconds in which an identical submission is taken for a replay.
+REPLAY = 30
 
 
 def file_stream(spark: SparkSession, pattern: str, like: DataFrame, files_per_batch: int = 100) -> DataFrame:
@@ -28,9 +30,56 @@ def daily_usage(picks: DataFrame, late: str = DAY) -> DataFrame:
     return counted.select(F.to_date("d.start").alias("usage_date"), "abbr", "expanded_chosen", "usage_count")
 
 
-def without_replays(submissions: DataFrame, within: str = REPLAY) -> DataFrame:
-    """The first of identical (abbr, domain) submissions; repeats don't prolong the term (STM1, STM4)."""
-    return submissions.withWatermark("ts", within).dropDuplicatesWithinWatermark(["abbr", "domain"])
+class _Replays(StatefulProcessor):
+    """Remembers the time of the last submission that counted, until its term is over."""
+
+    def __init__(self, term: int):
+        self.term = term
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.kept.get()[0] if self.kept.exists() else None
+        columns = ["at", "request_id", "ok"]
+        for at, request, ok in sorted(x for f in rows for x in f[columns].itertuples(index=False, name=None)):
+            if last is not None and abs(at - last) <= self.term:
+                continue
+            if ok:
+                last = at if last is None else max(last, at)
+            yield pd.DataFrame({"abbr": [key[0]], "domain": [key[1]], "request_id": [request]})
+        if last is not None:
+            self.kept.update((last,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((last + self.term) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def without_replays(submissions: DataFrame, within_seconds: int = REPLAY) -> DataFrame:
+    """abbr, domain, request_id of the submissions (ts, abbr, domain, request_id, ok) that count (STM1, STM4).
+
+    An identical (abbr, domain) is a replay for ``within_seconds`` from the last one that counted and
+    succeeded; replays don't prolong the term, and failures aren't remembered. A key's rows of one
+    micro-batch go by time; a row from before the last one that counted is a replay within the same term.
+    State is one number a key, and goes when the watermark passes its term.
+    """
+    use_rocksdb(submissions.sparkSession)
+    rows = submissions.withWatermark("ts", f"{within_seconds} seconds").select("ts", "abbr", "domain", F.unix_micros("ts").alias("at"), "request_id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    processor = _Replays(within_seconds * 1_000_000)
+    return rows.groupBy("abbr", "domain").transformWithStateInPandas(processor, "abbr string, domain string, request_id long", "append", "eventTime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State with timers needs this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def rate_limits(requests: DataFrame, most: int, key: str = "user_id", per: str = "1 minute") -> DataFrame:
@@ -45,11 +94,50 @@ def latest_versions(edits: DataFrame, idle: str = "700 milliseconds") -> DataFra
     return edits.withWatermark("ts", "10 seconds").groupBy("session_id", burst.alias("w")).agg(F.max_by("text", "version").alias("text"), F.max("version").alias("version")).select("session_id", "version", "text")
 
 
-def breaker(calls: DataFrame, pause_seconds: int = 60) -> DataFrame:
-    """calls (ts, status, retry_after) with blocked: an earlier refusal is still in force (STM5)."""
-    until = F.when(F.col("status") == 429, F.unix_micros("ts") + F.coalesce("retry_after", F.lit(pause_seconds)) * 1_000_000)
-    order = Window.partitionBy("account").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("blocked", F.coalesce(F.max(until).over(order) > F.unix_micros("ts"), F.lit(False)))
+class _Breaker(StatefulProcessor):
+    """Remembers until when an account is refused."""
+
+    def __init__(self, pause: int):
+        self.pause = pause
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        until = self.until.get()[0] if self.until.exists() else 0
+        columns = ["at", "call_id", "refused", "wait"]
+        out = []
+        for at, call, refused, wait in sorted(x for f in rows for x in f[columns].itertuples(index=False, name=None)):
+            out.append((key[0], call, until > at))
+            if refused:
+                until = max(until, at + int(wait * 1_000_000))
+        if until:
+            self.until.update((until,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(until // 1000 + 1)
+        yield pd.DataFrame(out, columns=["account", "call_id", "blocked"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.until.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def breaker(calls: DataFrame, pause_seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """account, call_id, blocked of a stream of calls (ts, account, call_id, status, retry_after): an earlier refusal is still in force (STM5).
+
+    A call that is refused (status 429) closes its account for ``retry_after`` seconds, or for the
+    pause; a shorter refusal doesn't shorten a longer one. An account's calls of one micro-batch go by
+    time. State is one number an account, and goes when the watermark passes it.
+    """
+    use_rocksdb(calls.sparkSession)
+    wait = F.coalesce(F.col("retry_after").cast("double"), F.lit(float(pause_seconds)))
+    rows = calls.withWatermark("ts", late).select("ts", "account", F.unix_micros("ts").alias("at"), "call_id", (F.col("status") == 429).alias("refused"), wait.alias("wait"))
+    return rows.groupBy("account").transformWithStateInPandas(_Breaker(pause_seconds), "account long, call_id long, blocked boolean", "append", "eventTime")
 
 
 def fresh(rows: DataFrame, revision: int) -> DataFrame:
