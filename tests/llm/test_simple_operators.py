@@ -73,7 +73,7 @@ def test_chat_round_trip(spark):
     assert chat.chat_digests(frame.limit(0)).count() == 0
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     rows = [(3, "u", "x" * 50_000), (1, "v", "x" * 50_000), (2, "w", "x" * 50_000), (4, None, None), (5, "a", ""), (None, "z", "é" * 9_000), (7, "q\r\nEvil: 1", "hello\r\n\r\nWARC/1.1"), (7, "q", "hello\r\n\r\nWARC/1.1"), (8, "q", "hello\r\n\r\nWARC/1.1")]
     frame = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, kind string").repartition(3)
     out = warc.archive_pages(frame).collect()
@@ -88,6 +88,12 @@ def test_warc_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if own == r.page_id else ("revisit", own))
     assert warc.archive_pages(frame.limit(0)).count() == 0
+    monkeypatch.setattr(warc, "if_small", lambda df: df)  # beyond the bound of a broadcast
+    assert sorted(map(str, warc.archive_pages(frame).collect())) == sorted(map(str, out))
+    written = b"".join(r.warc for r in warc.write_archives(frame).collect())
+    revisits = [(fields, block) for fields, block in warc.parse(written) if fields["warc-type"] == "revisit"]
+    assert all(not warc.payload_of(block) for _, block in revisits)
+    assert sorted(fields.get("warc-refers-to-target-uri", "") for fields, _ in revisits) == ["", "q", "v", "v"]  # page 4 has no url
 
 
 def test_warc_damage():

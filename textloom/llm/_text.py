@@ -7,7 +7,9 @@ words in one corpus share one with a chance of about n^2 / 2^65.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -51,6 +53,25 @@ def powers(n: int) -> np.ndarray:
 _POWERS = powers(PIECE_BYTES)
 
 
+def frugal(work: Callable) -> Callable:
+    """``work``, a generator over batches that gives what it has freed back to the system when it ends.
+
+    Spark's Python workers live on from task to task; without this each keeps the most that it ever held.
+    """
+
+    @wraps(work)
+    def run(*args, **settings):
+        try:
+            yield from work(*args, **settings)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 class Segments(NamedTuple):
     """Words or lines of several texts, in order: byte ranges, the text each is in, its hash."""
 

@@ -124,6 +124,7 @@ def _fingerprints(grams: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return _text.mix(sums).view(np.int64)
 
 
+@_text.frugal
 def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int, counted: bool) -> Iterator[pa.RecordBatch]:
     powers = _text.powers(rows)
     for batch in batches:
@@ -157,6 +158,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     return source.mapInArrow(run, "doc_id long, node long, n_shingles long, bands array<long>")
 
 
+@_text.frugal
 def _pack_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = _text.text_bytes(batch.column(1))
@@ -181,6 +183,7 @@ def _similarity(a: bytes, b: bytes, times_a: bytes | None = None, times_b: bytes
     return common / max(1, int(m.sum() + n.sum()) - common)
 
 
+@_text.frugal
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [_similarity(*(x.as_py() for x in row)) for row in zip(*batch.columns[2:], strict=True)]
@@ -236,6 +239,7 @@ def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(met.select("key", "n", "roots"), "key")
 
 
+@_text.frugal
 def _elements(batches: Iterator[pa.RecordBatch], counted: bool) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of a set; with ``counted`` one for each of its occurrences."""
     for batch in batches:
@@ -349,9 +353,15 @@ def near_duplicates(
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the least doc_id stays.
 
-    Rows that share an id are kept or dropped together; a row with a null id stays only where its
-    class has no other.
+    Of rows that share an id and a text one stays, the first by their columns as JSON; rows that share
+    an id and have different texts are kept or dropped together. A row with a null id stays only where
+    its class has no other.
     """
     classes = near_duplicates(docs, doc_id, text, **settings)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["_kept_id"]), "inner")
+    once, several = rows.filter("_rows = 1").select(docs.columns), rows.filter("_rows > 1").select(docs.columns)
+    # an id that several kept rows share is rare: those rows are told apart by their texts
+    least = Window.partitionBy(doc_id, text).orderBy(F.to_json(F.struct(*docs.columns)))
+    alone = several.withColumn("_nth", F.row_number().over(least)).filter("_nth = 1").drop("_nth")
+    return once.unionByName(alone)

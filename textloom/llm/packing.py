@@ -245,6 +245,7 @@ def nest(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return opening[by_place], closing[by_place], np.flatnonzero(alone)
 
 
+@_text.frugal
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches within one range of sizes; the rest is numbered for the ranges after it."""
     held = list(batches)

@@ -70,6 +70,7 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+@_text.frugal
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = _text.text_bytes(batch.column(2))

@@ -39,7 +39,7 @@ K, WINDOW = 5, 4
 #: In an exact run, words between the anchors that are chained.
 STRIDE = 16
 #: Bytes of text for each range of keys; a task holds one range.
-RANGE_BYTES = 16_000_000
+RANGE_BYTES = 8_000_000
 MIN_WORDS = 50
 MIN_IDENTITY = 0.8
 #: A chain is cut where neighbouring seeds are further apart than this, in words.
@@ -110,6 +110,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 DEALT = "part int, keys binary, ids binary, at binary"
 
 
+@_text.frugal
 def _seed_rows(batches: Iterator[pa.RecordBatch], k: int, window: int, ranges: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = _text.text_bytes(batch.column(1))
@@ -283,6 +284,7 @@ def _turns(at: np.ndarray, other: np.ndarray, other_at: np.ndarray, k: int, min_
     return np.concatenate(keys).view(np.int64), np.tile(x[here], 2)
 
 
+@_text.frugal
 def _turn_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iterator[pa.RecordBatch]:
     """The keys of each document's turns, each at its first place."""
     for batch in batches:
@@ -297,6 +299,7 @@ def _turn_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "doc_id", "place"])
 
 
+@_text.frugal
 def _around_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The matches around each wanted turn: (key, doc_id, leads, at, other_id, other_at)."""
     for batch in batches:
@@ -312,6 +315,7 @@ def _around_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "doc_id", "leads", "at", "other", "other_at"])
 
 
+@_text.frugal
 def _turn_chains(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Chains of two texts with the same turn, from the matches that both have with the same places."""
     for batch in batches:
@@ -352,6 +356,7 @@ def chains_by_turns(lists: DataFrame, k: int, min_words: int) -> DataFrame:
 CHAINS = "doc_id long, other_id long, at array<int>, other_at array<int>"
 
 
+@_text.frugal
 def _chain_rows(batches: Iterator[pa.RecordBatch], k: int, window: int, min_words: int) -> Iterator[pa.RecordBatch]:
     """The chains of each document; a row without other_id has the starts of its unsettled windows."""
     for batch in batches:
@@ -389,6 +394,7 @@ def _word_lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield from np.split(w.hash, np.searchsorted(w.doc, np.arange(1, hi - lo)))
 
 
+@_text.frugal
 def _whole_rows(batches: Iterator[pa.RecordBatch], min_words: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """Keys of the unsettled windows."""
     for batch in batches:
@@ -404,6 +410,7 @@ def _whole_rows(batches: Iterator[pa.RecordBatch], min_words: int, ranges: int)
             yield _dealt(np.concatenate(keys), np.concatenate(ids), np.concatenate(at), ranges)
 
 
+@_text.frugal
 def _run_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iterator[pa.RecordBatch]:
     """A chain for each run of windows on one diagonal."""
     for batch in batches:
@@ -417,6 +424,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iter
         yield _batch_of(rows)
 
 
+@_text.frugal
 def _window_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Cuts the words around each chain out of its texts, as 32-bit hashes."""
     for batch in batches:
@@ -512,6 +520,7 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], other_at: list[int], k: i
     return start, x + after, other_start, y + other_after, matched
 
 
+@_text.frugal
 def _align_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int, min_identity: float) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "other_id", "start", "end", "other_start", "other_end", "matched", "identity"]
     kinds = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.float64()]

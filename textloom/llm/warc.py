@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._spark import durable, if_small, stored
@@ -70,11 +70,18 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return _END.join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, first: int | None, urn: str) -> list[bytes]:
-    """The records of one page; ``first`` is the page whose equal payload it revisits, if any."""
-    common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", url), ("X-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+#: The date of all records: archives of equal pages are equal.
+DATE = "2024-01-01T00:00:00Z"
+
+
+def page_records(page_id: int | None, url: str | None, payload: bytes | None, first: int | None, urn: str, said: str | None = None, first_url: str | None = None) -> list[bytes]:
+    """The records of one page; ``first`` is the page (at ``first_url``) whose equal payload it revisits, if any.
+
+    ``said`` is the payload's digest, which a revisit needs in place of its payload.
+    """
+    common = [("WARC-Date", DATE), ("WARC-Target-URI", url), ("X-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{said or digest(payload)}")]
     if first is not None:
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{urn}>"), *common, ("X-Refers-To-Page-ID", first)]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{urn}>"), *common, ("WARC-Refers-To-Target-URI", first_url), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", first)]
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         return [record([*fields, profile], b"HTTP/1.1 200 OK\r\n\r\n")]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -85,7 +92,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, first: in
     out = [record([*fields, ("WARC-Segment-Number", 1)], parts[0])]
     for number, part in enumerate(parts[1:], 2):
         total = len(block) if number == len(parts) else None
-        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{urn}:{number}>"), ("WARC-Date", "2024-01-01T00:00:00Z")]
+        more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{urn}:{number}>"), ("WARC-Date", DATE)]
         out.append(record([*more, ("WARC-Segment-Origin-ID", f"<{urn}>"), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", total)], part))
     return out
 
@@ -107,24 +114,38 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
+#: Keys over which one payload's copies are spread in a join.
+SALTS = 16
+
+
+def _salt(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each salt."""
+    return rows.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+
+
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """archive, warc: binary archives of some 4 MB with a record for each row of ``pages``.
 
-    Payloads are compared by SHA-1. Only groups of two or more are joined back, by broadcast where
-    they are few, and a copy carries no payload, so a payload that a third of all pages share costs
-    nothing extra. Null html counts as empty. A null page_id sorts after all others and keeps its
-    own record; rows that repeat the smallest page_id of a payload are responses too. An empty table
-    gives no archives. Other columns are ignored.
+    Payloads are compared by SHA-1, which Spark works out. Only groups of two or more are joined back, by
+    broadcast where they are few and else over SALTS keys each; a copy goes to the writer without its
+    payload. Null html counts as empty; a page of any length is cut into segments. A null page_id
+    sorts after all others and keeps its own record; rows that repeat the smallest page_id of a payload
+    are responses too. An empty table gives no archives. Other columns are ignored.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
         F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
     ).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    groups = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = if_small(durable(groups.filter("n > 1").select("sha1", "first")))
-    rows = rows.join(shared, "sha1", "left").withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
-    sent = rows.select("page_id", "url", F.col("html").cast("binary").alias("html"), "first")
+    groups = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n"))
+    shared = if_small(durable(_salted(groups.filter("n > 1").select("sha1", "first", "first_url"))))
+    rows = rows.withColumn("salt", _salt("page_id")).join(shared, ["sha1", "salt"], "left")
+    copy = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    sent = rows.select("page_id", "url", F.when(~copy, F.col("html").cast("binary")).alias("html"), F.when(copy, F.col("first")).alias("first"), F.unhex("sha1").alias("sha1"), "first_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, records, size, n = TaskContext.get().partitionId(), [], 0, 0
@@ -133,9 +154,9 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{n:09d}.warc"]), pa.array([b"".join(records)], pa.binary())], names=["archive", "warc"])
 
         for batch in batches:
-            for page, address, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, address, payload, first, sha1, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n += 1
-                made = page_records(page, address, payload, first, f"urn:textloom:{task}:{n}")
+                made = page_records(page, address, payload, first, f"urn:textloom:{task}:{n}", base64.b32encode(sha1).decode(), first_url)
                 records += made
                 size += sum(map(len, made))
                 if size >= ARCHIVE_BYTES:
@@ -156,8 +177,8 @@ _PARSED = pa.schema(
 def read_archives(archives: DataFrame) -> DataFrame:
     """page_id, record_type, refers_to, payload_digest, payload_bytes: one row per response or revisit.
 
-    A record that isn't segmented is decoded where it is parsed; only segments are shuffled, and
-    those that meet in a group are of one record. A response whose digest or total length doesn't
+    A record that isn't segmented is decoded where it is parsed; its short row and the segments of
+    others are shuffled, and what meets in a group is of one record. A response whose digest or total length doesn't
     fit raises ValueError. A revisit's payload_bytes are those of the response it refers to.
     """
 
@@ -209,7 +230,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     read = durable(whole.mapInArrow(joined, "kind string, page_id long, refers_to long, digest string, payload_bytes long"))
     sizes = read.filter("kind = 'response'").groupBy("digest").agg(F.max("payload_bytes").alias("known"))
-    revisits = read.filter("kind = 'revisit'").join(sizes, "digest", "left").select("kind", "page_id", "refers_to", "digest", F.col("known").alias("payload_bytes"))
+    revisits = read.filter("kind = 'revisit'").withColumn("salt", _salt("page_id")).join(_salted(sizes), ["digest", "salt"], "left").select("kind", "page_id", "refers_to", "digest", F.col("known").alias("payload_bytes"))
     rows = read.filter("kind = 'response'").unionByName(revisits)
     return rows.select("page_id", F.col("kind").alias("record_type"), "refers_to", F.col("digest").alias("payload_digest"), "payload_bytes")
 
