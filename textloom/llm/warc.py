@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
     ).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    groups = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n"))
+    groups = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.min_by("url", F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first_url"), F.count(F.lit(1)).alias("n"))
     shared = if_small(durable(_salted(groups.filter("n > 1").select("sha1", "first", "first_url"))))
     rows = rows.withColumn("salt", _salt("page_id")).join(shared, ["sha1", "salt"], "left")
     copy = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
