@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 from textloom.streaming import admission, jobs
 
@@ -22,10 +23,22 @@ def test_daily_usage(spark, tmp_path):
 
 
 def test_replays(spark, tmp_path):
-    rows = [(NOW + dt.timedelta(seconds=s), "ko", "g") for s in (0, 10, 20)] + [(NOW, "dk", "g")]
-    source = stream(spark, tmp_path, rows, "ts timestamp, abbr string, domain string")
+    """Thirty seconds from the last one that counted; repeats don't prolong them, failures aren't remembered."""
+    rows = [(NOW + dt.timedelta(seconds=s), "ko", "g", s, True) for s in (0, 10, 20, 30, 31, 45, 61, 62)] + [(NOW, "dk", "g", 100, False), (NOW + dt.timedelta(seconds=5), "dk", "g", 105, True), (NOW + dt.timedelta(seconds=9), "dk", "g", 109, False)]
+    source = stream(spark, tmp_path, rows, "ts timestamp, abbr string, domain string, request_id long, ok boolean")
     out = jobs.appended(jobs.without_replays(source), f"{tmp_path}/out")
-    assert sorted(r.abbr for r in out.collect()) == ["dk", "ko"]
+    assert sorted((r.abbr, r.request_id) for r in out.collect()) == [("dk", 100), ("dk", 105), ("ko", 0), ("ko", 31), ("ko", 62)]
+
+
+def test_replays_over_batches(spark, tmp_path):
+    """State lasts from one micro-batch to the next, and is gone once the watermark has passed its term."""
+    for i, seconds in enumerate(((0,), (20, 40), (300,), (310, 331))):
+        rows = [(NOW + dt.timedelta(seconds=s), "ko", "g", s, True) for s in seconds]
+        spark.createDataFrame(rows, "ts timestamp, abbr string, domain string, request_id long, ok boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken in the order of their times
+    source = jobs.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in"), 1)
+    out = jobs.appended(jobs.without_replays(source), f"{tmp_path}/out")
+    assert sorted(r.request_id for r in out.collect()) == [0, 40, 300, 331]
 
 
 def test_admission(spark, tmp_path):
@@ -44,7 +57,17 @@ def test_admission(spark, tmp_path):
     assert out == good and 0 < sum(good.values()) < 60
 
 
-def test_breaker(spark):
-    rows = [(NOW + dt.timedelta(seconds=s), "a", status, after) for s, status, after in ((0, 200, None), (1, 429, 5), (3, 200, None), (7, 200, None), (8, 429, None), (60, 200, None))]
-    frame = spark.createDataFrame(rows, "ts timestamp, account string, status int, retry_after int")
-    assert [r.blocked for r in jobs.breaker(frame).orderBy("ts").collect()] == [False, False, True, False, False, True]
+def test_breaker(spark, tmp_path):
+    rows = [(NOW + dt.timedelta(seconds=s), 1, s, status, after) for s, status, after in ((0, 200, None), (1, 429, 5), (3, 200, None), (7, 200, None), (8, 429, None), (60, 200, None), (69, 200, None))]
+    rows.append((NOW + dt.timedelta(seconds=9), 2, 9, 200, None))
+    source = stream(spark, tmp_path, rows, "ts timestamp, account long, call_id long, status int, retry_after int")
+    out = jobs.appended(jobs.breaker(source), f"{tmp_path}/out")
+    assert {r.call_id: r.blocked for r in out.collect()} == {0: False, 1: False, 3: True, 7: False, 8: False, 60: True, 69: False, 9: False}
+
+
+def test_bursts_of_edits(spark, tmp_path):
+    """The highest version of a burst stands, also if it came out of order; the last burst is still open."""
+    rows = [(NOW + dt.timedelta(milliseconds=ms), "s", text, version) for ms, text, version in ((0, "a", 1), (300, "abc", 3), (500, "ab", 2), (5000, "x", 4), (60_000, "y", 5))]
+    source = stream(spark, tmp_path, rows, "ts timestamp, session_id string, text string, version long")
+    out = jobs.appended(jobs.latest_versions(source), f"{tmp_path}/out")
+    assert sorted((r.version, r.text) for r in out.collect()) == [(3, "abc"), (4, "x")]
