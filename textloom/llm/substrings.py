@@ -326,8 +326,10 @@ def _turn_chains(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
                 first.setdefault((o, z), []).append(y)
             links = [(x, y) for x, o, z in zip(r["at"], r["other"], r["other_at"], strict=True) for y in first.get((o, z), ())[:1]]
             for part in chain(links, k):
+                # within a run the words between two anchors are the same, so one in STRIDE words will do
+                ends = [i in (0, len(part) - 1) or part[i - 1][0] - part[i - 1][1] != p[0] - p[1] or part[i + 1][0] - part[i + 1][1] != p[0] - p[1] or p[0] - part[i - 1][0] > k or part[i + 1][0] - p[0] > k or p[0] // STRIDE != part[i - 1][0] // STRIDE for i, p in enumerate(part)]
                 if len(part) > 1:
-                    rows.append((r["doc_id"], r["other_id"], [p[0] for p in part], [p[1] for p in part]))
+                    rows.append((r["doc_id"], r["other_id"], [p[0] for p, e in zip(part, ends, strict=True) if e], [p[1] for p, e in zip(part, ends, strict=True) if e]))
         yield _batch_of(rows)
 
 
@@ -503,6 +505,20 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], other_at: list[int], k: i
         before = other_before = _extend((a[at[0] - left : at[0]] == b[other_at[0] - left : other_at[0]])[::-1])
     x, y = at[0] - before, other_at[0] - other_before
     start, other_start, matched = x, y, 0
+    places, other_places = np.asarray(at), np.asarray(other_at)
+    if before == other_before and (places - other_places == places[0] - other_places[0]).all():
+        # on one diagonal: words at the same distance, and between two seeds the most in common
+        x, y = at[-1] + k, other_at[-1] + k
+        same = a[start:x] == b[other_start:y]
+        missed = np.flatnonzero(~same)
+        matched = len(same) - len(missed)
+        if len(missed) > 1:
+            seeds = places - start
+            for i in np.flatnonzero(np.bincount(np.searchsorted(seeds, missed, "right")) > 1).tolist():
+                lo, hi = int(seeds[i - 1]) + k if i else 0, int(seeds[i]) if i < len(seeds) else len(same)
+                if hi > lo:
+                    matched += _common(a[start + lo : start + hi], b[other_start + lo : other_start + hi]) - int(same[lo:hi].sum())
+        at = other_at = []
     for p, q in zip(at, other_at, strict=True):
         shift = max(0, x - p, y - q)  # the words that seeds before it have already
         if shift >= k:
