@@ -94,6 +94,20 @@ def fold_submissions(events: DataFrame) -> DataFrame:
     return counted.join(listed, ["abbr", "domain"], "left").withColumn("suggestions", F.coalesce("suggestions", F.array().cast("array<string>")))
 
 
+def best_submissions(rows: DataFrame, order: str) -> DataFrame:
+    """Pending submissions with one row for each abbreviation: the one that asks most of the user (AGG19).
+
+    Needing a meaning counts before taking more meanings, and that before having an id alone; of equals the
+    first by ``order`` stays. Blank abbreviations are never merged. Columns: abbr,
+    needs_user_meaning, can_add_more_meanings, pending_id and any others.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rank = F.when(flag("needs_user_meaning"), 3).when(flag("can_add_more_meanings"), 2).when(F.coalesce(F.col("pending_id").cast("string"), F.lit("")) != "", 1).otherwise(0)
+    keyed = rows.withColumn("_key", F.lower(F.trim(F.coalesce("abbr", F.lit(""))))).withColumn("_row", F.struct(*rows.columns))
+    named = keyed.filter("_key <> ''").groupBy("_key").agg(F.max_by("_row", F.struct(rank, -F.col(order))).alias("_row"))
+    return named.select("_row.*").unionByName(keyed.filter("_key = ''").select(rows.columns))
+
+
 def suggestion_outcome(existing: Column, suggestion: Column) -> Column:
     """CAPTURED for the first meaning, EXISTS for a known one, else APPENDED (UPS7)."""
     return F.when(F.size(existing) == 0, "CAPTURED").when(F.array_contains(existing, suggestion), "EXISTS").otherwise("APPENDED")
@@ -142,6 +156,14 @@ def conditional_update(rows: DataFrame, changes: DataFrame, key: str, columns: l
     return rows.join(new, key, "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
+def start_sessions(sessions: DataFrame, logins: DataFrame, hours: int = 24) -> DataFrame:
+    """``sessions`` with one for each login (ts, user_id, token_hash) of a token that isn't there yet (UPS13)."""
+    new = logins.groupBy("token_hash").agg(F.min_by(F.struct("user_id", "ts"), F.struct("ts", "user_id")).alias("l"))
+    new = new.join(sessions.select("token_hash"), "token_hash", "left_anti")
+    columns = {"token_hash": F.col("token_hash"), "user_id": F.col("l.user_id"), "created_at": F.col("l.ts"), "expires_at": F.col("l.ts") + F.make_dt_interval(hours=F.lit(hours)), "revoked_at": F.lit(None).cast("timestamp"), "is_active": F.lit(True)}
+    return sessions.unionByName(new.select(*(columns.get(c, F.lit(None)).alias(c) for c in sessions.columns)))
+
+
 def end_sessions(sessions: DataFrame, as_of: dt.datetime, user_id: str | None = None, token_hash: str | None = None) -> DataFrame:
     """Revokes one session or all of a user's, and marks expired ones (UPS13)."""
     hit = F.lit(False)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import corpus_queries, store_queries, stream_queries, text_queries
+from textloom.plans import corpus_queries, service_queries, store_queries, stream_queries, text_queries
 
-_MODULES = (corpus_queries, text_queries, store_queries, stream_queries)
+_MODULES = (corpus_queries, text_queries, store_queries, service_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
