@@ -275,7 +275,7 @@ WORD_TESTS = f"""
 WITH d AS (SELECT DISTINCT unnest({_words('text')}) AS w FROM documents),
 p AS (SELECT w, replace(strip_accents(w), 'đ', 'd') AS f FROM d)
 SELECT w, regexp_full_match(w, '\\p{{L}}{{2,3}}') AND NOT regexp_matches(f, '[aeiouy]') AS short,
-  (length(w) = 1 AND NOT (w <> 'đ' AND regexp_full_match(f, '[aeiouy]'))) OR ({_FORCED}) AS suspected,
+  (length(w) = 1 AND NOT regexp_full_match(w, '[{T._VOWEL_LETTERS}]')) OR ({_FORCED}) AS suspected,
   strip_accents(w) <> strip_accents(reverse(f)) AS changes_more, f <> w AS accented, regexp_replace(f, '^(?:ch|tr)', 'tr') AS phonetic, 'ab' || w || '_' || f AS "key", true AS is_word FROM p
 """
 
