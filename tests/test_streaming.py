@@ -4,7 +4,7 @@ import datetime as dt
 import random
 import time
 
-from textloom.streaming import admission, jobs
+from textloom.streaming import admission, exports, jobs
 
 NOW = dt.datetime(2024, 3, 1)
 
@@ -71,3 +71,19 @@ def test_bursts_of_edits(spark, tmp_path):
     source = stream(spark, tmp_path, rows, "ts timestamp, session_id string, text string, version long")
     out = jobs.appended(jobs.latest_versions(source), f"{tmp_path}/out")
     assert sorted((r.version, r.text) for r in out.collect()) == [(3, "abc"), (4, "x")]
+
+
+def test_revisions(spark, tmp_path):
+    """A reader sees whole revisions; a repeated batch changes nothing; what was cut off isn't seen."""
+    folder, schema = f"{tmp_path}/export", "abbr string, expanded string, updated_at int"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    assert exports.read_revision(spark, folder, schema).count() == 0
+    assert exports.publish(rows(("ko", "không", 1)), folder, 0)
+    before = exports.read_revision(spark, folder, schema)
+    rows(("cut", "off", 9)).write.parquet(f"{folder}/data/000000000001-cut-off")  # a writer that was lost before its manifest
+    assert exports.publish(rows(("ko", "không", 1), ("dc", "được", 2)), folder, 1)
+    assert not exports.publish(rows(("again", "again", 3)), folder, 1)
+    assert [r.abbr for r in before.collect()] == ["ko"]
+    assert sorted(r.abbr for r in exports.read_revision(spark, folder, schema).collect()) == ["dc", "ko"]
+    assert [r.abbr for r in exports.read_revision(spark, folder, schema, 0).collect()] == ["ko"]
+    assert sorted((r.revision, r.n_rows) for r in exports.revisions(spark, folder).collect()) == [(0, 1), (1, 2)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.session import new_folder, table
-from textloom.streaming import admission, jobs
+from textloom.streaming import admission, exports, jobs
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -117,13 +117,39 @@ SELECT account, request_id, admitted FROM s WHERE k > 0
 """
 
 
+def streaming_export(spark: SparkSession, d: str) -> DataFrame:
+    """Events approve a meaning of a user's abbreviation, or delete it; three micro-batches make three revisions."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = new_folder(spark, "approvals")
+    for part in range(3):
+        rows.filter(F.col("event_id") % 3 == part).repartition(2).write.mode("append").parquet(folder)
+    stream = jobs.file_stream(spark, folder, rows, 2)
+    changes = stream.select(F.col("user_id").cast("string").alias("domain"), F.col("event_type").alias("abbr"), F.get_json_object("props", "$.k").alias("expanded"), F.struct("ts", "event_id").alias("updated_at"), (F.col("value") > 90).alias("deleted"))
+    return exports.exported(changes, new_folder(spark, "export"), ["domain", "abbr"]).select("domain", "abbr", "expanded")
+
+
+#: A deletion drops its key at the end of its micro-batch, so an older approval in a later one stands again.
+EXPORT = """
+WITH e AS (SELECT user_id::VARCHAR AS domain, event_type AS abbr, json_extract_string(props, '$.k') AS expanded, (ts, event_id) AS t, value > 90 AS gone, event_id % 3 AS part FROM events),
+b AS (SELECT domain, abbr, part, arg_max(expanded, t) AS expanded, max(t) AS t, arg_max(gone, t) AS gone FROM e GROUP BY 1, 2, 3),
+k AS (SELECT DISTINCT domain, abbr FROM e),
+s0 AS (SELECT domain, abbr, expanded, t FROM b WHERE part = 0 AND NOT gone),
+s1 AS (SELECT domain, abbr, expanded, t FROM (SELECT k.domain, k.abbr, CASE WHEN b.t IS NULL OR s0.t > b.t THEN s0.expanded ELSE b.expanded END AS expanded, CASE WHEN b.t IS NULL OR s0.t > b.t THEN s0.t ELSE b.t END AS t,
+  CASE WHEN b.t IS NULL OR s0.t > b.t THEN false ELSE b.gone END AS gone FROM k LEFT JOIN s0 USING (domain, abbr) LEFT JOIN (SELECT * FROM b WHERE part = 1) AS b USING (domain, abbr)) WHERE t IS NOT NULL AND NOT gone),
+s2 AS (SELECT domain, abbr, expanded, t FROM (SELECT k.domain, k.abbr, CASE WHEN b.t IS NULL OR s1.t > b.t THEN s1.expanded ELSE b.expanded END AS expanded, CASE WHEN b.t IS NULL OR s1.t > b.t THEN s1.t ELSE b.t END AS t,
+  CASE WHEN b.t IS NULL OR s1.t > b.t THEN false ELSE b.gone END AS gone FROM k LEFT JOIN s1 USING (domain, abbr) LEFT JOIN (SELECT * FROM b WHERE part = 2) AS b USING (domain, abbr)) WHERE t IS NOT NULL AND NOT gone)
+SELECT domain, abbr, expanded FROM s2
+"""
+
+
 QUERIES = {
     "streaming_usage_daily": streaming_usage_daily,
     "streaming_rate_limits": streaming_rate_limits,
     "streaming_replays": streaming_replays,
     "streaming_breaker": streaming_breaker,
     "streaming_versions": streaming_versions,
+    "streaming_export": streaming_export,
     "streaming_admission": streaming_admission,
 }
 
-SQL = {"streaming_usage_daily": USAGE, "streaming_rate_limits": LIMITS, "streaming_replays": REPLAYS, "streaming_breaker": BREAKER, "streaming_versions": VERSIONS, "streaming_admission": ADMISSION}
+SQL = {"streaming_usage_daily": USAGE, "streaming_rate_limits": LIMITS, "streaming_replays": REPLAYS, "streaming_breaker": BREAKER, "streaming_versions": VERSIONS, "streaming_export": EXPORT, "streaming_admission": ADMISSION}
