@@ -6,26 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import near_dedup, packing, quality, substrings
-from textloom.llm._spark import stored
+from textloom.llm._spark import prefer_small_batches, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail their own rules, or whose host is judged bad, go."""
+    prefer_small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the least id stays."""
+    prefer_small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages stay in their first document only; n_chars follows the text."""
+    prefer_small_batches(spark)
     return substrings.without_repeats(docs, length="n_chars")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document, with its sequence and the offset there."""
+    prefer_small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

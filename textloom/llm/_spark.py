@@ -25,6 +25,11 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def prefer_small_batches(spark: SparkSession) -> None:
+    """For a job whose results are written later, by others: Arrow batches of BATCH_BYTES from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, kept in the shared folder."""
     shared_folder(df.sparkSession)

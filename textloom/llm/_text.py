@@ -61,6 +61,7 @@ def frugal(work: Callable) -> Callable:
 
     @wraps(work)
     def run(*args, **settings):
+        pa.set_memory_pool(pa.system_memory_pool())  # one allocator, whose memory goes back
         try:
             yield from work(*args, **settings)
         finally:

@@ -37,7 +37,7 @@ ROWS_EACH = 200_000
 #: Partitions at least in which gaps and places are kept, so that no executor does all of a small superstep.
 LEAST = 6
 #: Atoms that a worker remembers (20 bytes each); when full it starts anew, which costs time but changes nothing.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -185,6 +185,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     tokens is cut. A null text counts as empty and gives the piece of ``end_id`` alone.
     """
 
+    @_text.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
         for batch in batches:
