@@ -1,11 +1,14 @@
 """Restoration, normalization, segments and review on golden cases."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import normalize, restore, review, segments
 from textloom.operators.dictionary import Snapshot, phrase_table
 from textloom.plans import text_queries
+from textloom.sources import assets as assets_of
 
 
 @pytest.fixture(scope="module")
@@ -162,3 +165,23 @@ def test_turns_of_long_conversations_stay_apart(spark, tmp_path):
         spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     out = [(r.conv_id, r.turn, r.normalized_text) for r in text_queries.normalize_conversations(spark, str(tmp_path)).collect()]
     assert sorted((c, t, text.lower().rstrip(".?")) for c, t, text in out) == sorted(rows)
+
+
+def test_assets(spark, tmp_path):
+    """Files over built-in entries: the word map's file wins, built-in phrases win; a missing file is empty."""
+    files = {"words": {"thi": ["thi"], "da": "đã"}, "pairs": {"tôi_đi": 3, "odd": 1}, "phrases": {"Di hoc": "đi học", "a b": "x", "one": "một", "su kien": "sứ kiện"}}
+    for name, value in files.items():
+        (tmp_path / name).write_text(json.dumps(value, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "shots").write_text(json.dumps([{"no_diacritics": str(i), "with_diacritics": "x"} for i in range(5)]), encoding="utf-8")
+    found = assets_of.word_map(spark, str(tmp_path / "words")).collect()
+    assert {(r.nd, r.rank, r.form) for r in found if r.nd in ("thi", "da", "met", "vai")} == {("thi", 1, "thi"), ("da", 1, "đã"), ("met", 1, "mệt"), ("vai", 1, "vài"), ("vai", 2, "vai")}
+    assert [tuple(r) for r in assets_of.bigrams(spark, str(tmp_path / "pairs")).collect()] == [("tôi", "đi", 3)]
+    builtin = spark.createDataFrame([(["su", "kien"], ["sự", "kiện"])], "key array<string>, val array<string>")
+    phrases = assets_of.context_phrases(spark, str(tmp_path / "phrases"), builtin)
+    assert sorted(map(tuple, phrases.collect())) == [(["di", "hoc"], ["đi", "học"]), (["su", "kien"], ["sự", "kiện"])]
+    assert [r.no_diacritics for r in assets_of.few_shot(spark, str(tmp_path / "shots"), 2).collect()] == ["0", "1"]
+    gone = str(tmp_path / "none")
+    assert assets_of.word_map(spark, gone, {}).count() == assets_of.bigrams(spark, gone).count() == assets_of.few_shot(spark, gone).count() == 0
+    texts = spark.createDataFrame([(1, "su kien thi di hoc")], "doc_id long, text string")
+    out = restore.restore(texts, assets_of.word_map(spark, str(tmp_path / "words")), assets_of.bigrams(spark, str(tmp_path / "pairs")), phrases).first()
+    assert out.restored == "sự kiện thi đi học"

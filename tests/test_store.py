@@ -6,8 +6,9 @@ import hmac
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import dictionary, evidence, mutate, store
+from textloom.operators import dictionary, evidence, mining, mutate, store
 from textloom.sources import readers, writers
+from textloom.streaming import jobs
 
 NOW = dt.datetime(2024, 3, 1, 12)
 
@@ -172,3 +173,20 @@ def test_writers(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "h"))
     assert back.select("id").distinct().count() == 1 and back.select(writers.error_types("error_types_json")).first()[0] == ["ABBR"]
     assert spark.createDataFrame([("{",)], "j string").select(F.size(writers.error_types("j"))).first()[0] == 0
+
+
+def test_seeded_sample(spark):
+    """The same rows for the same seed, however the table is dealt; others for another seed."""
+    rows = spark.range(200).withColumnRenamed("id", "key")
+    take = lambda df, seed: [r.key for r in store.seeded_sample(df, "key", 20, seed).collect()]
+    assert take(rows, 42) == take(rows.repartition(7), 42) != take(rows, 43) and len(set(take(rows, 42))) == 20
+
+
+def test_asset_manifest(spark):
+    words = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "nd string, rank int")
+    row = mining.asset_manifest(words, words.limit(2), words.limit(0)).first()
+    assert (row.word_map_entries, row.bigram_entries, row.phrase_entries) == (2, 2, 0)
+
+
+def test_fresh_results(spark):
+    assert [r.id for r in jobs.fresh(spark.createDataFrame([(1, 3), (2, 4), (3, None)], "id int, revision int"), 4).collect()] == [2]

@@ -152,6 +152,31 @@ SELECT doc_id, pos, first(cand ORDER BY score DESC, rank) AS best FROM scored GR
 """
 
 
+def _offered(spark: SparkSession, d: str) -> DataFrame:
+    """Bare words of the accented texts with the forms that the texts themselves give them."""
+    forms = kept(mining.word_map(mining.word_forms(_pairs(spark, d)), 5))
+    return restore.with_candidates(_tokens(spark, d).withColumn("protected", F.lit(False)), forms)
+
+
+def restore_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each text the word map settles, and how many of its words it leaves open."""
+    offered = _offered(spark, d)
+    open_words = restore.ambiguous(offered).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_open"))
+    covered = restore.coverage(offered).join(open_words, "doc_id", "left")
+    return covered.select("doc_id", "n_tokens", F.round("coverage", 6).alias("coverage"), F.coalesce("n_open", F.lit(0)).alias("n_open"))
+
+
+_SHORT = "regexp_full_match(bare, '\\p{L}{2,3}') AND NOT regexp_matches(bare, '[aeiouy]')"
+RESTORE_COVERAGE = f"""
+WITH {_FORMS},
+forms AS (SELECT nd, list(wd ORDER BY r) AS cands FROM ranked WHERE best <> nd AND CASE WHEN top >= 2 THEN cnt >= 2 AND r <= 5 ELSE r = 1 END GROUP BY 1),
+texts AS (SELECT doc_id, {_clean('wd')} AS w FROM ({_PAIRS})),
+seen AS (SELECT doc_id, replace(strip_accents(w[i]), 'đ', 'd') AS bare FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)),
+o AS (SELECT doc_id, bare, {_SHORT} AS short, CASE WHEN NOT ({_SHORT}) THEN cands END AS cands FROM seen LEFT JOIN forms ON bare = nd)
+SELECT doc_id, count(*)::BIGINT AS n_tokens, round(avg((short OR cands IS NOT NULL)::INT), 6) AS coverage, count(DISTINCT bare) FILTER (len(cands) > 1)::BIGINT AS n_open FROM o GROUP BY 1
+"""
+
+
 def restore_documents(spark: SparkSession, d: str) -> DataFrame:
     """Word map, bigrams and phrases mined from the accented texts restore their bare side."""
     pairs = _pairs(spark, d)
@@ -384,6 +409,7 @@ QUERIES = {
     "abbr_expand": abbr_expand,
     "context_window5": context_window5,
     "bigram_scored_choice": bigram_scored_choice,
+    "restore_coverage": restore_coverage,
     "restore_documents": restore_documents,
     "normalize_conversations": normalize_conversations,
     "normalize_documents": normalize_documents,
@@ -408,6 +434,7 @@ SQL = {
     "context_window5": CONTEXT_WINDOW,
     "segmented_roundtrip": ROUNDTRIP,
     "bigram_scored_choice": BIGRAM_CHOICE,
+    "restore_coverage": RESTORE_COVERAGE,
     "sentence_chunks": SENTENCE_CHUNKS,
     "segment_budget": SEGMENT_BUDGET,
     "review_cuts": REVIEW_CUTS,
