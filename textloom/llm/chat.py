@@ -38,7 +38,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     roles count as empty, a null turn number sorts first, rows of a null conversation form one
     conversation, repeated rows stay repeated; an empty table gives no rows. Other columns are
     ignored, whatever their names. A conversation is one string by definition, so its turns meet
-    in one row; nothing larger than a conversation does.
+    in one row, however long its texts are; nothing larger than a conversation does.
     """
     rows = turns.select(
         F.col(conv_id).cast("long").alias("conv_id"),

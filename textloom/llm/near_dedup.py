@@ -306,7 +306,8 @@ def near_duplicates(
 
     Null and empty texts have no shingles and form one class, as copies of each other; texts of one
     to four words match equal texts only; repeated rows are copies; a class of null ids alone has a
-    null class_id; an empty table gives no rows; other columns are ignored.
+    null class_id; an empty table gives no rows; other columns are ignored. Texts are taken whole, however long;
+    one longer than what is signed at once is signed alone.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = durable(signatures(source, size=size, bands=bands, rows=rows, weights=weights))

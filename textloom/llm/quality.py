@@ -129,7 +129,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     with partial sums, so one with a third of all rows costs no more than another; the join back
     lets Spark broadcast or split by size. Null texts have no words and fail; a null host gets no
     verdict (host_rule and host_rate are null) and doesn't reject; repeated rows stay repeated; an empty table
-    gives no rows; other columns are ignored, whatever their names.
+    gives no rows; other columns are ignored, whatever their names. Texts are measured whole, however
+    long, each on its own where it is longer than a batch's share.
     """
     counted = durable(rule_counts(docs, doc_id, text, host))
     verdicts = host_verdicts(counted, max_rate).select("host", "host_rule", "host_rate", "host_kept")
