@@ -46,6 +46,8 @@ MIN_IDENTITY = 0.8
 MAX_GAP = 40
 #: Words between two matches that make a turn, words around it whose matches count, steps of its offset.
 NEAR, AROUND, TURN_STEP = 64, 160, 16
+#: Matches with a document from which on it counts as chained with the text.
+CHAINED = 5
 #: Turns with the matches around them (some 3 kB each) up to which they are broadcast.
 LEADING_ROWS = 10_000
 #: What each word between two seeds costs a chain; a seed gains K.
@@ -252,15 +254,15 @@ def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), kind, kind), strict=True)], names=["doc_id", "other_id", "at", "other_at"])
 
 
-def _turns(at: np.ndarray, other: np.ndarray, other_at: np.ndarray, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the places where successive matches lead to two documents, and the word there.
+def _turns(at: np.ndarray, other: np.ndarray, other_at: np.ndarray, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the places where successive matches lead to two documents, the word there, and the two (-1 for one with few matches).
 
     A key is of the two documents and of their offset in steps of TURN_STEP, rounded down and up, so
     that words left out or put in don't part two texts. A turn within a stretch that one document
     covers densely (such are aligned anyway), or with hardly a match around it, isn't one.
     """
     if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     order = np.lexsort((at, other))
     x, o = at[order].astype(np.int64), other[order]
     heads = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (x[1:] - x[:-1] > MAX_GAP)])
@@ -281,22 +283,22 @@ def _turns(at: np.ndarray, other: np.ndarray, other_at: np.ndarray, k: int, min_
     for rounded in (np.floor(step), np.floor(step) + 1):
         with np.errstate(over="ignore"):
             keys.append(_text.mix(_text.mix(o[here].astype(np.uint64) * _GOLD + o[here + 1].astype(np.uint64)) + rounded.astype(np.int64).astype(np.uint64)))
-    return np.concatenate(keys).view(np.int64), np.tile(x[here], 2)
+    known, which, times = np.unique(o, return_inverse=True, return_counts=True)
+    chained = np.where(times >= CHAINED, known, -1)[which]
+    return np.concatenate(keys).view(np.int64), np.tile(x[here], 2), np.tile(chained[here], 2), np.tile(chained[here + 1], 2)
 
 
 @_text.frugal
 def _turn_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iterator[pa.RecordBatch]:
     """The keys of each document's turns, each at its first place."""
     for batch in batches:
-        keys, ids, places = [], [], []
+        found: list[tuple[np.ndarray, ...]] = []
         for doc, at, other, other_at in _lists(batch):
-            key, place = _turns(at, other, other_at, k, min_words)
+            key, place, before, after = _turns(at, other, other_at, k, min_words)
             key, first = np.unique(key, return_index=True)
-            keys.append(key)
-            places.append(place[first])
-            ids.append(np.full(len(key), doc, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "doc_id", "place"])
+            found.append((key, np.full(len(key), doc, np.int64), place[first].astype(np.int32), before[first], after[first]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["key", "doc_id", "place", "before", "after"])
 
 
 @_text.frugal
@@ -340,10 +342,11 @@ def chains_by_turns(lists: DataFrame, k: int, min_words: int) -> DataFrame:
     the turns that lead a stretch of words to one text, one sends the matches around it, and so
     does the first holder for each turn that is asked for.
     """
-    turns = durable(lists.mapInArrow(partial(_turn_rows, k=k, min_words=min_words), "key long, doc_id long, place int"))
+    turns = durable(lists.mapInArrow(partial(_turn_rows, k=k, min_words=min_words), "key long, doc_id long, place int, before long, after long"))
     first = F.min(F.struct("doc_id", "place"))
     shared = turns.groupBy("key").agg(first.alias("first"), F.max("doc_id").alias("_last")).filter(F.col("first.doc_id") != F.col("_last")).drop("_last")
-    asked = turns.join(shared, "key").filter(F.col("doc_id") != F.col("first.doc_id"))
+    # if one of the two is the holder itself and chained with the text, its alignment goes on past the turn
+    asked = turns.join(shared, "key").filter(~F.col("first.doc_id").isin(F.col("doc_id"), F.col("before"), F.col("after")))
     asked = durable(asked.groupBy(F.col("doc_id").alias("_doc"), F.col("first.doc_id").alias("_first"), F.floor(F.col("place") / AROUND).alias("_at")).agg(F.min(F.struct("key", "place", "first")).alias("t")).select("t.key", F.col("_doc").alias("doc_id"), "t.place", "t.first"))
     leads = asked.groupBy("key").agg(F.first("first").alias("first")).select("key", "first.doc_id", "first.place", F.lit(True).alias("leads"))
     wanted = asked.select("key", "doc_id", "place", F.lit(False).alias("leads")).unionByName(leads)
