@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor
 DAY = "1 day"
 #: Fixed value: seconds in which an identical submission is taken for a replay.
 REPLAY = 30
+#: Rows that a processor holds as Python objects, or gives at once.
+ROWS_EACH = 50_000
 
 
 def file_stream(spark: SparkSession, pattern: str, like: DataFrame, files_per_batch: int = 100) -> DataFrame:
@@ -42,13 +45,21 @@ class _Replays(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.kept.get()[0] if self.kept.exists() else None
-        columns = ["at", "request_id", "ok"]
-        for at, request, ok in sorted(x for f in rows for x in f[columns].itertuples(index=False, name=None)):
-            if last is not None and abs(at - last) <= self.term:
-                continue
-            if ok:
-                last = at if last is None else max(last, at)
-            yield pd.DataFrame({"abbr": [key[0]], "domain": [key[1]], "request_id": [request]})
+        frames = [f[["at", "request_id", "ok"]] for f in rows]
+        given = pd.concat(frames).sort_values(["at", "request_id", "ok"], kind="stable")
+        passed = np.zeros(len(given), bool)
+        for begin in range(0, len(given), ROWS_EACH):
+            part = given.iloc[begin : begin + ROWS_EACH]
+            for n, (at, ok) in enumerate(zip(part["at"].tolist(), part["ok"].tolist(), strict=True), begin):
+                if last is not None and abs(at - last) <= self.term:
+                    continue
+                passed[n] = True
+                if ok:
+                    last = at if last is None else max(last, at)
+        counted = given["request_id"].to_numpy()[passed]
+        for begin in range(0, len(counted), ROWS_EACH):
+            part = counted[begin : begin + ROWS_EACH]
+            yield pd.DataFrame({"abbr": key[0], "domain": key[1], "request_id": part})
         if last is not None:
             self.kept.update((last,))
             for timer in list(self.handle.listTimers()):
