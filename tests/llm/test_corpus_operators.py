@@ -352,6 +352,20 @@ def one_by_one(lengths, size):
     return used
 
 
+@pytest.mark.parametrize("high", [1, 3, 40, 2000])
+def test_gaps_offer_no_more_places_than_pieces_need(high):
+    rng = np.random.default_rng(high)
+    for n in (1, 7, 300, 100_000):
+        counts = {int(g): int(rng.integers(1, 50)) for g in rng.integers(high // 2 + 1, 2048, 200)}
+        places = packing.offers(counts, high, n)
+        wide = [g for g in counts if g >= high]
+        assert all(places[g] == 1 for g in counts if g < high) and all(places[g] <= g // high for g in wide)
+        offered = sum(places[g] * counts[g] for g in wide)
+        assert min(n, sum(g // high * counts[g] for g in wide)) <= offered < n + max([counts[g] for g in wide], default=1)
+        ends = [g // (g // high) for g in wide if places[g]], [g // (g // high) for g in wide if places[g] < g // high]
+        assert not all(ends) or max(ends[0]) <= min(ends[1])  # the tightest ones
+
+
 @pytest.mark.parametrize(("size", "n", "rows_each"), [(256, 300, 40), (100, 200, 10**6), (7, 1, 5)])
 def test_best_fit_is_as_good_as_one_by_one(spark, size, n, rows_each):
     """As many sequences as one-by-one best-fit decreasing (one more at most), each piece once, however the ranges are cut."""

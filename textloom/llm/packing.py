@@ -319,10 +319,24 @@ def _numbered(left: DataFrame, runs: list[Run]) -> DataFrame:
     return meant.select("kind", "sequence_id", *PIECE, (F.col("number") + F.col("step") * (F.col("rank") - F.col("lowest"))).alias("number"), "new")
 
 
-def _merged(gaps: DataFrame, own: DataFrame, high: int) -> DataFrame:
-    """Gaps and pieces as rows of one kind. A gap that surely holds several pieces offers as many places."""
-    places = F.greatest(F.lit(1), F.floor(F.col("gap") / high)).cast("int")
-    offered = gaps.select("sequence_id", F.floor(F.col("gap") / places).alias("size"), F.explode(F.sequence(F.lit(1), places)).alias("place"))
+def offers(counts: dict[int, int], high: int, n: int) -> dict[int, int]:
+    """How many places a gap of each size offers to ``n`` pieces of at most ``high``; none where tighter ones suffice.
+
+    ``counts``: number of gaps of each size. A gap that surely holds several pieces may offer as many; of
+    such places ``n`` are enough, so all gaps together offer at most ``n`` more than one each.
+    """
+    out = {gap: 1 for gap in counts if gap < high}
+    for gap in sorted((g for g in counts if g >= high), key=lambda g: (g // (g // high), g)):
+        out[gap] = min(gap // high, -(-n // counts[gap]))
+        n = max(0, n - out[gap] * counts[gap])
+    return out
+
+
+def _merged(gaps: DataFrame, own: DataFrame, high: int, places: dict[int, int]) -> DataFrame:
+    """Gaps and pieces as rows of one kind. A gap is as many rows as it has ``places``, which are those of ``offers``."""
+    listed = F.from_json(F.lit(json.dumps([places.get(gap, 0) for gap in range(max(places, default=0) + 1)])), "array<int>")
+    number, size = F.get(listed, F.col("gap").cast("int")), F.floor(F.col("gap") / F.greatest(F.lit(1), F.floor(F.col("gap") / high)))
+    offered = gaps.withColumn("places", number).filter("places > 0").select("sequence_id", size.alias("size"), F.explode(F.sequence(F.lit(1), F.col("places"))).alias("place"))
     blank = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in PIECE]
     left = offered.select("size", F.lit(False).alias("is_piece"), F.xxhash64("sequence_id", "place").alias("lot"), "sequence_id", *blank)
     right = own.select(F.col("length").alias("size"), F.lit(True).alias("is_piece"), F.xxhash64(*PIECE).alias("lot"), F.lit(None).cast("long").alias("sequence_id"), *PIECE)
@@ -335,7 +349,7 @@ def pack(rows: DataFrame, seq_len: int = SEQ_LEN, rows_each: int = ROWS_EACH) ->
     Each superstep takes the pieces of one class of lengths, range-sorts them together with the
     gaps that are wide enough, sweeps the ranges side by side, matches what they left over by rank,
     lets what found no gap open new sequences, and updates the gaps. The driver gets the number of
-    pieces of each length (``seq_len`` rows at most) and, of each superstep, how many rows each range
+    pieces of each length and, in each superstep, of gaps of each size (``seq_len`` rows at most) and, of each superstep, how many rows each range
     left over; a range has about ``rows_each`` rows.
     """
     spark = rows.sparkSession
@@ -348,7 +362,8 @@ def pack(rows: DataFrame, seq_len: int = SEQ_LEN, rows_each: int = ROWS_EACH) ->
     path, opened = new_folder(spark, "placed"), 0
     for number, (low, high, n) in enumerate(classes(counts, seq_len)):
         wide = gaps.filter(F.col("gap") > low)
-        merged = _merged(wide, ordered.filter((F.col("length") > low) & (F.col("length") <= high)), high)
+        places = offers({r["gap"]: r["count"] for r in wide.groupBy("gap").count().collect()}, high, n) if opened else {}
+        merged = _merged(wide, ordered.filter((F.col("length") > low) & (F.col("length") <= high)), high, places)
         order = [F.col("size").desc(), "is_piece", "lot"]
         swept = stored(merged.repartitionByRange(ranges(n + opened), *order).sortWithinPartitions(*order, *PIECE).select("sequence_id", *PIECE).mapInArrow(_sweep, _SWEPT))
         found = [swept.filter(F.col("kind") == _FOUND).select("sequence_id", *PIECE, F.lit(False).alias("opens"))]
