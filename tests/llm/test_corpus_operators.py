@@ -448,3 +448,26 @@ def test_word_tokenizer_is_the_tokenizer(monkeypatch):
             got = [x.tolist() for i in range(0, len(part), 7) for x in tokenizer.rows(part[i : i + 7])]
             assert got == (expected if part[0].as_py() == texts[0] else expected[::-1])
         assert [x.tolist() for x in tokenizer.rows(pa.array([None, "a"]))] == [[], known.encode("a").ids]
+
+
+def test_common_words_against_the_plain_table():
+    pick = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (pick.integers(0, pick.integers(2, 9), pick.integers(0, 40)).astype(np.uint32) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert substrings._common(a, b) == table[-1][-1]
+
+
+def test_texts_without_turns_take_no_keys(monkeypatch):
+    """Most texts have matches with one document only, and need nothing worked out."""
+    made = []
+    real = substrings._text.mix
+    monkeypatch.setattr(substrings._text, "mix", lambda x: made.append(1) or real(x))
+    at = np.arange(0, 300, 3, dtype=np.int32)
+    one = np.full(len(at), 7, np.int64)
+    assert [len(c) for c in substrings._turns(at, one, at + 5, 5, 50)] == [0] * 4 and not made
+    two = np.where(np.arange(len(at)) // 8 % 2, 7, 9).astype(np.int64)
+    assert len(substrings._turns(at, two, at + 5, 5, 50)[0]) > 0

@@ -22,6 +22,7 @@ matches between the two texts, and are chained as others are.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -161,13 +162,20 @@ def first_occurrences(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(_first_rows, "doc_id long, at int, other_id long, other_at int")
 
 
+def _bounds(new: np.ndarray) -> np.ndarray:
+    """Where stretches of a list of items begin, and its end; ``new`` tells for each item but the first."""
+    edges = np.ones(len(new) + 2, bool)
+    edges[1:-1] = new
+    return np.flatnonzero(edges)
+
+
 def _diagonals(at: np.ndarray, other: np.ndarray, other_at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of the anchors of a document, and where in it each unbroken exact run begins (and the end)."""
     shift = at.astype(np.int64) - other_at
     order = np.lexsort((at, shift, other))
     o, s, x = other[order], shift[order], at[order]
     new = (o[1:] != o[:-1]) | (s[1:] != s[:-1]) | (x[1:] - x[:-1] > length)
-    return order, np.flatnonzero(np.r_[True, new, True]) if len(at) else np.zeros(1, np.int64)
+    return order, _bounds(new) if len(at) else np.zeros(1, np.int64)
 
 
 def chain(anchors: list[tuple[int, int]], k: int = K, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[list[tuple[int, int]]]:
@@ -232,10 +240,12 @@ def _unsettled(at: np.ndarray, runs: list[tuple[int, int]], k: int, window: int,
     All seeds in such a window are repeated, so it is in a stretch of them; ``runs`` are the exact
     runs (start, end) with single documents.
     """
-    at = np.unique(at).astype(np.int64)
-    cut = np.flatnonzero(np.diff(at) > window)
-    low, high = np.maximum(0, at[np.r_[0, cut + 1]] - window + 1), at[np.r_[cut, len(at) - 1]] + k + window - 1
+    at = np.sort(at).astype(np.int64)
+    edges = _bounds(at[1:] - at[:-1] > window)
+    low, high = np.maximum(0, at[edges[:-1]] - window + 1), at[edges[1:] - 1] + k + window - 1
     long = high - low >= min_words
+    if not long.any():
+        return [], []
     count = np.zeros(int(high.max()) + 2, np.int64)
     np.add.at(count, low[long], 1)
     np.add.at(count, high[long] - min_words + 1, -1)
@@ -263,29 +273,29 @@ def _turns(at: np.ndarray, other: np.ndarray, other_at: np.ndarray, k: int, min_
     """
     if not len(at):
         return (np.zeros(0, np.int64),) * 4
-    order = np.lexsort((at, other))
-    x, o = at[order].astype(np.int64), other[order]
-    heads = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (x[1:] - x[:-1] > MAX_GAP)])
-    sizes = np.diff(np.r_[heads, len(x)])
-    begin, end = x[heads], x[heads + sizes - 1]
-    long = (end + k - begin >= min_words) & (sizes * TURN_STEP >= end - begin)
-    covered = np.zeros(int(x.max()) + 2, np.int64)
-    np.add.at(covered, begin[long], 1)
-    np.add.at(covered, end[long], -1)
-    covered = np.cumsum(covered) > 0
     order = np.lexsort((other, at))
     x, o, shift = at[order].astype(np.int64), other[order], at[order].astype(np.int64) - other_at[order]
-    here = np.flatnonzero((o[1:] != o[:-1]) & (x[1:] - x[:-1] <= NEAR) & ~covered[x[:-1]])
-    dense = np.searchsorted(x, x[here] + min_words // 2, "right") - np.searchsorted(x, x[here] - min_words // 2) >= 3
-    here = here[dense]
-    step = (shift[here + 1] - shift[here]) / TURN_STEP
-    keys = []
-    for rounded in (np.floor(step), np.floor(step) + 1):
-        with np.errstate(over="ignore"):
-            keys.append(_text.mix(_text.mix(o[here].astype(np.uint64) * _GOLD + o[here + 1].astype(np.uint64)) + rounded.astype(np.int64).astype(np.uint64)))
-    known, which, times = np.unique(o, return_inverse=True, return_counts=True)
-    chained = np.where(times >= CHAINED, known, -1)[which]
-    return np.concatenate(keys).view(np.int64), np.tile(x[here], 2), np.tile(chained[here], 2), np.tile(chained[here + 1], 2)
+    here = np.flatnonzero((o[1:] != o[:-1]) & (x[1:] - x[:-1] <= NEAR))
+    here = here[np.searchsorted(x, x[here] + min_words // 2, "right") - np.searchsorted(x, x[here] - min_words // 2) >= 3]
+    if not len(here):
+        return (np.zeros(0, np.int64),) * 4
+    order = np.argsort(o, kind="stable")
+    y, known = x[order], o[order]
+    edges = _bounds((known[1:] != known[:-1]) | (y[1:] - y[:-1] > MAX_GAP))
+    begin, end, sizes = y[edges[:-1]], y[edges[1:] - 1], edges[1:] - edges[:-1]
+    long = (end + k - begin >= min_words) & (sizes * TURN_STEP >= end - begin)
+    # covered: more dense stretches have begun at a word than have ended
+    starts, stops = np.sort(begin[long]), np.sort(end[long])
+    here = here[np.searchsorted(starts, x[here], "right") == np.searchsorted(stops, x[here], "right")]
+    if not len(here):
+        return (np.zeros(0, np.int64),) * 4
+    step = np.floor((shift[here + 1] - shift[here]) / TURN_STEP).astype(np.int64)
+    left, right = o[here], o[here + 1]
+    with np.errstate(over="ignore"):
+        pair = _text.mix(left.astype(np.uint64) * _GOLD + right.astype(np.uint64))
+        keys = _text.mix(np.concatenate([pair + step.astype(np.uint64), pair + (step + 1).astype(np.uint64)]))
+    chained = [np.where(np.searchsorted(known, side, "right") - np.searchsorted(known, side) >= CHAINED, side, -1) for side in (left, right)]
+    return keys.view(np.int64), np.tile(x[here], 2), np.tile(chained[0], 2), np.tile(chained[1], 2)
 
 
 @_text.frugal
@@ -377,13 +387,21 @@ def _chain_rows(batches: Iterator[pa.RecordBatch], k: int, window: int, min_word
             if first:
                 rows.append((doc, None, first, last))
             # one seed alone is mostly chance: with another document a text must share two
-            shared = np.repeat(sizes := np.diff(np.flatnonzero(np.r_[True, o[1:] != o[:-1], True])), sizes) > 1 if len(o) else np.zeros(0, bool)
+            if len(o) < 2:
+                continue
+            same = o[1:] == o[:-1]
             # within a run the words between two anchors are the same, so one in STRIDE words will do
-            kept = np.r_[True, x[1:] // STRIDE != x[:-1] // STRIDE] if len(x) else np.zeros(0, bool)
+            strides = x // STRIDE
+            kept = np.ones(len(x), bool)
+            kept[1:] = strides[1:] != strides[:-1]
             kept[heads] = kept[tails] = True
-            kept &= shared
+            kept[1:-1] &= same[1:] | same[:-1]
+            kept[0] &= same[0]
+            kept[-1] &= same[-1]
             x, o, y = x[kept], o[kept], y[kept]
-            ends = np.flatnonzero(np.r_[True, o[1:] != o[:-1], True]) if len(o) else np.zeros(1, np.int64)
+            if not len(o):
+                continue
+            ends = _bounds(o[1:] != o[:-1])
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 for links in chain(list(zip(x[lo:hi].tolist(), y[lo:hi].tolist(), strict=True)), k):
                     if len(links) > 1:
@@ -451,24 +469,31 @@ def _window_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
 
 def _extend(same: np.ndarray) -> int:
     """How many words to go on from a chain's end."""
-    if not len(same):
-        return 0
-    score = np.cumsum(np.where(same, 2, -1))
-    stop = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
-    score = score[: stop[0]] if len(stop) else score
-    best = int(np.argmax(score)) if len(score) else 0
-    return best + 1 if len(score) and score[best] > 0 else 0
+    score = top = best = 0
+    for i, equal in enumerate(same.tolist(), 1):
+        score += 2 if equal else -1
+        if score > top:
+            top, best = score, i
+        elif top - score > DROP:
+            break
+    return best
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """The most words that two stretches have in common, in order."""
+    if not len(a) or not len(b):
+        return 0
     if len(a) == len(b) and (same := int((a == b).sum())) >= len(a) - 1:
         return same
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
-        row = np.maximum.accumulate(row)
-    return int(row[-1])
+    # a bit for each word of b; those that are off count what is in common so far
+    places: dict[int, int] = {}
+    for j, y in enumerate(b.tolist()):
+        places[y] = places.get(y, 0) | 1 << j
+    whole = open_ = (1 << len(b)) - 1
+    for x in a.tolist():
+        hit = open_ & places.get(x, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & whole
+    return len(b) - open_.bit_count()
 
 
 def _extend_with_gaps(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -489,10 +514,7 @@ def _extend_with_gaps(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     """How many words two lists have in common, in any order."""
-    x, m = np.unique(a, return_counts=True)
-    y, n = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(np.minimum(m[i], n[j]).sum())
+    return (Counter(a.tolist()) & Counter(b.tolist())).total()
 
 
 def align(a: np.ndarray, b: np.ndarray, at: list[int], other_at: list[int], k: int = K, gaps: bool = False) -> tuple[int, int, int, int, int]:
