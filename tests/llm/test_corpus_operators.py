@@ -469,5 +469,5 @@ def test_texts_without_turns_take_no_keys(monkeypatch):
     at = np.arange(0, 300, 3, dtype=np.int32)
     one = np.full(len(at), 7, np.int64)
     assert [len(c) for c in substrings._turns(at, one, at + 5, 5, 50)] == [0] * 4 and not made
-    two = np.where(np.arange(len(at)) // 8 % 2, 7, 9).astype(np.int64)
-    assert len(substrings._turns(at, two, at + 5, 5, 50)[0]) > 0
+    two = np.repeat(np.array([7, 9]), 12)
+    assert substrings._turns(at[:24], two, at[:24] + 5, 5, 50)[1].tolist() == [33, 33]
