@@ -471,3 +471,43 @@ def test_texts_without_turns_take_no_keys(monkeypatch):
     assert [len(c) for c in substrings._turns(at, one, at + 5, 5, 50)] == [0] * 4 and not made
     two = np.repeat(np.array([7, 9]), 12)
     assert substrings._turns(at[:24], two, at[:24] + 5, 5, 50)[1].tolist() == [33, 33]
+
+
+def test_packed_matches_are_small_and_come_back():
+    """Matches and seeds travel between tasks as packed arrays, texts compressed: disk is what bounds this job."""
+    pick = np.random.default_rng(9)
+    ids = np.sort(pick.integers(0, 300, 6000)) * 1_000_003 - 5
+    at = pick.integers(0, 900, 6000).astype(np.int32)
+    keys = np.repeat(pick.integers(0, 2**63, 3000).astype(np.uint64), 2)[pick.permutation(6000)]
+    dealt = pa.Table.from_batches(substrings._dealt(keys, ids, at, 1))
+    assert substrings._values(dealt.column("keys"), np.uint64, 5).tolist() == (keys >> np.uint64(24)).tolist()
+    assert substrings._values(dealt.column("ids"), np.int64).tolist() == ids.tolist() and substrings._values(dealt.column("at"), np.int32).tolist() == at.tolist()
+    assert sum(len(p.as_py()) for c in ("keys", "ids", "at") for p in dealt.column(c)) < 8 * 6000
+    held = substrings._first_rows(dealt, 4)
+    lists = substrings._list_rows(held)
+    want = defaultdict(list)
+    for pair in np.argsort(keys, kind="stable").reshape(-1, 2).tolist():
+        first, later = sorted((int(ids[i]), int(at[i])) for i in pair)
+        if first[0] != later[0]:
+            for doc, place in (first, later):
+                want[doc].append((place, *first))
+    rows = lists.to_pylist()
+    assert {r["doc_id"]: sorted(zip(r["at"], r["other_id"], r["other_at"], strict=True)) for r in rows} == {d: sorted(m) for d, m in want.items()}
+    assert lists.num_rows == len(want) and held.nbytes < 14 * sum(map(len, want.values()))
+
+
+def test_texts_are_compressed_and_come_back():
+    texts = ["the same words again and again " * 40, None, "", "Ünï çødé 日本語", "z" * 700_000, *("some words more " * n for n in range(60))]
+    (closed,) = substrings._closed_rows([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})])
+    back = [t for part in substrings._opened(closed.column("size").to_numpy(), closed.column("closed")) for t in part.to_pylist()]
+    assert [t.decode() for t in back] == [t or "" for t in texts] and closed.nbytes < 20_000
+
+
+def test_turns_whatever_order_matches_come_in():
+    """A seed that both texts repeat has several matches at one place."""
+    at = np.repeat(np.arange(0, 120, 4, dtype=np.int32), 2)
+    other = np.repeat(np.array([7, 9]), len(at) // 2)
+    other_at = at + np.tile(np.array([3, 90], np.int32), len(at) // 2)
+    want = [c.tolist() for c in substrings._turns(at, other, other_at, 5, 50)]
+    back = np.arange(len(at))[::-1]
+    assert want[0] and [c.tolist() for c in substrings._turns(at[back], other[back], other_at[back], 5, 50)] == want

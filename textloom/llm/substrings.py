@@ -41,6 +41,8 @@ K, WINDOW = 5, 4
 STRIDE = 16
 #: Bytes of text for each range of keys; a task holds one range.
 RANGE_BYTES = 8_000_000
+#: Seeds from which on a task deals out what it holds.
+MOST_DEALT = 500_000
 MIN_WORDS = 50
 MIN_IDENTITY = 0.8
 #: A chain is cut where neighbouring seeds are further apart than this, in words.
@@ -79,22 +81,39 @@ def minimizers(hashes: np.ndarray, doc: np.ndarray, k: int = K, window: int = WI
     return grams[chosen], at[chosen]
 
 
+_CODEC = pa.Codec("zstd", 1)
+
+
 def _planes(values: np.ndarray) -> bytes:
-    """The first bytes of all values, then the second ones and so on, which compress better."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    """The first bytes of all values, then the second ones and so on, compressed after their size; ids (int64) as differences."""
+    if values.dtype == np.int64:
+        values = np.diff(values, prepend=0)
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return len(raw).to_bytes(4, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _values(planes: pa.ChunkedArray, kind: type, width: int = 0) -> np.ndarray:
     """The values of all rows of a column of planes; with ``width`` they have so many bytes, padded with zeros."""
     size = np.dtype(kind).itemsize
-    parts = [np.frombuffer(p.as_buffer(), np.uint8).reshape(width or size, -1).T for p in planes]
-    out = np.zeros((sum(map(len, parts)), size), np.uint8)
-    if parts:
-        np.concatenate(parts, out=out[:, : width or size])
-    return out.view(kind).ravel()
+    parts = [np.zeros(0, kind)]
+    for p in planes:
+        closed = p.as_buffer()
+        raw = np.frombuffer(_CODEC.decompress(closed[4:], int.from_bytes(closed[:4].to_pybytes(), "little")), np.uint8).reshape(width or size, -1)
+        own = np.zeros((raw.shape[1], size), np.uint8)
+        own[:, : width or size] = raw.T
+        own = own.view(kind).ravel()
+        parts.append(np.cumsum(own) if kind is np.int64 else own)
+    return np.concatenate(parts)
+
 
+def _rows_by_part(part: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """One row for each part, with the planes of its values; ``part`` is sorted."""
+    bounds = _bounds(part[1:] != part[:-1]) if len(part) else np.zeros(1, np.int64)
+    kept = {name: pa.array([_planes(c[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for name, c in columns.items()}
+    return pa.table({"part": part[bounds[:-1]].astype(np.int32), **kept})
 
-def _dealt(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, ranges: int) -> pa.RecordBatch:
+
+def _dealt(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
     """One row for each range of keys, with the upper 40 bits of its keys.
 
     The range tells the rest apart: it has about a million keys, however large the corpus is, so
@@ -102,15 +121,15 @@ def _dealt(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, ranges: int) -> pa
     """
     part = (keys % np.uint64(ranges)).astype(np.uint16 if ranges < 2**16 else np.int64)
     order = np.argsort(part, kind="stable")
-    part = part[order]
-    bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
-    columns = [keys[order].view(np.uint8).reshape(-1, 8)[:, 3:], ids[order].astype(np.int64), at[order].astype(np.int32)]
-    kept = [[_planes(c[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)] for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), *(pa.array(v, pa.binary()) for v in kept)], names=["part", "keys", "ids", "at"])
+    rows = _rows_by_part(part[order], keys=keys[order].view(np.uint8).reshape(-1, 8)[:, 3:], ids=ids[order].astype(np.int64), at=at[order].astype(np.int32))
+    yield from rows.to_batches()
 
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 DEALT = "part int, keys binary, ids binary, at binary"
+#: Matches as planes, by a hash of doc_id; and as lists by document.
+MATCHES = "part int, doc_id binary, at binary, other_id binary, other_at binary"
+LISTS = "doc_id long, at array<int>, other_id array<long>, other_at array<int>"
 
 
 @_text.frugal
@@ -118,6 +137,7 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], k: int, window: int, ranges: i
     for batch in batches:
         data, offsets = _text.text_bytes(batch.column(1))
         ids = batch.column(0).to_numpy()
+        found: list[tuple[np.ndarray, ...]] = []
         for lo, hi in _text.chunks(offsets):
             w = _text.words(data, offsets[lo : hi + 1])
             seeds, at = minimizers(w.hash, w.doc, k, window)
@@ -135,11 +155,17 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], k: int, window: int, ranges: i
             with np.errstate(over="ignore"):
                 seeds = np.r_[seeds, _text.mix(seeds[later] + turn.astype(np.uint64))]
             at, doc = np.r_[at, at[later]], np.r_[doc, doc[later]]
-            yield _dealt(seeds, ids[lo:hi][doc], at - heads[doc], ranges)
+            found.append((seeds, ids[lo:hi][doc], (at - heads[doc]).astype(np.int32)))
+            # what many chunks have for a range goes out as one row
+            if sum(len(f[0]) for f in found) > MOST_DEALT:
+                yield from _dealt(*map(np.concatenate, zip(*found, strict=True)), ranges)
+                found = []
+        if found:
+            yield from _dealt(*map(np.concatenate, zip(*found, strict=True)), ranges)
 
 
-def _first_rows(table: pa.Table) -> pa.Table:
-    """doc_id, at, other_id, other_at of the keys that two documents have."""
+def _first_rows(table: pa.Table, ranges: int) -> pa.Table:
+    """doc_id, at, other_id, other_at of the keys that two documents have, packed by documents."""
     keys, ids, at = _values(table.column("keys"), np.uint64, 5), _values(table.column("ids"), np.int64), _values(table.column("at"), np.int32)
     # most keys stand alone and need no order by document
     order = np.argsort(keys, kind="stable")
@@ -151,15 +177,35 @@ def _first_rows(table: pa.Table) -> pa.Table:
     sizes = np.diff(np.r_[heads, len(keys)])
     first = np.repeat(heads, sizes)
     kept = np.repeat(ids[heads] != ids[heads + sizes - 1], sizes)
-    return pa.table({"doc_id": ids[kept], "at": at[kept], "other_id": ids[first][kept], "other_at": at[first][kept]})
+    ids, at, other, other_at = ids[kept], at[kept], ids[first][kept], at[first][kept]
+    part = (_text.mix(ids) % np.uint64(ranges)).astype(np.int64)
+    order = np.lexsort((at, ids, part))
+    return _rows_by_part(part[order], doc_id=ids[order], at=at[order], other_id=other[order], other_at=other_at[order])
+
 
+def _list_rows(table: pa.Table) -> pa.Table:
+    """The matches of each document."""
+    ids, at, other, other_at = (_values(table.column(c), k) for c, k in (("doc_id", np.int64), ("at", np.int32), ("other_id", np.int64), ("other_at", np.int32)))
+    order = np.lexsort((at, ids))
+    ids = ids[order]
+    bounds = _bounds(ids[1:] != ids[:-1]) if len(ids) else np.zeros(1, np.int64)
+    lists = (pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(c[order])) for c in (at, other, other_at))
+    return pa.table(dict(zip(("doc_id", "at", "other_id", "other_at"), (ids[bounds[:-1]], *lists), strict=True)))
 
-def first_occurrences(dealt: DataFrame) -> DataFrame:
-    """doc_id, at, other_id, other_at: each key that two documents have, and its first occurrence.
 
-    The first document's own rows are among them. Keys travel once, as packed arrays by range.
+def first_occurrences(dealt: DataFrame, ranges: int) -> DataFrame:
+    """Each document's keys that another one has, and their first occurrences, as ``LISTS``.
+
+    The first document's own rows are among them. Keys travel once, as packed arrays by range, and so do
+    the matches, by document.
     """
-    return dealt.groupBy("part").applyInArrow(_first_rows, "doc_id long, at int, other_id long, other_at int")
+
+    def packed(table: pa.Table) -> pa.Table:
+        return _first_rows(table, ranges)
+
+    matches = dealt.groupBy("part").applyInArrow(packed, MATCHES)
+    # what is done with the lists takes far longer than their few bytes tell, so their number of tasks is given
+    return matches.repartition(ranges, "part").groupBy("part").applyInArrow(_list_rows, LISTS)
 
 
 def _bounds(new: np.ndarray) -> np.ndarray:
@@ -226,9 +272,8 @@ def chain(anchors: list[tuple[int, int]], k: int = K, gap_cost: float = GAP_COST
 
 def _lists(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """doc_id, at, other_id and other_at of each row."""
-    found = batch.column("found")
-    at, other, other_at = (c.to_numpy(zero_copy_only=False) for c in found.flatten().flatten())
-    bounds = np.r_[0, np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+    at, other, other_at = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "other_id", "other_at"))
+    bounds = np.r_[0, np.cumsum(batch.column("at").value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
     for i, doc in enumerate(batch.column("doc_id").to_pylist()):
         cut = slice(bounds[i], bounds[i + 1])
         yield doc, at[cut], other[cut], other_at[cut]
@@ -273,7 +318,7 @@ def _turns(at: np.ndarray, other: np.ndarray, other_at: np.ndarray, k: int, min_
     """
     if not len(at):
         return (np.zeros(0, np.int64),) * 4
-    order = np.lexsort((other, at))
+    order = np.lexsort((other_at, other, at))  # whatever order they came in
     x, o, shift = at[order].astype(np.int64), other[order], at[order].astype(np.int64) - other_at[order]
     here = np.flatnonzero((o[1:] != o[:-1]) & (x[1:] - x[:-1] <= NEAR))
     here = here[np.searchsorted(x, x[here] + min_words // 2, "right") - np.searchsorted(x, x[here] - min_words // 2) >= 3]
@@ -348,7 +393,7 @@ def _turn_chains(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
 def chains_by_turns(lists: DataFrame, k: int, min_words: int) -> DataFrame:
     """Chains (as ``CHAINS``) between each text and the first text that has one of its turns.
 
-    ``lists``: doc_id, found. Keys are reduced to their first holder before anything else moves; of
+    ``lists`` are as ``LISTS``. Keys are reduced to their first holder before anything else moves; of
     the turns that lead a stretch of words to one text, one sends the matches around it, and so
     does the first holder for each turn that is asked for.
     """
@@ -430,7 +475,7 @@ def _whole_rows(batches: Iterator[pa.RecordBatch], min_words: int, ranges: int)
                 at.append(where + first)
                 ids.append(np.full(len(grams), doc, np.int64))
         if keys:
-            yield _dealt(np.concatenate(keys), np.concatenate(ids), np.concatenate(at), ranges)
+            yield from _dealt(np.concatenate(keys), np.concatenate(ids), np.concatenate(at), ranges)
 
 
 @_text.frugal
@@ -439,6 +484,8 @@ def _run_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iter
     for batch in batches:
         rows = []
         for doc, at, other, other_at in _lists(batch):
+            mine = other != doc
+            at, other, other_at = at[mine], other[mine], other_at[mine]
             order, bounds = _diagonals(at, other, other_at, min_words)
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 start, end, shift = int(at[order[lo]]), int(at[order[hi - 1]]) + min_words - k, int(other_at[order[lo]]) - int(at[order[lo]])
@@ -447,6 +494,21 @@ def _run_rows(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iter
         yield _batch_of(rows)
 
 
+@_text.frugal
+def _closed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text compressed, with its size; Spark's own codec leaves a text half as large again."""
+    for batch in batches:
+        data, offsets = _text.text_bytes(batch.column("text"))
+        closed = [_CODEC.compress(data[lo:hi], asbytes=True) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(closed, pa.binary())], names=["doc_id", "size", "closed"])
+
+
+def _opened(sizes: np.ndarray, closed: pa.Array) -> Iterator[pa.Array]:
+    """The texts again, some at a time."""
+    for lo, hi in _text.chunks(np.r_[0, np.cumsum(sizes)]):
+        yield pa.array([_CODEC.decompress(closed[i].as_buffer(), int(sizes[i]), asbytes=True) for i in range(lo, hi)], pa.large_binary())
+
+
 @_text.frugal
 def _window_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Cuts the words around each chain out of its texts, as 32-bit hashes."""
@@ -454,7 +516,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
         wanted = batch.column("wanted")
         chains, side, low, high = wanted.flatten().flatten()
         texts = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
-        lists = enumerate(_word_lists(batch.column("text")))
+        lists = enumerate(known for part in _opened(batch.column("size").to_numpy(), batch.column("closed")) for known in _word_lists(part))
         row, known = -1, np.zeros(0, np.uint32)
         cut, begins = [], []
         for text, x, y in zip(texts.tolist(), low.to_pylist(), high.to_pylist(), strict=True):
@@ -600,29 +662,27 @@ def repeated_passages(
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 8 + size // RANGE_BYTES
-    found = first_occurrences(source.mapInArrow(partial(_seed_rows, k=k, window=window, ranges=ranges), DEALT))
-    listed = lambda f: f.groupBy("doc_id").agg(F.collect_list(F.struct("at", "other_id", "other_at")).alias("found"))
-    lists = durable(listed(found))
+    lists = durable(first_occurrences(source.mapInArrow(partial(_seed_rows, k=k, window=window, ranges=ranges), DEALT), ranges))
     fuzzy = durable(lists.mapInArrow(partial(_chain_rows, k=k, window=window, min_words=min_words), CHAINS))
     unsettled = fuzzy.filter("other_id IS NULL").select("doc_id", F.col("at").alias("first"), F.col("other_at").alias("last"))
     whole = if_small(unsettled).join(source, "doc_id").mapInArrow(partial(_whole_rows, min_words=min_words, ranges=ranges), DEALT)
-    exact = listed(first_occurrences(whole).filter("doc_id <> other_id")).mapInArrow(partial(_run_rows, k=k, min_words=min_words), CHAINS)
-    name = F.struct("doc_id", "other_id", F.col("at")[0].alias("x"), F.col("other_at")[0].alias("y"), F.element_at("at", -1).alias("z"))
+    exact = first_occurrences(whole, ranges).mapInArrow(partial(_run_rows, k=k, min_words=min_words), CHAINS)
+    name = F.struct("doc_id", "other_id", F.col("at")[0].alias("x"), F.col("other_at")[0].alias("y"), F.element_at("at", -1).alias("z"), F.element_at("other_at", -1).alias("w"))
     chains = durable(fuzzy.filter("other_id IS NOT NULL").unionByName(exact).unionByName(chains_by_turns(lists, k, min_words)).select(name.alias("chain"), "at", "other_at"))
 
     ends = lambda c: [F.element_at(c, 1).alias("low"), F.element_at(c, -1).alias("high")]
     sides = chains.select("chain", F.col("chain.doc_id").alias("doc_id"), F.lit(0).alias("side"), *ends("at")).unionByName(
         chains.select("chain", F.col("chain.other_id").alias("doc_id"), F.lit(1).alias("side"), *ends("other_at"))
     )
-    sides = durable(sides)
     # a text goes out once for all its chains, or once for each MOST_CHAINS of them
     many = if_small(durable(sides.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / MOST_CHAINS).cast("int").alias("lots")).filter("lots > 1")))
     lots = F.coalesce("lots", F.lit(1))
     listed_sides = sides.join(many, "doc_id", "left").withColumn("lot", F.pmod(F.xxhash64("chain"), lots).cast("int"))
     listed_sides = listed_sides.groupBy("doc_id", "lot").agg(F.collect_list(F.struct("chain", "side", "low", "high")).alias("wanted"))
-    texts = source.join(many, "doc_id", "left").select("doc_id", "text", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
-    windows = listed_sides.join(texts, ["doc_id", "lot"]).select("wanted", "text")
-    chain_type = "struct<doc_id:long,other_id:long,x:int,y:int,z:int>"
+    closed = source.mapInArrow(_closed_rows, "doc_id long, size long, closed binary")
+    texts = closed.join(many, "doc_id", "left").select("doc_id", "size", "closed", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
+    windows = listed_sides.join(texts, ["doc_id", "lot"]).select("wanted", "size", "closed")
+    chain_type = "struct<doc_id:long,other_id:long,x:int,y:int,z:int,w:int>"
     windows = windows.mapInArrow(partial(_window_rows, k=k), f"chain {chain_type}, side int, begin int, words binary")
     on = lambda side, c: F.first(F.when(F.col("side") == side, F.col(c)), ignorenulls=True)
     pairs = windows.groupBy("chain").agg(on(0, "begin").alias("begin"), on(0, "words").alias("words"), on(1, "begin").alias("other_begin"), on(1, "words").alias("other_words"))
